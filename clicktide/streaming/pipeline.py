@@ -1,0 +1,308 @@
+"""Continuous ad-click pipeline.
+
+Five streaming queries share the tables below one folder:
+
+* ``user_counts``   clicks -> running (date, user, ad) totals -> blacklist
+* ``clean_clicks``  clicks minus the users listed so far
+* ``stats``         clean clicks -> running (date, province, city, ad) totals
+* ``province_top``  clean clicks -> running (date, province, ad) totals -> top ads
+* ``trend``         clean clicks -> running totals per minute
+
+Running totals live in the state store, so a micro-batch costs what it holds,
+not what the tables hold.  Each query has its own checkpoint, and every write
+is keyed by batch id: a repeated batch replaces or skips what it wrote before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from clicktide.operators import ads
+from clicktide.sources import schemas, tables
+
+INTERVAL = "5 seconds"
+
+STEPS = ("user_counts", "clean_clicks", "stats", "province_top", "trend")
+
+COUNT_KEYS = ("date", "user_id", "ad_id")
+STAT_KEYS = ("date", "province", "city", "ad_id")
+TREND_KEYS = ("date", "hour", "minute", "ad_id")
+
+
+@dataclass(frozen=True)
+class AdTables:
+    """Folders of the pipeline below one root."""
+
+    root: str
+
+    def path(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    def checkpoint(self, name: str) -> str:
+        return self.path(f"checkpoints/{name}")
+
+    def create(self, spark: SparkSession) -> AdTables:
+        for name in ("ad_user_click_count", "ad_blacklist", "clean", "ad_stat",
+                     "ad_province_top3", "ad_click_trend"):
+            tables.ensure_table(spark, self.path(name))
+        return self
+
+    def user_click_count(self, spark: SparkSession) -> DataFrame:
+        return tables.read_upserted(
+            spark, self.path("ad_user_click_count"), schemas.AD_USER_CLICK_COUNT, COUNT_KEYS
+        )
+
+    def blacklist(self, spark: SparkSession) -> DataFrame:
+        return tables.read_inserted(spark, self.path("ad_blacklist"), schemas.AD_BLACKLIST)
+
+    def clean(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.schema(schemas.AD_CLICKS).parquet(self.path("clean"))
+        return rows.select(*schemas.AD_CLICKS.fieldNames())
+
+    def stat(self, spark: SparkSession) -> DataFrame:
+        return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS)
+
+    def province_top3(self, spark: SparkSession) -> DataFrame:
+        return (
+            spark.read.schema(schemas.AD_PROVINCE_TOP3)
+            .parquet(self.path("ad_province_top3"))
+            .select(*schemas.AD_PROVINCE_TOP3.fieldNames())
+        )
+
+    def trend(self, spark: SparkSession) -> DataFrame:
+        return tables.read_upserted(
+            spark, self.path("ad_click_trend"), schemas.AD_CLICK_TREND, TREND_KEYS
+        )
+
+    def compact(
+        self, spark: SparkSession, table: str, batch_id: int, dates: tuple[str, str] | None = None
+    ) -> None:
+        """Fold the versions of one table up to a finished batch, within ``dates`` if given."""
+        schema, keys, parts = {
+            "ad_user_click_count": (schemas.AD_USER_CLICK_COUNT, COUNT_KEYS, ("date",)),
+            "ad_stat": (schemas.AD_STAT, STAT_KEYS, ("date",)),
+            "ad_click_trend": (schemas.AD_CLICK_TREND, TREND_KEYS, ("date",)),
+            "ad_blacklist": (schemas.AD_BLACKLIST, ("user_id",), ()),
+        }[table]
+        within = F.col("date").between(*dates) if dates and parts else None
+        tables.compact(spark, self.path(table), schema, keys, batch_id, parts, within)
+
+
+def _start(
+    frame: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str,
+    once: bool,
+    interval: str,
+) -> StreamingQuery:
+    trigger = {"availableNow": True} if once else {"processingTime": interval}
+    return (
+        frame.writeStream.outputMode(mode)
+        .foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def _daily(clicks: DataFrame, keep: str | None, *keys: str | Column) -> DataFrame:
+    """Count per day and keys.  With ``keep`` a day leaves the state once the
+    event time has moved that far past its end; later rows of it are dropped."""
+    if keep is None:
+        return clicks.groupBy("date", *keys).agg(F.count(F.lit(1)).alias("click_count"))
+    timed = clicks.withWatermark("event_time", keep)
+    # one-day windows start at midnight UTC, the session time zone of the pipeline
+    counted = timed.groupBy(F.window("event_time", "1 day").alias("day"), *keys).agg(
+        F.count(F.lit(1)).alias("click_count")
+    )
+    return counted.withColumn("date", F.to_date("day.start")).drop("day")
+
+
+def start_user_counts(
+    clicks: DataFrame,
+    out: AdTables,
+    threshold: int = ads.CLICK_LIMIT,
+    keep: str | None = None,
+    once: bool = False,
+    interval: str = INTERVAL,
+) -> StreamingQuery:
+    """Running totals per (date, user, ad), and the users they put on the blacklist."""
+    totals = _daily(clicks, keep, "user_id", "ad_id")
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        version = tables.batch_version(batch_id)
+        changed = changed.select(*schemas.AD_USER_CLICK_COUNT.fieldNames()).persist()
+        try:
+            tables.upsert(changed, out.path("ad_user_click_count"), version, ["date"])
+            tables.insert_absent(
+                ads.over_limit_users(changed, threshold), out.path("ad_blacklist"),
+                schemas.AD_BLACKLIST, ["user_id"], version,
+            )
+        finally:
+            changed.unpersist()
+
+    return _start(totals, handle, out.checkpoint("user_counts"), "update", once, interval)
+
+
+def start_clean_clicks(
+    clicks: DataFrame, out: AdTables, once: bool = False, interval: str = INTERVAL
+) -> StreamingQuery:
+    """Clicks of users not listed, with the blacklist read anew for every micro-batch."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        listed = out.blacklist(batch.sparkSession)
+        kept = ads.drop_listed(batch.select(*schemas.AD_CLICKS.fieldNames()), listed)
+        tables.publish_once(
+            kept, out.path(f"staging/batch={batch_id}"), out.path(f"clean/batch={batch_id}")
+        )
+
+    return _start(clicks, handle, out.checkpoint("clean_clicks"), "append", once, interval)
+
+
+def clean_stream(spark: SparkSession, out: AdTables, max_files: int | None = None) -> DataFrame:
+    """The clean clicks as a stream."""
+    reader = spark.readStream.schema(schemas.AD_CLICKS)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(out.path("clean")).select(*schemas.AD_CLICKS.fieldNames())
+
+
+def start_stats(
+    clean: DataFrame,
+    out: AdTables,
+    keep: str | None = None,
+    once: bool = False,
+    interval: str = INTERVAL,
+) -> StreamingQuery:
+    """Running totals per (date, province, city, ad)."""
+    totals = _daily(clean, keep, "province", "city", "ad_id")
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        rows = changed.select(*schemas.AD_STAT.fieldNames())
+        tables.upsert(rows, out.path("ad_stat"), tables.batch_version(batch_id), ["date"])
+
+    return _start(totals, handle, out.checkpoint("stats"), "update", once, interval)
+
+
+def start_province_top(
+    clean: DataFrame,
+    out: AdTables,
+    top: int = 3,
+    keep: str | None = None,
+    once: bool = False,
+    interval: str = INTERVAL,
+) -> StreamingQuery:
+    """The ``top`` most clicked ads of every (date, province).
+
+    Totals only grow, so an ad outside the stored top that a batch does not
+    touch cannot enter it: the new top comes from the stored one and the
+    changed totals, without reading any other ad.
+    """
+    totals = _daily(clean, keep, "province", "ad_id")
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        columns = schemas.AD_PROVINCE_TOP3.fieldNames()
+        changed = changed.select(*columns).persist()
+        try:
+            days = changed.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+            if days["first"] is None:
+                return
+            touched = changed.select("date", "province").distinct()
+            stored = (
+                out.province_top3(changed.sparkSession)
+                .where(F.col("date").between(days["first"], days["last"]))
+                .join(touched, ["date", "province"], "left_semi")
+            )
+            best = ads.top_per_province(
+                changed.unionByName(stored)
+                .groupBy("date", "province", "ad_id")
+                .agg(F.max("click_count").alias("click_count")),
+                top,
+            )
+            tables.replace_groups(best, out.path("ad_province_top3"), ["date", "province"])
+        finally:
+            changed.unpersist()
+
+    return _start(totals, handle, out.checkpoint("province_top"), "update", once, interval)
+
+
+def start_trend(
+    clean: DataFrame,
+    out: AdTables,
+    keep: str | None = "1 hour",
+    once: bool = False,
+    interval: str = INTERVAL,
+) -> StreamingQuery:
+    """Totals per minute and ad.  Minutes older than ``keep`` leave the state."""
+    if keep is None:
+        totals = ads.click_trend(clean)
+    else:
+        counted = (
+            clean.withWatermark("event_time", keep)
+            .groupBy(F.window("event_time", "1 minute").alias("w"), "ad_id")
+            .agg(F.count(F.lit(1)).alias("click_count"))
+        )
+        totals = counted.select(
+            F.to_date("w.start").alias("date"),
+            F.hour("w.start").alias("hour"),
+            F.minute("w.start").alias("minute"),
+            "ad_id",
+            "click_count",
+        )
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        rows = changed.select(*schemas.AD_CLICK_TREND.fieldNames())
+        tables.upsert(rows, out.path("ad_click_trend"), tables.batch_version(batch_id), ["date"])
+
+    return _start(totals, handle, out.checkpoint("trend"), "update", once, interval)
+
+
+def run_available(
+    spark: SparkSession,
+    clicks: DataFrame,
+    out: AdTables,
+    threshold: int = ads.CLICK_LIMIT,
+    keep: str | None = None,
+    steps: tuple[str, ...] = STEPS,
+) -> None:
+    """Work off everything that has arrived, one query after the other.
+
+    The blacklist then covers all arrived clicks before any is let through.
+    """
+    start = {
+        "user_counts": lambda: start_user_counts(clicks, out, threshold, keep, once=True),
+        "clean_clicks": lambda: start_clean_clicks(clicks, out, once=True),
+        "stats": lambda: start_stats(clean_stream(spark, out), out, keep=keep, once=True),
+        "province_top": lambda: start_province_top(
+            clean_stream(spark, out), out, keep=keep, once=True
+        ),
+        "trend": lambda: start_trend(clean_stream(spark, out), out, keep, once=True),
+    }
+    out.create(spark)
+    for step in steps:
+        start[step]().awaitTermination()
+
+
+def start_pipeline(
+    spark: SparkSession,
+    clicks: DataFrame,
+    out: AdTables,
+    threshold: int = ads.CLICK_LIMIT,
+    keep: str | None = "1 day",
+    interval: str = INTERVAL,
+) -> list[StreamingQuery]:
+    """Start all queries to run continuously."""
+    out.create(spark)
+    return [
+        start_user_counts(clicks, out, threshold, keep, interval=interval),
+        start_clean_clicks(clicks, out, interval=interval),
+        start_stats(clean_stream(spark, out), out, keep=keep, interval=interval),
+        start_province_top(clean_stream(spark, out), out, keep=keep, interval=interval),
+        start_trend(clean_stream(spark, out), out, interval=interval),
+    ]
