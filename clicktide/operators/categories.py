@@ -71,14 +71,14 @@ def top_categories(actions: DataFrame, n: int = 10, include_unclicked: bool = Fa
 def top_category_sessions(actions: DataFrame, categories: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` sessions with most clicks in each of the given categories.
 
-    ``categories`` is a top-k report and joins as the broadcast side.  Clicks are
-    counted per (category, session) first, and the rank filter cuts every
-    partition to ``n`` rows per category before the rows meet.
+    ``categories`` is usually a top-k report, whose known size makes Spark
+    broadcast it.  Clicks are counted per (category, session) first, and the rank
+    filter cuts every partition to ``n`` rows per category before the rows meet.
     """
     clicks = actions.select(
         F.col("click_category_id").alias("category_id"), "session_id"
     ).where(F.col("category_id").isNotNull())
-    wanted = clicks.join(F.broadcast(categories.select("category_id")), "category_id", "left_semi")
+    wanted = clicks.join(categories.select("category_id"), "category_id", "left_semi")
     counts = wanted.groupBy("category_id", "session_id").agg(
         F.count(F.lit(1)).alias("click_count")
     )

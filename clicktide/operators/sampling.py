@@ -99,7 +99,8 @@ def sample_ids(
     timed = slim.select(
         "session_id", F.to_date("start_time").alias("date"), F.hour("start_time").alias("hour")
     )
-    rows = timed.join(quota.select("date", "hour", "quota"), ["date", "hour"])
+    # at most 24 quota rows per calendar day
+    rows = timed.join(F.broadcast(quota.select("date", "hour", "quota")), ["date", "hour"])
     return _smallest_per_group(rows, ["date", "hour"], total, seed, salts)
 
 
@@ -110,7 +111,8 @@ def sample_ids_by_hour(
     slim = sessions.select("session_id", "start_time")
     quota = hour_share(slim, total).where(F.col("quota") > 0)
     timed = slim.select("session_id", F.hour("start_time").alias("hour"))
-    rows = timed.join(quota.select("hour", "quota"), "hour")
+    # at most 24 quota rows
+    rows = timed.join(F.broadcast(quota.select("hour", "quota")), "hour")
     return _smallest_per_group(rows, ["hour"], total, seed, salts)
 
 
