@@ -139,29 +139,38 @@ def compact(
     partition_by: Sequence[str] = (),
     where: Column | None = None,
 ) -> None:
-    """Fold the versions up to ``batch_id`` into one, in the partitions ``where`` selects.
+    """Fold the versions up to a finished ``batch_id`` into one, in the partitions
+    ``where`` selects.
 
     The folded versions are dropped by the next compaction only, so that
     readers which have listed them can finish.
     """
-    base = batch_version(batch_id) + 1
+    depth = len(partition_by)
+    written = [v for v, _ in _version_folders(spark, path, depth) if v <= batch_version(batch_id)]
+    if not written:
+        return
+    base = max(written) // 2 * 2 + 1
     old = _versions(spark, path, schema).where(F.col(VERSION) < base)
     if where is not None:
         old = old.where(where)
     values = [f.name for f in schema.fields if f.name not in keys]
     merged = _newest(old, keys, values) if values else old.select(*keys).distinct()
     upsert(merged.select(*schema.fieldNames()), path, base, partition_by)
-    _drop_before_previous_base(spark, path, base, len(partition_by))
+    _drop_before_previous_base(spark, path, base, depth)
 
 
-def _drop_before_previous_base(spark: SparkSession, path: str, base: int, depth: int) -> None:
+def _version_folders(spark: SparkSession, path: str, depth: int) -> list[tuple[int, object]]:
     fs, pattern = _fs(spark, path + "/*" * depth + f"/{VERSION}=*")
-    folders: dict[str, list[tuple[int, object]]] = {}
-    for status in fs.globStatus(pattern) or []:
-        folder = status.getPath()
-        entry = (int(folder.getName().split("=")[1]), folder)
-        folders.setdefault(folder.getParent().toString(), []).append(entry)
-    for entries in folders.values():
+    folders = [status.getPath() for status in fs.globStatus(pattern) or []]
+    return [(int(folder.getName().split("=")[1]), folder) for folder in folders]
+
+
+def _drop_before_previous_base(spark: SparkSession, path: str, base: int, depth: int) -> None:
+    fs, _ = _fs(spark, path)
+    partitions: dict[str, list[tuple[int, object]]] = {}
+    for version, folder in _version_folders(spark, path, depth):
+        partitions.setdefault(folder.getParent().toString(), []).append((version, folder))
+    for entries in partitions.values():
         previous = max((v for v, _ in entries if v % 2 == 1 and v < base), default=0)
         for version, folder in entries:
             if version < previous:

@@ -61,8 +61,8 @@ class AdTables:
         return tables.read_inserted(spark, self.path("ad_blacklist"), schemas.AD_BLACKLIST)
 
     def clean(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.schema(schemas.AD_CLICKS).parquet(self.path("clean"))
-        return rows.select(*schemas.AD_CLICKS.fieldNames())
+        reader = spark.read.schema(schemas.AD_CLICKS).option("recursiveFileLookup", True)
+        return reader.parquet(self.path("clean"))
 
     def stat(self, spark: SparkSession) -> DataFrame:
         return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS)
@@ -159,7 +159,7 @@ def start_clean_clicks(
         listed = out.blacklist(batch.sparkSession)
         kept = ads.drop_listed(batch.select(*schemas.AD_CLICKS.fieldNames()), listed)
         tables.publish_once(
-            kept, out.path(f"staging/batch={batch_id}"), out.path(f"clean/batch={batch_id}")
+            kept, out.path(f"staging/batch-{batch_id}"), out.path(f"clean/batch-{batch_id}")
         )
 
     return _start(clicks, handle, out.checkpoint("clean_clicks"), "append", once, interval)
@@ -167,10 +167,11 @@ def start_clean_clicks(
 
 def clean_stream(spark: SparkSession, out: AdTables, max_files: int | None = None) -> DataFrame:
     """The clean clicks as a stream."""
-    reader = spark.readStream.schema(schemas.AD_CLICKS)
+    # batch folders are no partitions: the schema is the same before the first one appears
+    reader = spark.readStream.schema(schemas.AD_CLICKS).option("recursiveFileLookup", True)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(out.path("clean")).select(*schemas.AD_CLICKS.fieldNames())
+    return reader.parquet(out.path("clean"))
 
 
 def start_stats(
