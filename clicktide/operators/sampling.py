@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktide.functions import div, ratio, rounded_share
-from clicktide.operators.sessions import session_actions
+from clicktide.operators.sessions import of_sessions
 
 SALTS = 64
 
@@ -151,4 +151,4 @@ def session_sample_detail(
 ) -> DataFrame:
     """All actions of the sampled sessions."""
     ids = _hint(sample_ids(sessions, total, seed, salts), total)
-    return session_actions(actions, ids).select(*DETAIL_COLUMNS)
+    return of_sessions(actions, ids).select(*DETAIL_COLUMNS)

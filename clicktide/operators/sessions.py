@@ -130,9 +130,9 @@ def filter_conditions(sessions: DataFrame, *conditions: str) -> DataFrame:
     return sessions.where(reduce(lambda a, b: a & b, map(_condition, conditions), F.lit(True)))
 
 
-def session_actions(actions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The actions of the given sessions."""
-    return actions.join(sessions.select("session_id"), "session_id", "left_semi")
+def of_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The rows (actions, or anything else with a session id) of the given sessions."""
+    return rows.join(sessions.select("session_id"), "session_id", "left_semi")
 
 
 # --- histogram ------------------------------------------------------------

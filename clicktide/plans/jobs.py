@@ -45,32 +45,28 @@ def run_session_job(
     actions = _actions(spark, tables_dir, task)
     users = readers.read_table(spark, tables_dir, "user_info")
     enriched = sessions.join_users(sessions.aggregate_sessions(actions), users)
-    filtered = sessions.filter_sessions(enriched, sessions.SessionFilter.from_task(task)).persist()
-    chosen = sessions.session_actions(actions, filtered).persist()
+    chosen = sessions.filter_sessions(enriched, sessions.SessionFilter.from_task(task))
+    filtered = tables.materialize(chosen, "filtered-sessions")
+    counts = categories.session_category_counts(actions)
+    pairs = tables.materialize(sessions.of_sessions(counts, filtered), "session-categories")
 
     def store(df: DataFrame, table: str) -> None:
         tables.append_result(_stored(df), results_dir, table, task_id)
 
-    try:
-        store(sessions.session_aggr_stat(sessions.session_histogram(filtered)), "session_aggr_stat")
-        store(sampling.session_sample(filtered, sample_total, seed), "session_random_extract")
-        store(
-            sampling.session_sample_detail(chosen, filtered, sample_total, seed), "session_detail"
-        )
-        top = categories.top_categories(chosen)
-        store(top, "top10_category")
-        store(categories.top_category_sessions(chosen, top), "top10_category_session")
-        store(
-            area.area_top_products(
-                area.product_clicks(actions),
-                readers.read_table(spark, tables_dir, "city_info"),
-                readers.read_table(spark, tables_dir, "product_info"),
-            ),
-            "area_top3_product",
-        )
-    finally:
-        chosen.unpersist()
-        filtered.unpersist()
+    store(sessions.session_aggr_stat(sessions.session_histogram(filtered)), "session_aggr_stat")
+    store(sampling.session_sample(filtered, sample_total, seed), "session_random_extract")
+    store(sampling.session_sample_detail(actions, filtered, sample_total, seed), "session_detail")
+    top = tables.materialize(
+        categories.top_categories(categories.sum_sessions(pairs)), "top-categories"
+    )
+    store(top, "top10_category")
+    store(categories.top_category_sessions(pairs, top), "top10_category_session")
+    area_top = area.area_top_products(
+        area.product_clicks(actions),
+        readers.read_table(spark, tables_dir, "city_info"),
+        readers.read_table(spark, tables_dir, "product_info"),
+    )
+    store(area_top, "area_top3_product")
 
 
 def run_page_flow_job(spark: SparkSession, tables_dir: str, results_dir: str, task_id: int) -> None:

@@ -58,8 +58,9 @@ def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.filter_sessions(_enriched(spark, sf), FILTER)
 
 
-def _filtered_actions(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.session_actions(b.actions(spark, sf), _filtered(spark, sf))
+def _filtered_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = categories.session_category_counts(b.actions(spark, sf))
+    return sessions.of_sessions(pairs, _filtered(spark, sf))
 
 
 def _session_row(df: DataFrame) -> DataFrame:
@@ -124,7 +125,8 @@ def session_condition_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filtered_session_actions(spark: SparkSession, sf: str) -> DataFrame:
-    return _filtered_actions(spark, sf).select(
+    chosen = sessions.of_sessions(b.actions(spark, sf), _filtered(spark, sf))
+    return chosen.select(
         _date(), "user_id", "session_id", "page_id",
         fn.format_time(F.col("action_time")).alias("action_time"), "search_keyword",
         "click_category_id", "order_category_ids", "pay_category_ids", "city_id",
@@ -169,13 +171,14 @@ def category_pay_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top10_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return categories.top_categories(_filtered_actions(spark, sf))
+    return categories.top_categories(categories.sum_sessions(_filtered_pairs(spark, sf)))
 
 
 @query
 def top10_category_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    actions = _filtered_actions(spark, sf)
-    return categories.top_category_sessions(actions, categories.top_categories(actions))
+    pairs = tables.materialize(_filtered_pairs(spark, sf), "pairs")
+    top = categories.top_categories(categories.sum_sessions(pairs))
+    return categories.top_category_sessions(pairs, top)
 
 
 # --- page flow ------------------------------------------------------------
@@ -488,8 +491,8 @@ def sink_append_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Two tasks appended to the same result tables and read back."""
     base = scratch_dir(spark, "results")
     for task_id, actions in ((1, b.actions(spark, sf)), (2, b.actions(spark, sf, *DATES))):
-        counts = categories.top_categories(actions)
-        tables.append_result(counts, base, "top10_category", task_id)
+        top = categories.top_categories(categories.category_counts(actions))
+        tables.append_result(top, base, "top10_category", task_id)
     return spark.read.parquet(f"{base}/top10_category")
 
 

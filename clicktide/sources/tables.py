@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clicktide.session import scratch_dir
 from clicktide.sources import schemas
 
 VERSION = "version"
@@ -65,6 +66,16 @@ def publish_once(df: DataFrame, staging: str, target: str) -> bool:
     return True
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder, for use by several plans.
+
+    Unlike cached blocks the files outlive the executors that wrote them.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- append ---------------------------------------------------------------
 
 def result_rows(df: DataFrame, table: str, task_id: int) -> DataFrame:
@@ -104,6 +115,7 @@ def upsert(df: DataFrame, path: str, version: int, partition_by: Sequence[str] =
     """Add or overwrite rows by key, as one version."""
     (
         df.withColumn(VERSION, F.lit(version).cast("bigint"))
+        .hint("rebalance", *partition_by)  # few files, and a large partition split over tasks
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by, VERSION)
@@ -117,6 +129,8 @@ def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def _newest(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    if len(values) == 1:  # one plain value aggregates by hash, a struct only by sort
+        return rows.groupBy(*keys).agg(F.max_by(values[0], VERSION).alias(values[0]))
     picked = F.max_by(F.struct(*values), VERSION).alias("row")
     return rows.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"row.{v}") for v in values])
 

@@ -26,6 +26,7 @@ from clicktide.operators import ads
 from clicktide.sources import schemas, tables
 
 INTERVAL = "5 seconds"
+ADAPTIVE = "spark.sql.adaptive.enabled"
 
 STEPS = ("user_counts", "clean_clicks", "stats", "province_top", "trend")
 
@@ -102,9 +103,21 @@ def _start(
     interval: str,
 ) -> StreamingQuery:
     trigger = {"availableNow": True} if once else {"processingTime": interval}
+
+    def adaptive(batch: DataFrame, batch_id: int) -> None:
+        # a stateful stream turns adaptive execution off; the batch it hands over is computed
+        # by a plan fixed before, so the writes may use it
+        conf = batch.sparkSession.conf
+        before = conf.get(ADAPTIVE)
+        conf.set(ADAPTIVE, "true")
+        try:
+            handle(batch, batch_id)
+        finally:
+            conf.set(ADAPTIVE, before)
+
     return (
         frame.writeStream.outputMode(mode)
-        .foreachBatch(handle)
+        .foreachBatch(adaptive)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

@@ -22,14 +22,14 @@ def test_list_counts(spark):
 
 
 def test_top(spark):
-    rows = [tuple(r) for r in c.top_categories(log(spark)).collect()]
+    rows = [tuple(r) for r in c.top_categories(c.category_counts(log(spark))).collect()]
     # 0 is a category; 5 and 6 were never clicked
     assert rows == [(2, 2, 1, 0), (1, 2, 0, 0), (0, 1, 0, 1), (3, 1, 0, 0), (4, 1, 0, 0)]
-    assert [r.category_id for r in c.top_categories(log(spark), 2).collect()] == [2, 1]
+    assert [r.category_id for r in c.top_categories(c.category_counts(log(spark)), 2).collect()] == [2, 1]
 
 
 def test_top_with_unclicked(spark):
-    rows = [r.category_id for r in c.top_categories(log(spark), include_unclicked=True).collect()]
+    rows = [r.category_id for r in c.top_categories(c.category_counts(log(spark)), include_unclicked=True).collect()]
     assert rows == [2, 1, 0, 3, 4, 5, 6]
 
 
@@ -38,7 +38,13 @@ def test_top_sessions(spark):
     rows += [action("x", 0, category=2)] * 2 + [action("y", 0, category=9)]
     frame = actions(spark, *rows)
     top = spark.createDataFrame([(1,), (2,)], "category_id bigint")
-    got = tuples(c.top_category_sessions(frame, top))
+    got = tuples(c.top_category_sessions(c.session_category_counts(frame), top))
     assert (2, "x", 2) in got and not any(r[0] == 9 for r in got)
     ones = sorted((r for r in got if r[0] == 1), key=lambda r: -r[2])
     assert [(r[1], r[2]) for r in ones] == [(f"s{i}", i + 1) for i in range(11, 1, -1)]
+
+
+def test_per_session_counts_sum_to_the_same(spark):
+    pairs = c.session_category_counts(log(spark))
+    assert tuples(c.sum_sessions(pairs)) == tuples(c.category_counts(log(spark)))
+    assert pairs.where("session_id = 'd' and category_id = 5").first().order_count == 3

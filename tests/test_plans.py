@@ -5,7 +5,7 @@ import pytest
 from __spark_entry__ import queries
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITES = ("sink_", "ad_restart", "session_record_decode")
+WRITES = ("sink_", "ad_restart", "session_record_decode", "top10_category_sessions")
 
 
 def plan(spark, name):

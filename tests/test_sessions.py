@@ -136,9 +136,9 @@ def test_counting_twice_gives_the_same(spark, enriched):
     assert hist.first() == hist.first()
 
 
-def test_session_actions(spark, enriched):
+def test_of_sessions(spark, enriched):
     log = actions(spark, action("s1", 0), action("s1", 1), action("s9", 2))
-    assert s.session_actions(log, enriched).count() == 2
+    assert s.of_sessions(log, enriched).count() == 2
 
 
 def test_record_round_trip(spark, enriched, tmp_path):
