@@ -503,11 +503,11 @@ def sink_upsert_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     clicks = b.ad_clicks(spark, sf)
     morning = F.hour("event_time") < 12
     keys = pipeline.STAT_KEYS
-    tables.upsert(ads.ad_stat(clicks.where(morning)), path, 0, ["date"])
+    tables.write_version(ads.ad_stat(clicks.where(morning)), path, 0, ["date"])
     later = clicks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("click_count"), F.count_if(~morning).alias("late")
     )
-    tables.upsert(later.where(F.col("late") > 0).drop("late"), path, 2, ["date"])
+    tables.write_version(later.where(F.col("late") > 0).drop("late"), path, 2, ["date"])
     return tables.read_upserted(spark, path, schemas.AD_STAT, keys).withColumn("date", _date())
 
 
@@ -516,12 +516,11 @@ def sink_replace_group_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Top ads of the mornings, then replaced for every group of the last days."""
     path = scratch_dir(spark, "replace")
     clicks = b.ad_clicks(spark, sf)
-    group = ["date", "province"]
     early = clicks.where(F.hour("event_time") < 12)
     late = clicks.where(F.col("date") >= F.lit("2024-01-16").cast("date"))
-    tables.replace_groups(ads.province_top(ads.ad_stat(early)), path, group)
-    tables.replace_groups(ads.province_top(ads.ad_stat(late)), path, group)
-    stored = spark.read.schema(schemas.AD_PROVINCE_TOP3).parquet(path)
+    for version, part in ((0, early), (2, late)):
+        tables.write_version(ads.province_top(ads.ad_stat(part)), path, version, ["date"])
+    stored = tables.read_replaced(spark, path, schemas.AD_PROVINCE_TOP3, pipeline.TOP_GROUP)
     return stored.withColumn("date", _date())
 
 

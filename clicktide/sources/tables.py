@@ -1,9 +1,10 @@
 """Table sinks: append, upsert, replace-group and insert-if-absent on parquet.
 
-An upsert table is a log of versions.  A writer adds the changed rows under its
-own ``version`` partition, so the cost follows the batch and not the table, and
-a repeated write of one version replaces itself.  A reader keeps the newest row
-of each key.  ``compact`` folds old versions into one.
+A table that changes is a log of versions.  A writer adds the changed rows under
+its own ``version`` partition, so the cost follows the batch and not the table,
+and a repeated write of one version replaces itself.  A reader keeps the newest
+row of each key, or the newest rows of each group.  ``compact`` folds old
+versions into one.
 
 Batch ``i`` of a stream writes version ``2 * i``; compaction up to batch ``i``
 writes ``2 * i + 1``, which ranks above everything it folds and below all later
@@ -109,10 +110,10 @@ def write_session_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
-# --- upsert ---------------------------------------------------------------
+# --- versions -------------------------------------------------------------
 
-def upsert(df: DataFrame, path: str, version: int, partition_by: Sequence[str] = ()) -> None:
-    """Add or overwrite rows by key, as one version."""
+def write_version(df: DataFrame, path: str, version: int, partition_by: Sequence[str] = ()) -> None:
+    """Write the changed rows of a table as one version."""
     (
         df.withColumn(VERSION, F.lit(version).cast("bigint"))
         .hint("rebalance", *partition_by)  # few files, and a large partition split over tasks
@@ -128,20 +129,35 @@ def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(full).parquet(path)
 
 
-def _newest(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def _newest_rows(rows: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    values = [f.name for f in schema.fields if f.name not in keys]
+    if not values:
+        return rows.select(*keys).distinct()
     if len(values) == 1:  # one plain value aggregates by hash, a struct only by sort
-        return rows.groupBy(*keys).agg(F.max_by(values[0], VERSION).alias(values[0]))
-    picked = F.max_by(F.struct(*values), VERSION).alias("row")
-    return rows.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"row.{v}") for v in values])
+        newest = rows.groupBy(*keys).agg(F.max_by(values[0], VERSION).alias(values[0]))
+    else:
+        picked = F.max_by(F.struct(*values), VERSION).alias("row")
+        newest = rows.groupBy(*keys).agg(picked).select(*keys, "row.*")
+    return newest.select(*schema.fieldNames())
+
+
+def _newest_groups(rows: DataFrame, schema: T.StructType, group: Sequence[str]) -> DataFrame:
+    newest = rows.groupBy(*group).agg(F.max(VERSION).alias(VERSION))
+    return rows.join(newest, [*group, VERSION], "left_semi").select(*schema.fieldNames())
 
 
 def read_upserted(
     spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]
 ) -> DataFrame:
-    """Current rows of an upsert table."""
-    values = [f.name for f in schema.fields if f.name not in keys]
-    newest = _newest(_versions(spark, path, schema), keys, values)
-    return newest.select(*schema.fieldNames())
+    """Current rows of a table whose versions add or overwrite rows by key."""
+    return _newest_rows(_versions(spark, path, schema), schema, keys)
+
+
+def read_replaced(
+    spark: SparkSession, path: str, schema: T.StructType, group: Sequence[str]
+) -> DataFrame:
+    """Current rows of a table whose versions replace every group they hold."""
+    return _newest_groups(_versions(spark, path, schema), schema, group)
 
 
 def compact(
@@ -152,9 +168,10 @@ def compact(
     batch_id: int,
     partition_by: Sequence[str] = (),
     where: Column | None = None,
+    groups: bool = False,
 ) -> None:
     """Fold the versions up to a finished ``batch_id`` into one, in the partitions
-    ``where`` selects.
+    ``where`` selects.  With ``groups`` the keys name the groups that versions replace.
 
     The folded versions are dropped by the next compaction only, so that
     readers which have listed them can finish.
@@ -167,9 +184,8 @@ def compact(
     old = _versions(spark, path, schema).where(F.col(VERSION) < base)
     if where is not None:
         old = old.where(where)
-    values = [f.name for f in schema.fields if f.name not in keys]
-    merged = _newest(old, keys, values) if values else old.select(*keys).distinct()
-    upsert(merged.select(*schema.fieldNames()), path, base, partition_by)
+    newest = _newest_groups if groups else _newest_rows
+    write_version(newest(old, schema, keys), path, base, partition_by)
     _drop_before_previous_base(spark, path, base, depth)
 
 
@@ -191,19 +207,6 @@ def _drop_before_previous_base(spark: SparkSession, path: str, base: int, depth:
                 fs.delete(folder, True)
 
 
-# --- replace group --------------------------------------------------------
-
-def replace_groups(df: DataFrame, path: str, group: Sequence[str]) -> None:
-    """Replace every group present in ``df`` by its rows; other groups stay."""
-    (
-        df.hint("rebalance", *group)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*group)
-        .parquet(path)
-    )
-
-
 # --- insert if absent -----------------------------------------------------
 
 def insert_absent(
@@ -212,7 +215,7 @@ def insert_absent(
     """Insert the keys that no other version holds, as one version."""
     stored = _versions(df.sparkSession, path, schema).where(F.col(VERSION) != version)
     fresh = df.select(*keys).distinct().join(stored, list(keys), "left_anti")
-    upsert(fresh, path, version)
+    write_version(fresh, path, version)
 
 
 def read_inserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -32,6 +32,7 @@ STEPS = ("user_counts", "clean_clicks", "stats", "province_top", "trend")
 
 COUNT_KEYS = ("date", "user_id", "ad_id")
 STAT_KEYS = ("date", "province", "city", "ad_id")
+TOP_GROUP = ("date", "province")
 TREND_KEYS = ("date", "hour", "minute", "ad_id")
 
 
@@ -69,10 +70,8 @@ class AdTables:
         return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS)
 
     def province_top3(self, spark: SparkSession) -> DataFrame:
-        return (
-            spark.read.schema(schemas.AD_PROVINCE_TOP3)
-            .parquet(self.path("ad_province_top3"))
-            .select(*schemas.AD_PROVINCE_TOP3.fieldNames())
+        return tables.read_replaced(
+            spark, self.path("ad_province_top3"), schemas.AD_PROVINCE_TOP3, TOP_GROUP
         )
 
     def trend(self, spark: SparkSession) -> DataFrame:
@@ -87,11 +86,13 @@ class AdTables:
         schema, keys, parts = {
             "ad_user_click_count": (schemas.AD_USER_CLICK_COUNT, COUNT_KEYS, ("date",)),
             "ad_stat": (schemas.AD_STAT, STAT_KEYS, ("date",)),
+            "ad_province_top3": (schemas.AD_PROVINCE_TOP3, TOP_GROUP, ("date",)),
             "ad_click_trend": (schemas.AD_CLICK_TREND, TREND_KEYS, ("date",)),
             "ad_blacklist": (schemas.AD_BLACKLIST, ("user_id",), ()),
         }[table]
         within = F.col("date").between(*dates) if dates and parts else None
-        tables.compact(spark, self.path(table), schema, keys, batch_id, parts, within)
+        groups = table == "ad_province_top3"
+        tables.compact(spark, self.path(table), schema, keys, batch_id, parts, within, groups)
 
 
 def _start(
@@ -152,7 +153,7 @@ def start_user_counts(
         version = tables.batch_version(batch_id)
         changed = changed.select(*schemas.AD_USER_CLICK_COUNT.fieldNames()).persist()
         try:
-            tables.upsert(changed, out.path("ad_user_click_count"), version, ["date"])
+            tables.write_version(changed, out.path("ad_user_click_count"), version, ["date"])
             tables.insert_absent(
                 ads.over_limit_users(changed, threshold), out.path("ad_blacklist"),
                 schemas.AD_BLACKLIST, ["user_id"], version,
@@ -199,7 +200,7 @@ def start_stats(
 
     def handle(changed: DataFrame, batch_id: int) -> None:
         rows = changed.select(*schemas.AD_STAT.fieldNames())
-        tables.upsert(rows, out.path("ad_stat"), tables.batch_version(batch_id), ["date"])
+        tables.write_version(rows, out.path("ad_stat"), tables.batch_version(batch_id), ["date"])
 
     return _start(totals, handle, out.checkpoint("stats"), "update", once, interval)
 
@@ -227,11 +228,11 @@ def start_province_top(
             days = changed.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
             if days["first"] is None:
                 return
-            touched = changed.select("date", "province").distinct()
+            touched = changed.select(*TOP_GROUP).distinct()
             stored = (
                 out.province_top3(changed.sparkSession)
                 .where(F.col("date").between(days["first"], days["last"]))
-                .join(touched, ["date", "province"], "left_semi")
+                .join(touched, list(TOP_GROUP), "left_semi")
             )
             best = ads.top_per_province(
                 changed.unionByName(stored)
@@ -239,7 +240,9 @@ def start_province_top(
                 .agg(F.max("click_count").alias("click_count")),
                 top,
             )
-            tables.replace_groups(best, out.path("ad_province_top3"), ["date", "province"])
+            tables.write_version(
+                best, out.path("ad_province_top3"), tables.batch_version(batch_id), ["date"]
+            )
         finally:
             changed.unpersist()
 
@@ -272,7 +275,7 @@ def start_trend(
 
     def handle(changed: DataFrame, batch_id: int) -> None:
         rows = changed.select(*schemas.AD_CLICK_TREND.fieldNames())
-        tables.upsert(rows, out.path("ad_click_trend"), tables.batch_version(batch_id), ["date"])
+        tables.write_version(rows, out.path("ad_click_trend"), tables.batch_version(batch_id), ["date"])
 
     return _start(totals, handle, out.checkpoint("trend"), "update", once, interval)
 

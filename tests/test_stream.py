@@ -114,7 +114,9 @@ def test_compaction_between_runs(spark, landing, out):
     landing.add(texts[:300])
     landing.add(texts[300:450])
     p.run_available(spark, stream(spark, landing), out, THRESHOLD)
-    for table in ("ad_user_click_count", "ad_blacklist", "ad_stat", "ad_click_trend"):
+    for table in (
+        "ad_user_click_count", "ad_blacklist", "ad_stat", "ad_province_top3", "ad_click_trend"
+    ):
         out.compact(spark, table, 0)
         out.compact(spark, table, 1)
     landing.add(texts[450:])

@@ -24,12 +24,12 @@ def path(spark, tmp_path):
 
 def test_upsert(spark, path):
     assert current(spark, path) == []
-    tables.upsert(counts(spark, (day(1), 1, 1, 3), (day(1), 2, 1, 9)), path, 0, ["date"])
-    tables.upsert(counts(spark, (day(1), 1, 1, 5), (day(2), 1, 1, 1)), path, 2, ["date"])
+    tables.write_version(counts(spark, (day(1), 1, 1, 3), (day(1), 2, 1, 9)), path, 0, ["date"])
+    tables.write_version(counts(spark, (day(1), 1, 1, 5), (day(2), 1, 1, 1)), path, 2, ["date"])
     want = [(day(1), 1, 1, 5), (day(1), 2, 1, 9), (day(2), 1, 1, 1)]
     assert current(spark, path) == want
     # the same batch again
-    tables.upsert(counts(spark, (day(1), 1, 1, 5), (day(2), 1, 1, 1)), path, 2, ["date"])
+    tables.write_version(counts(spark, (day(1), 1, 1, 5), (day(2), 1, 1, 1)), path, 2, ["date"])
     assert current(spark, path) == want
 
 
@@ -41,7 +41,7 @@ def test_compact(spark, path):
     schema = schemas.AD_USER_CLICK_COUNT
     for batch, n in enumerate((3, 4, 6)):
         rows = counts(spark, (day(1), 1, 1, n), (day(2), batch, 1, n))
-        tables.upsert(rows, path, tables.batch_version(batch), ["date"])
+        tables.write_version(rows, path, tables.batch_version(batch), ["date"])
     want = current(spark, path)
     tables.compact(spark, path, schema, KEYS, 1, ["date"])
     assert current(spark, path) == want
@@ -51,7 +51,7 @@ def test_compact(spark, path):
     # ... until the next compaction
     assert versions(path, 1) == ["version=3", "version=4", "version=5"]
     assert current(spark, path) == want
-    tables.upsert(counts(spark, (day(1), 1, 1, 9)), path, tables.batch_version(3), ["date"])
+    tables.write_version(counts(spark, (day(1), 1, 1, 9)), path, tables.batch_version(3), ["date"])
     assert (day(1), 1, 1, 9) in current(spark, path)
 
 
@@ -60,7 +60,7 @@ def test_compact_within_dates(spark, path):
 
     for batch in (0, 1):
         rows = counts(spark, (day(1), 1, 1, batch), (day(2), 1, 1, batch))
-        tables.upsert(rows, path, tables.batch_version(batch), ["date"])
+        tables.write_version(rows, path, tables.batch_version(batch), ["date"])
     only = F.col("date") == F.lit(day(2))
     tables.compact(spark, path, schemas.AD_USER_CLICK_COUNT, KEYS, 1, ["date"], only)
     assert versions(path, 1) == ["version=0", "version=2"]
@@ -86,18 +86,25 @@ def test_insert_absent(spark, path):
     assert tuples(tables.read_inserted(spark, path, schemas.AD_BLACKLIST)) == [(1,), (2,), (3,)]
 
 
-def test_replace_groups(spark, tmp_path):
-    path = str(tmp_path / "top")
+def test_replace_groups(spark, path):
+    schema, group = schemas.AD_PROVINCE_TOP3, ["date", "province"]
 
-    def put(*rows):
-        frame = spark.createDataFrame(list(rows), schemas.AD_PROVINCE_TOP3)
-        tables.replace_groups(frame, path, ["date", "province"])
+    def put(version, *rows):
+        tables.write_version(spark.createDataFrame(list(rows), schema), path, version, ["date"])
 
-    put((day(1), "P", 1, 5), (day(1), "P", 2, 4), (day(1), "Q", 1, 1))
-    put((day(1), "P", 3, 9))
-    stored = spark.read.schema(schemas.AD_PROVINCE_TOP3).parquet(path)
-    got = tuples(stored.select(*schemas.AD_PROVINCE_TOP3.fieldNames()))
-    assert got == [(day(1), "P", 3, 9), (day(1), "Q", 1, 1)]
+    def stored():
+        return tuples(tables.read_replaced(spark, path, schema, group))
+
+    assert stored() == []
+    put(0, (day(1), "P", 1, 5), (day(1), "P", 2, 4), (day(1), "Q", 1, 1))
+    put(2, (day(1), "P", 3, 9))
+    want = [(day(1), "P", 3, 9), (day(1), "Q", 1, 1)]
+    assert stored() == want
+    tables.compact(spark, path, schema, group, 1, ["date"], groups=True)
+    assert stored() == want
+    put(4, (day(1), "Q", 7, 3), (day(2), "P", 1, 1))
+    tables.compact(spark, path, schema, group, 2, ["date"], groups=True)
+    assert stored() == [(day(1), "P", 3, 9), (day(1), "Q", 7, 3), (day(2), "P", 1, 1)]
 
 
 def test_publish_once(spark, tmp_path):
