@@ -59,3 +59,19 @@ def test_page_flow_job(spark, base, tmp_path):
         jobs.run_page_flow_job(spark, base, str(tmp_path), 2)
     with pytest.raises(LookupError):
         jobs.run_page_flow_job(spark, base, str(tmp_path), 3)
+
+
+def test_command_line(spark, base, tmp_path, monkeypatch):
+    from clicktide.__main__ import main
+
+    def run(*args):
+        monkeypatch.setattr("sys.argv", ["clicktide", *args])
+        main()
+
+    common = ["--tables", base, "--results", str(tmp_path), "--task-id", "1"]
+    run("session", *common, "--sample-total", "5")
+    assert spark.read.parquet(str(tmp_path / "session_random_extract")).count() == 5
+    run("pageflow", *common)
+    assert spark.read.parquet(str(tmp_path / "page_split_convert_rate")).count() == 2
+    with pytest.raises(SystemExit):
+        run("ads", "--tables", base)
