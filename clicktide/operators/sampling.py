@@ -126,11 +126,20 @@ def _hint(ids: DataFrame, total: int) -> DataFrame:
 
 
 def session_sample(
-    sessions: DataFrame, total: int = 100, seed: str = "0", salts: int = SALTS
+    sessions: DataFrame,
+    total: int = 100,
+    seed: str = "0",
+    salts: int = SALTS,
+    records: DataFrame | None = None,
 ) -> DataFrame:
-    """The sampled session records."""
+    """The sampled session records.
+
+    ``records`` are the sessions with their lists, if ``sessions`` has none.  Given
+    as an aggregate of the log, only the sampled sessions are aggregated.
+    """
     ids = _hint(sample_ids(sessions, total, seed, salts), total)
-    return _record_columns(sessions).join(ids, "session_id", "left_semi")
+    full = sessions if records is None else records
+    return _record_columns(full).join(ids, "session_id", "left_semi")
 
 
 def session_sample_by_hour(

@@ -15,14 +15,18 @@ from clicktide.sources.tasks import TaskParams
 # --- aggregation and enrichment -------------------------------------------
 
 
-def aggregate_sessions(actions: DataFrame) -> DataFrame:
+def aggregate_sessions(actions: DataFrame, params: SessionFilter | None = None) -> DataFrame:
     """One row per session.
 
     Everything is a partially aggregated ``groupBy``, so a session that holds a
     large part of the log is reduced before the shuffle.  A query that needs no
     keyword or category list drops those columns and stays a plain hash
-    aggregate.
+    aggregate.  With ``params``, whether a session meets the keyword and category
+    parameters is aggregated too, and the filter need not see the lists either.
     """
+    hits = [] if params is None else [
+        F.bool_or(F.coalesce(cond, F.lit(False))).alias(name) for name, cond in params.hits().items()
+    ]
     grouped = actions.groupBy("session_id").agg(
         F.max("user_id").alias("user_id"),
         F.sort_array(F.collect_set(F.nullif("search_keyword", F.lit("")))).alias("search_keywords"),
@@ -30,6 +34,7 @@ def aggregate_sessions(actions: DataFrame) -> DataFrame:
         F.min("action_time").alias("start_time"),
         F.max("action_time").alias("end_time"),
         F.count(F.lit(1)).alias("step_length"),
+        *hits,
     )
     return grouped.select(
         "session_id",
@@ -39,6 +44,7 @@ def aggregate_sessions(actions: DataFrame) -> DataFrame:
         visit_millis(F.col("start_time"), F.col("end_time")).alias("visit_length_ms"),
         "step_length",
         "start_time",
+        *([] if params is None else params.hits()),
     )
 
 
@@ -98,21 +104,37 @@ class SessionFilter:
             task.keywords, task.category_ids,
         )
 
-    def predicate(self) -> Column:
-        ids = None if self.category_ids is None else [int(c) for c in self.category_ids]
-        id_array = None if ids is None else [F.lit(c).cast("bigint") for c in ids]
+    def hits(self) -> dict[str, Column]:
+        """What one action must show, for the parameters that look into a session."""
+        return {
+            "keyword_hit": any_of_if("search_keyword", self.keywords),
+            "category_hit": any_of_if("click_category_id", self.category_ids),
+        }
+
+    def user_predicate(self) -> Column:
         return (
             between_if("age", self.start_age, self.end_age)
             & any_of_if("professional", self.professionals)
             & any_of_if("city", self.cities)
             & any_of_if("sex", self.sex)
-            & overlaps_if("search_keywords", self.keywords)
-            & overlaps_if("click_category_ids", id_array)
+        )
+
+    def list_predicate(self) -> Column:
+        ids = self.category_ids
+        id_array = None if ids is None else [F.lit(int(c)).cast("bigint") for c in ids]
+        return overlaps_if("search_keywords", self.keywords) & overlaps_if(
+            "click_category_ids", id_array
         )
 
 
 def filter_sessions(sessions: DataFrame, params: SessionFilter) -> DataFrame:
-    return sessions.where(params.predicate())
+    """Sessions that meet every parameter given."""
+    hits = list(params.hits())
+    if set(hits) <= set(sessions.columns):
+        inside = F.col(hits[0]) & F.col(hits[1])
+    else:
+        inside = params.list_predicate()
+    return sessions.where(params.user_predicate() & inside).drop(*hits)
 
 
 def _condition(text: str) -> Column:

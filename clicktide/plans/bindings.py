@@ -62,7 +62,7 @@ def actions(
     return events.select(
         F.to_date("ts").alias("date"),
         "user_id",
-        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"),
         page.alias("page_id"),
         F.col("ts").cast("timestamp").alias("action_time"),
         F.when(kind == "view", F.concat(F.lit("kw"), (k % 10).cast("string"))).alias("search_keyword"),

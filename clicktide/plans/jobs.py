@@ -44,9 +44,14 @@ def run_session_job(
     task = _task(spark, tables_dir, task_id)
     actions = _actions(spark, tables_dir, task)
     users = readers.read_table(spark, tables_dir, "user_info")
-    enriched = sessions.join_users(sessions.aggregate_sessions(actions), users)
-    chosen = sessions.filter_sessions(enriched, sessions.SessionFilter.from_task(task))
-    filtered = tables.materialize(chosen, "filtered-sessions")
+    params = sessions.SessionFilter.from_task(task)
+    enriched = sessions.join_users(sessions.aggregate_sessions(actions, params), users)
+    chosen = sessions.filter_sessions(enriched, params)
+    # without the keyword and category lists, which only the sample needs
+    filtered = tables.materialize(
+        chosen.select("session_id", "visit_length_ms", "step_length", "start_time"),
+        "filtered-sessions",
+    )
     counts = categories.session_category_counts(actions)
     pairs = tables.materialize(sessions.of_sessions(counts, filtered), "session-categories")
 
@@ -54,7 +59,11 @@ def run_session_job(
         tables.append_result(_stored(df), results_dir, table, task_id)
 
     store(sessions.session_aggr_stat(sessions.session_histogram(filtered)), "session_aggr_stat")
-    store(sampling.session_sample(filtered, sample_total, seed), "session_random_extract")
+    records = sessions.aggregate_sessions(actions)
+    store(
+        sampling.session_sample(filtered, sample_total, seed, records=records),
+        "session_random_extract",
+    )
     store(sampling.session_sample_detail(actions, filtered, sample_total, seed), "session_detail")
     top = tables.materialize(
         categories.top_categories(categories.sum_sessions(pairs)), "top-categories"

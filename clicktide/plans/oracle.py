@@ -12,7 +12,7 @@ VIEWS = {
     "actions": """
         SELECT strftime(ts, '%Y-%m-%d') AS date,
                user_id,
-               user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
+               user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
                CAST(CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3
                     WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END AS BIGINT) AS page_id,
                ts AS action_time,
@@ -177,11 +177,11 @@ def _bucket(value: str, prefix: str, label: str, low: int, high: int | None) ->
     return f"count(*) FILTER ({value} > {low}{upper}) AS {prefix}_{label}"
 
 
-def _buckets(visit: tuple, step: tuple) -> tuple[list[str], str]:
+def _buckets(visit: tuple, step: tuple, source: str = "filtered") -> tuple[list[str], str]:
     parts = [_bucket("visit_length_ms // 1000", "visit_length", *x) for x in visit]
     parts += [_bucket("step_length", "step_length", *x) for x in step]
     names = [p.rsplit(" AS ", 1)[1] for p in parts]
-    return names, f"SELECT count(*) AS session_count, {', '.join(parts)} FROM filtered"
+    return names, f"SELECT count(*) AS session_count, {', '.join(parts)} FROM {source}"
 
 
 def _ratios() -> str:
@@ -261,6 +261,13 @@ BODIES = {
     """,
     "session_histogram": _buckets(VISIT, STEP)[1],
     "session_histogram_wide": _buckets(WIDE_VISIT, NARROW_STEP)[1],
+    "session_histogram_searched": _buckets(
+        WIDE_VISIT, NARROW_STEP,
+        """(SELECT * FROM enriched
+            WHERE list_has_any(string_split(search_keywords, ','), ['kw1', 'kw4'])
+              AND list_has_any(string_split(click_category_ids, ','),
+                               list_transform(range(50), lambda i: CAST(i AS VARCHAR))))""",
+    )[1],
     "session_aggr_stat": _ratios(),
     "session_histogram_percent": _percents(),
     "category_order_counts": """

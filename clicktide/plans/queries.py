@@ -144,6 +144,17 @@ def session_histogram_wide(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.session_histogram(_filtered(spark, sf), WIDE_VISITS, NARROW_STEPS)
 
 
+@query
+def session_histogram_searched(spark: SparkSession, sf: str) -> DataFrame:
+    """The histogram of sessions with given keywords and categories, without building lists."""
+    params = sessions.SessionFilter(keywords=("kw1", "kw4"), category_ids=tuple(range(50)))
+    grouped = sessions.aggregate_sessions(b.actions(spark, sf), params)
+    enriched = sessions.join_users(grouped, b.user_info(spark, sf))
+    return sessions.session_histogram(
+        sessions.filter_sessions(enriched, params), WIDE_VISITS, NARROW_STEPS
+    )
+
+
 @query
 def session_aggr_stat(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.session_aggr_stat(sessions.session_histogram(_filtered(spark, sf)))

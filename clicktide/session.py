@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # row_number() <= n is cut before the shuffle for n up to this
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # collect_set switches to sort aggregation beyond this many groups per task
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # streaming state beyond the executor heap

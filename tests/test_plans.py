@@ -37,6 +37,10 @@ def test_category_counts_scan_once(spark):
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
 
 
+def test_filter_on_hits_builds_no_lists(spark):
+    assert "collect_set" not in plan(spark, "session_histogram_searched")
+
+
 def test_histogram_reads_no_lists(spark):
     text = plan(spark, "session_histogram")
     assert "collect_set" not in text and "props" not in text

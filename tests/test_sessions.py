@@ -80,6 +80,26 @@ def test_filter(enriched, params, want):
     assert kept(enriched, **params) == want
 
 
+@pytest.mark.parametrize(
+    "params",
+    [{}, {"keywords": ("kw1",)}, {"category_ids": (0, 10)}, {"keywords": ("kw1",), "category_ids": (10,)},
+     {"keywords": ("kw1",), "category_ids": (1,)}, {"sex": ("male",), "keywords": ("kw10", "x")}],
+)
+def test_hits_filter_like_lists(spark, params):
+    log = actions(
+        spark,
+        action("s1", 0, user=1, keyword="kw1"), action("s1", 1, user=1, category=10),
+        action("s2", 0, user=2, category=1), action("s2", 1, user=2, keyword=""),
+        action("s3", 0, user=1, keyword="kw10"), action("s3", 1, user=1, category=0),
+    )
+    people = users(spark, (1, 20, "p", "c", "male"), (2, 30, "p", "c", "female"))
+    params = s.SessionFilter(**params)
+    by_lists = s.filter_sessions(s.join_users(s.aggregate_sessions(log), people), params)
+    by_hits = s.filter_sessions(s.join_users(s.aggregate_sessions(log, params), people), params)
+    assert by_hits.columns == by_lists.columns
+    assert tuples(by_hits) == tuples(by_lists)
+
+
 def test_equal_if(enriched):
     assert enriched.where(s.equal_if("city", "c1")).count() == 1
     assert enriched.where(s.equal_if("city", None)).count() == 3
