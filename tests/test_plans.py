@@ -1,6 +1,7 @@
 """Shapes of the physical plans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 
@@ -56,3 +57,68 @@ def test_page_flow_scans_once(spark):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
+@pytest.fixture
+def small_limits(spark):
+    """Shuffled joins, and partitions that count as skewed at test size."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("operator", ["join_users", "of_sessions", "drop_listed"])
+def test_a_hot_key_is_split(spark, small_limits, operator):
+    """One key holds a third of all rows; the join reads its partition in pieces."""
+    from clicktide.operators import ads, sessions
+
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000)
+    rows = spark.range(0, 60000, 1, 16).select(
+        key.alias("user_id"), key.cast("string").alias("session_id"), F.md5(F.col("id").cast("string")).alias("x")
+    )
+    keys = spark.range(0, 5000, 1, 4).select(
+        F.col("id").alias("user_id"), F.col("id").cast("string").alias("session_id"),
+        *[F.lit("v").alias(c) for c in ("age", "professional", "city", "sex")],
+    )
+    joined = {
+        "join_users": lambda: sessions.join_users(rows, keys),
+        "of_sessions": lambda: sessions.of_sessions(rows, keys),
+        "drop_listed": lambda: ads.drop_listed(rows, keys.where("user_id > 10")),
+    }[operator]()
+    text = final_plan(joined)
+    assert "SortMergeJoin(skew=true)" in text
+    assert joined.count() == (20000 + sum(1 for i in range(60000) if i % 3 and i % 5000 <= 10)
+                              if operator == "drop_listed" else 60000)
+
+
+@pytest.mark.parametrize("salts", [1, 64])
+def test_a_hot_hour_meets_as_its_quota_only(spark, salts):
+    """All sessions in one hour: the last ranking sees at most salts * quota rows."""
+    from clicktide.operators.sampling import session_sample
+
+    frame = spark.range(0, 50000, 1, 8).select(
+        F.col("id").cast("string").alias("session_id"),
+        F.lit("2024-01-01 05:00:00").cast("timestamp").alias("start_time"),
+        F.array().cast("array<string>").alias("search_keywords"),
+        F.array().cast("array<bigint>").alias("click_category_ids"),
+    )
+    sample = session_sample(frame, 100, salts=salts)
+    assert sample.count() == 100
+    assert "WindowGroupLimit" in final_plan(sample)
