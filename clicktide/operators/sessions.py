@@ -9,7 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicktide.functions import format_time, parse_time, percent_text, ratio, visit_millis
+from clicktide.functions import (
+    format_time,
+    get_field,
+    parse_time,
+    percent_text,
+    ratio,
+    visit_millis,
+)
 from clicktide.sources.tasks import TaskParams
 
 # --- aggregation and enrichment -------------------------------------------
@@ -268,14 +275,13 @@ def encode_sessions(sessions: DataFrame) -> DataFrame:
 
 def decode_sessions(lines: DataFrame) -> DataFrame:
     """Text lines back to typed columns; empty fields become NULL or empty lists."""
-    parts = lines.select(F.split("value", SEPARATOR, 2).alias("p"))
-    record = parts.select(
-        F.get("p", F.lit(0)).alias("session_id"),
-        F.str_to_map(F.rtrim(F.get("p", F.lit(1)), F.lit("|")), F.lit("\\|"), F.lit("=")).alias("m"),
+    part = F.split("value", SEPARATOR, 2)
+    record = lines.select(
+        F.get(part, F.lit(0)).alias("session_id"), F.get(part, F.lit(1)).alias("info")
     )
 
     def field(name: str) -> Column:
-        return F.nullif(F.try_element_at("m", F.lit(name)), F.lit(""))
+        return get_field(F.col("info"), name)
 
     def listed(name: str) -> Column:
         return F.coalesce(F.split(field(name), ","), F.array().cast("array<string>"))

@@ -9,7 +9,7 @@ from clicktide import functions as fn
 from clicktide.operators import ads, area, categories, pageflow, sampling, sessions
 from clicktide.sources import readers, tables
 from clicktide.sources.tasks import TaskParams, find_task
-from clicktide.streaming import pipeline
+from clicktide.streaming import ad_stream
 
 
 def _task(spark: SparkSession, tables_dir: str, task_id: int) -> TaskParams:
@@ -95,11 +95,11 @@ def run_ad_stream_job(
     tables_dir: str,
     threshold: int = ads.CLICK_LIMIT,
     keep: str | None = "1 day",
-    interval: str = pipeline.INTERVAL,
+    interval: str = ad_stream.INTERVAL,
 ) -> None:
     """Run the ad pipeline over a stream of text lines until it is stopped."""
     clicks = ads.parse_ad_lines(lines)
-    pipeline.start_pipeline(
-        spark, clicks, pipeline.AdTables(tables_dir), threshold, keep, interval
+    ad_stream.start_all(
+        spark, clicks, ad_stream.AdTables(tables_dir), threshold, keep, interval
     )
     spark.streams.awaitAnyTermination()

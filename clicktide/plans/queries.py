@@ -12,7 +12,7 @@ from clicktide.operators import ads, area, categories, pageflow, sampling, sessi
 from clicktide.plans import bindings as b
 from clicktide.session import scratch_dir
 from clicktide.sources import readers, schemas, tables, tasks
-from clicktide.streaming import pipeline
+from clicktide.streaming import ad_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,10 +439,10 @@ def ad_click_trend_last_hour(spark: SparkSession, sf: str) -> DataFrame:
 # --- ad stream ------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf: str, *steps: str) -> pipeline.AdTables:
-    out = pipeline.AdTables(scratch_dir(spark, "ad-stream"))
+def _streamed(spark: SparkSession, sf: str, *steps: str) -> ad_stream.AdTables:
+    out = ad_stream.AdTables(scratch_dir(spark, "ad-stream"))
     clicks = ads.parse_ad_lines(b.ad_line_stream(spark, sf))
-    pipeline.run_available(spark, clicks, out, THRESHOLD, steps=steps)
+    ad_stream.run_available(spark, clicks, out, THRESHOLD, steps=steps)
     return out
 
 
@@ -483,14 +483,14 @@ def ad_click_trend_stream(spark: SparkSession, sf: str) -> DataFrame:
 def ad_restart(spark: SparkSession, sf: str) -> DataFrame:
     """User counts over two arrivals of text lines, resumed from the checkpoint between them."""
     landing = scratch_dir(spark, "ad-landing")
-    out = pipeline.AdTables(scratch_dir(spark, "ad-restart"))
+    out = ad_stream.AdTables(scratch_dir(spark, "ad-restart"))
     lines = b.ad_lines(spark, sf)
     at = F.get(F.split("value", " "), F.lit(0)).cast("bigint")
     middle = F.lit("2024-01-16").cast("timestamp")
     for arrived in (at < F.unix_millis(middle), at >= F.unix_millis(middle)):
         lines.where(arrived).write.mode("append").text(landing)
         clicks = ads.parse_ad_lines(readers.read_text_stream(spark, landing))
-        pipeline.run_available(spark, clicks, out, THRESHOLD, steps=("user_counts",))
+        ad_stream.run_available(spark, clicks, out, THRESHOLD, steps=("user_counts",))
     return out.user_click_count(spark).withColumn("date", _date())
 
 
@@ -513,7 +513,7 @@ def sink_upsert_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = tables.ensure_table(spark, scratch_dir(spark, "upsert"))
     clicks = b.ad_clicks(spark, sf)
     morning = F.hour("event_time") < 12
-    keys = pipeline.STAT_KEYS
+    keys = ad_stream.STAT_KEYS
     tables.write_version(ads.ad_stat(clicks.where(morning)), path, 0, ["date"])
     later = clicks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("click_count"), F.count_if(~morning).alias("late")
@@ -531,7 +531,7 @@ def sink_replace_group_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     late = clicks.where(F.col("date") >= F.lit("2024-01-16").cast("date"))
     for version, part in ((0, early), (2, late)):
         tables.write_version(ads.province_top(ads.ad_stat(part)), path, version, ["date"])
-    stored = tables.read_replaced(spark, path, schemas.AD_PROVINCE_TOP3, pipeline.TOP_GROUP)
+    stored = tables.read_replaced(spark, path, schemas.AD_PROVINCE_TOP3, ad_stream.TOP_GROUP)
     return stored.withColumn("date", _date())
 
 

@@ -306,7 +306,7 @@ def run_available(
         start[step]().awaitTermination()
 
 
-def start_pipeline(
+def start_all(
     spark: SparkSession,
     clicks: DataFrame,
     out: AdTables,

@@ -173,6 +173,16 @@ def test_record_round_trip(spark, enriched, tmp_path):
     assert tuples(back) == tuples(enriched.select(*back.columns))
 
 
+def test_decode_foreign_records(spark):
+    """A field named twice counts once; empty and broken fields are absent."""
+    text = "s\x01sessionid=s|visitLength=5|visitLength=6|stepLength=x|startTime=2018-12-14 6:20:00|city=a=b|age=|"
+    lines = spark.createDataFrame([(text,), ("only-id",)], "value string")
+    first, second = s.decode_sessions(lines).orderBy(F.desc("session_id")).collect()
+    assert (first.visit_length_ms, first.step_length, first.city, first.age) == (5, None, None, None)
+    assert first.start_time == at(0) and first.search_keywords == []
+    assert second.session_id == "only-id" and second.visit_length_ms is None
+
+
 def test_date_range(spark):
     log = actions(spark, *[action("s", d * 86400) for d in range(4)])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clicktide.operators import ads
 from clicktide.sources import readers
-from clicktide.streaming import pipeline as p
+from clicktide.streaming import ad_stream as p
 
 T = datetime(2018, 12, 17, 23, 0, 0)
 THRESHOLD = 5
@@ -152,7 +152,7 @@ def test_continuous(spark, landing, out):
     """All queries at once on a short interval."""
     texts = make_lines(300)
     landing.add(texts[:200])
-    queries = p.start_pipeline(
+    queries = p.start_all(
         spark, stream(spark, landing), out, THRESHOLD, keep=None, interval="1 second"
     )
     try:
