@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.llm import chat, langid, near, outliers, packing, quality, seekable, tiling, warc
+from clicktide.llm import chat, langid, near, outliers, packing, quality, seekable, substrings, tiling, warc
 from clicktide.llm.common import bucket_of, table
 
 NEAR_OP = near.Near(shingle=3, percent=85)
@@ -44,6 +44,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 50 bytes."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), NEAR_OP)
@@ -65,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_chat_format, op3_token_files, op4_quality, op5_decontamination,
+    op1_language_id, op2_chat_format, op3_token_files, op4_quality, op5_decontamination, op6_substring_dedup,
     op7_near_duplicates, op8_quality_rules, op9_warc, op10_packing,
 )}
 ORACLE: dict[str, str] = {}

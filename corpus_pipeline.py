@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clicktide.llm import langid, near, packing, tiling
+from clicktide.llm import langid, near, packing, substrings, tiling
 from clicktide.llm.common import ship, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,16 +16,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language identification rejects: no letter, or too little confidence."""
     ship(spark)
-    verdicts = langid.predict(docs, langid.fit(docs), *[c for c in docs.columns if c != "doc_id"])
-    return verdicts.where("not rejected").select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    # under names of their own, so that no column clashes with the verdict's
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"keep{i}") for i, c in enumerate(others)))
+    verdicts = langid.predict(plain, langid.fit(docs), *(f"keep{i}" for i in range(len(others)))).where("not rejected")
+    return verdicts.select("doc_id", *(F.col(f"keep{i}").alias(c) for i, c in enumerate(others))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each near-duplicate class: five words, similarity 0.8."""
+    """Keep the first document of each near-duplicate class: five words, similarity 0.8.
+
+    A repeated row stays once; documents without an id are linked with nothing and stay.
+    """
     ship(spark)
     kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # documents without an id are linked with nothing
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of 50 bytes that an earlier document has; a document of which nothing is left goes.
+
+    A character that was cut in two goes with the cut; a null text is empty;
+    ``n_chars``, if there, counts anew.
+    """
+    ship(spark)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substrings.remove_repeats(docs, keep=tuple(others), as_text=True)
+    cut = cut.where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
+    out = cut.select(
+        "doc_id", F.col("kept").alias("text"), *(F.col(f"keep{i}").alias(c) for i, c in enumerate(others)),
+    )
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +66,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES: list[tuple[str, Stage]] = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", remove_substrings),
     ("decontamination", drop_contaminated),
     ("packing", pack_windows),
 ]

@@ -1,0 +1,54 @@
+import re
+
+import pytest
+from conftest import STRANGE
+
+import brute
+import corpus_pipeline as cp
+from clicktide.llm.common import stored, table
+
+D = "/root/testdata/sf0.01"
+
+
+def test_stages_in_order(spark):
+    """Each stage on the whole of what its predecessor kept, against plain versions."""
+    assert [n for n, _ in cp.STAGES] == ["language", "near_duplicates", "substring_dedup", "decontamination", "packing"]
+    docs = table(spark, D, "documents")
+    columns, kept = docs.columns, {}
+    for name, stage in cp.STAGES[:-1]:
+        before = docs
+        docs = stored(stage(spark, docs, D), f"test-{name}")
+        assert docs.columns == columns
+        kept[name] = (before.collect(), docs.collect())
+    before, after = kept["language"]
+    have = {r.doc_id for r in after}
+    assert all(not re.search(r"[^\W\d_]", r.text or "") or len(r.text) < 200 for r in before if r.doc_id not in have)
+    before, after = kept["near_duplicates"]
+    classes = brute.near([(r.doc_id, r.text) for r in before], 5, 80)
+    assert {r.doc_id for r in after} == {d for d, (_, c) in classes.items() if c == d}
+    before, after = kept["substring_dedup"]
+    left = brute.substrings([(r.doc_id, r.text) for r in before])
+    for r in after:
+        if left[r.doc_id][1] == 0:
+            assert left[r.doc_id][0] == len(r.text.encode())
+        assert r.n_chars == len(r.text) and 0 <= left[r.doc_id][0] - left[r.doc_id][1] - len(r.text.encode()) <= 6 * left[r.doc_id][2]
+    assert {r.doc_id for r in after} == {d for d, v in left.items() if v[0] > v[1] or not v[1]}
+    before, after = kept["decontamination"]
+    items = [re.findall(r"[^\W_]+", r.text.lower()) for r in table(spark, D, "benchmark").collect()]
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    for r in before:
+        text = " " + " ".join(re.findall(r"[^\W_]+", r.text.lower())) + " "
+        if any(f" {' '.join(i)} " in text for i in items):
+            assert r.doc_id in gone
+    assert len(gone) < len(before) * 0.1
+    assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, D).collect()} == {r.doc_id for r in after}
+
+
+@pytest.mark.parametrize("rows", [STRANGE, []])
+def test_strange(docs, spark, rows):
+    df = docs(STRANGE).where("true" if rows else "false")
+    for name, stage in cp.STAGES[:-1]:
+        columns = df.columns
+        df = stored(stage(spark, df, "/root/testdata/sf0.001"), f"strange-{name}")
+        assert df.columns == columns
+    assert cp.STAGES[-1][1](spark, df, "/root/testdata/sf0.001").count() >= df.count()
