@@ -38,5 +38,13 @@ def rounded_share(n: Column, d: Column, total: int) -> Column:
 
 
 def format_double(x: Column, scale: int) -> Column:
-    """Half-up rounding of a double to ``scale`` places; NaN and NULL become 0."""
-    return F.coalesce(F.round(F.when(~F.isnan(x), x), scale), F.lit(0.0))
+    """Half-up rounding of the exact value of a double to ``scale`` places; NaN and NULL become 0.
+
+    A double lies exactly between two such values only if it is an odd multiple of
+    ``2 ** -(scale + 1)``; anything else is rounded by its exact binary value.
+    """
+    halves = x * F.lit(float(2 ** (scale + 1)))
+    tie = (halves == F.floor(halves)) & (F.abs(halves % F.lit(2.0)) == 1.0)
+    nearest = F.regexp_replace(F.format_number(x, scale), ",", "").cast("double")
+    known = x.isNotNull() & ~F.isnan(x)
+    return F.when(known, F.when(tie, F.round(x, scale)).otherwise(nearest)).otherwise(F.lit(0.0))

@@ -12,13 +12,25 @@ CLICK_COLUMNS = ("event_time", "date", "province", "city", "user_id", "ad_id")
 # --- text lines -----------------------------------------------------------
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    # "<epoch ms> <province> <city> <user id> <ad id>"
-    part = F.split("value", " ")
+# Milliseconds from the year 1970 to the end of 9999: what a date folder can name.
+MILLIS_RANGE = (0, 253_402_300_799_999)
+# Clock error that a click may have ahead of its arrival.
+AHEAD_SECONDS = 86_400
+
+
+def _parsed(lines: DataFrame, arrival: Column | None) -> DataFrame:
+    # "<epoch ms> <province> <city> <user id> <ad id>", perhaps with blanks behind
+    part = F.split(F.rtrim("value"), " ")
+    millis = F.get(part, F.lit(0)).try_cast("bigint")
+    # compared before it becomes a time, as the conversion fails on large numbers
+    millis = F.when(millis.between(*MILLIS_RANGE), millis)
+    if arrival is not None:
+        latest = F.unix_millis(arrival) + F.lit(1000 * AHEAD_SECONDS)
+        millis = F.when(millis <= latest, millis)
     typed = lines.select(
         "value",
         F.size(part).alias("fields"),
-        millis_to_time(F.get(part, F.lit(0)).try_cast("bigint")).alias("event_time"),
+        millis_to_time(millis).alias("event_time"),
         F.get(part, F.lit(1)).alias("province"),
         F.get(part, F.lit(2)).alias("city"),
         F.get(part, F.lit(3)).try_cast("bigint").alias("user_id"),
@@ -32,14 +44,18 @@ def _well_formed() -> Column:
     return (F.col("fields") == 5) & typed[0] & typed[1] & typed[2]
 
 
-def parse_ad_lines(lines: DataFrame) -> DataFrame:
-    """Typed clicks from text lines in column ``value``; malformed lines are left out."""
-    return _parsed(lines).where(_well_formed()).select(*CLICK_COLUMNS)
+def parse_ad_lines(lines: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """Typed clicks from text lines in column ``value``; the lines that :func:`rejected_ad_lines` gives are left out."""
+    return _parsed(lines, arrival).where(_well_formed()).select(*CLICK_COLUMNS)
 
 
-def rejected_ad_lines(lines: DataFrame) -> DataFrame:
-    """The malformed lines."""
-    return _parsed(lines).where(~_well_formed()).select("value")
+def rejected_ad_lines(lines: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """Lines without five fields, or with a time, user or ad that is no number in its range.
+
+    With ``arrival`` also those dated more than ``AHEAD_SECONDS`` after it: one
+    clock far ahead would otherwise move every watermark past the other clicks.
+    """
+    return _parsed(lines, arrival).where(~_well_formed() | F.col("value").isNull()).select("value")
 
 
 # --- blacklist ------------------------------------------------------------
@@ -107,8 +123,24 @@ def click_trend(clicks: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("click_count"))
 
 
+def last_minutes(clicks: DataFrame, minutes: int = 60, as_of: Column | None = None) -> DataFrame:
+    """Clicks of the last ``minutes`` minutes up to the minute of ``as_of`` (default: the newest click).
+
+    Plain ranges on ``date`` and ``event_time``, which reach partitions and row groups.
+    """
+    if as_of is None:
+        newest = clicks.agg(F.max("event_time")).first()[0]
+        if newest is None:
+            return clicks.where(F.lit(False))
+        as_of = F.lit(newest)
+    end = F.timestamp_seconds(F.unix_seconds(F.date_trunc("minute", as_of)) + F.lit(60))
+    start = F.timestamp_seconds(F.unix_seconds(end) - F.lit(60 * minutes))
+    inside = (F.col("event_time") >= start) & (F.col("event_time") < end)
+    return clicks.where(inside & F.col("date").between(F.to_date(start), F.to_date(end)))
+
+
 def recent_trend(trend: DataFrame, minutes: int = 60, as_of: Column | None = None) -> DataFrame:
-    """The minutes of a trend in the last hour before ``as_of`` (default: its newest minute)."""
+    """The minutes of a stored trend in the last hour before ``as_of`` (default: its newest minute)."""
     at = F.make_timestamp(
         F.year("date"), F.month("date"), F.day("date"), F.col("hour"), F.col("minute"), F.lit(0)
     )

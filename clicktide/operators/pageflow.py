@@ -1,9 +1,9 @@
 """Page-flow steps and one-step conversion rates.
 
 A session may hold a large part of the log, so the previous page of an action
-is not looked up over whole sessions.  Sessions are cut into time slices; a
-slice finds its inner pairs by itself, and the slices of a session are linked
-through their first and last page, one row per slice.
+is not looked up over whole sessions.  Sessions are cut into time slices of a
+bounded number of rows.  One window over the slices finds their inner pairs;
+only the first and last page of each slice go on to a window over the session.
 """
 
 from __future__ import annotations
@@ -16,43 +16,106 @@ from pyspark.sql import functions as F
 from clicktide.functions import ratio
 
 SLICE_SECONDS = 600
+SLICE_ROWS = 200_000
 
 
-def previous_pages(actions: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """``session_id, prev_page, page_id`` for every action in time order.
+def _sliced(actions: DataFrame, slice_seconds: int, slice_rows: int) -> DataFrame:
+    """``session_id, page_id, action_time, slice``: slices follow each other in time.
 
-    ``prev_page`` is NULL for the first action of a session.  Actions at one
-    instant are ordered by page.
+    A slice of more than ``slice_rows`` rows is cut by a step that is as much finer;
+    actions of one instant stay together.
     """
-    slice_no = F.floor(F.unix_seconds("action_time") / F.lit(slice_seconds))
-    base = actions.select(
-        "session_id", "page_id", "action_time", slice_no.alias("slice")
-    ).repartition("session_id", "slice")
-
-    in_slice = Window.partitionBy("session_id", "slice").orderBy("action_time", "page_id")
-    inner = base.select(
-        "session_id",
-        F.lag("page_id").over(in_slice).alias("prev_page"),
-        "page_id",
-        F.row_number().over(in_slice).alias("rn"),
-    ).where(F.col("rn") > 1)
-
-    order = F.struct("action_time", "page_id")
-    slices = base.groupBy("session_id", "slice").agg(
-        F.min_by("page_id", order).alias("first_page"),
-        F.max_by("page_id", order).alias("last_page"),
+    micros = slice_seconds * 1_000_000
+    at = F.unix_micros("action_time")
+    # a NULL time sorts first: it is before every slice
+    number = F.coalesce(F.floor(at / F.lit(micros)), F.lit(-(2**40)).cast("bigint"))
+    base = actions.select("session_id", "page_id", "action_time", number.alias("number"))
+    full = (
+        base.groupBy("session_id", "number").agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > slice_rows)
+        .select("session_id", "number", F.ceil(F.col("rows") / F.lit(slice_rows)).alias("pieces"))
+    )
+    inside = F.floor(F.pmod(at, F.lit(micros)) * F.col("pieces") / F.lit(micros))
+    # only the slices that are too full are on the right
+    cut = base.join(full, ["session_id", "number"], "left")
+    return cut.select(
+        "session_id", "page_id", "action_time",
+        F.struct("number", F.coalesce(inside, F.lit(0).cast("bigint")).alias("piece")).alias("slice"),
+    )
+
+
+def _neighbours(actions: DataFrame, slice_seconds: int, slice_rows: int) -> DataFrame:
+    """Each action with the page before it in its slice, and whether it is the slice's first or last."""
+    order = Window.partitionBy("session_id", "slice").orderBy("action_time", "page_id")
+    # the structs tell a missing neighbour from one without a page
+    before = F.lag(F.struct("page_id")).over(order)
+    after = F.lead(F.struct("page_id")).over(order)
+    found = _sliced(actions, slice_seconds, slice_rows).select(
+        "session_id", "slice", "page_id", before.alias("before"), after.alias("after")
     )
-    by_slice = Window.partitionBy("session_id").orderBy("slice")
-    heads = slices.select(
-        "session_id",
-        F.lag("last_page").over(by_slice).alias("prev_page"),
-        F.col("first_page").alias("page_id"),
+    return found.select(
+        "session_id", "slice", "page_id", F.col("before.page_id").alias("prev_page"),
+        F.col("before").isNull().alias("first"), F.col("after").isNull().alias("last"),
     )
-    return inner.drop("rn").unionByName(heads)
+
+
+def _linked(ends: DataFrame) -> Column:
+    """The page before the first action of a slice."""
+    # a slice's first row precedes its last one
+    return F.lag("page_id").over(Window.partitionBy("session_id").orderBy("slice", F.desc("first")))
+
+
+def previous_pages(
+    actions: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """``session_id, prev_page, page_id`` for every action in time order.
+
+    ``prev_page`` is NULL for the first action of a session and after an action
+    without a page.  Actions at one instant are ordered by page.
+    """
+    rows = _neighbours(actions, slice_seconds, slice_rows)
+    ends = rows.where("first or last")
+    heads = ends.withColumn("prev_page", _linked(ends)).where("first")
+    columns = ["session_id", "prev_page", "page_id"]
+    return rows.where("not first").select(*columns).unionByName(heads.select(*columns))
+
+
+def _counted(
+    actions: DataFrame, flow: Sequence[int], slice_seconds: int, slice_rows: int
+) -> DataFrame:
+    """``label, pv`` of the wanted steps and of the visits to the start page, in one pass."""
+    rows = _neighbours(actions, slice_seconds, slice_rows)
+    item = "struct<label:string,session_id:string,slice:struct<number:bigint,piece:bigint>,first:boolean,page_id:bigint>"
+
+    def event(when: Column, label: Column | None = None) -> Column:
+        nothing = F.lit(None)
+        fields = [label, nothing, nothing, nothing, nothing] if label is not None else [
+            nothing, F.col("session_id").cast("string"), F.col("slice"), F.col("first"), F.col("page_id")]
+        return F.when(when, F.struct(*fields).cast(item))
+
+    step = _step(F.col("prev_page"), F.col("page_id"))
+    events = F.array_compact(F.array(
+        event(~F.col("first") & step.isin(flow_steps(flow)), step),
+        event(F.col("page_id") == F.lit(int(flow[0])), F.lit(START)),
+        event(F.col("first") | F.col("last")),
+    ))
+    # pairs shrink to one row per label before the shuffle, ends stay one by one
+    told = rows.select(F.inline(events)).groupBy("label", "session_id", "slice", "first", "page_id").agg(F.count(F.lit(1)).alias("pv"))
+    link = F.when(F.col("first") & F.col("label").isNull(), _step(_linked(told), F.col("page_id")))
+    labelled = told.select(F.coalesce("label", link).alias("label"), "pv")
+    return (
+        labelled.where(F.col("label").isin([START, *flow_steps(flow)]))
+        .groupBy("label").agg(F.sum("pv").alias("pv"))
+    )
+
+
+# Label of a visit to the start page; no step looks like it.
+START = "start"
 
 
 def _step(prev: Column, page: Column) -> Column:
-    return F.concat_ws("_", prev.cast("string"), page.cast("string"))
+    # NULL unless both pages are there
+    return F.concat(prev.cast("string"), F.lit("_"), page.cast("string"))
 
 
 def flow_steps(flow: Sequence[int]) -> list[str]:
@@ -61,13 +124,11 @@ def flow_steps(flow: Sequence[int]) -> list[str]:
 
 
 def page_split_counts(
-    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS
+    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """How often each step of the flow occurs between adjacent actions of a session."""
-    steps = previous_pages(actions, slice_seconds).where(F.col("prev_page").isNotNull())
-    labelled = steps.select(_step(F.col("prev_page"), F.col("page_id")).alias("page_split"))
-    wanted = labelled.where(F.col("page_split").isin(flow_steps(flow)))
-    return wanted.groupBy("page_split").agg(F.count(F.lit(1)).alias("pv"))
+    counted = _counted(actions, flow, slice_seconds, slice_rows).where(F.col("label") != START)
+    return counted.select(F.col("label").alias("page_split"), "pv")
 
 
 def start_page_visits(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
@@ -77,30 +138,19 @@ def start_page_visits(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
 
 
 def page_convert_rate(
-    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS
+    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """``step_no, page_split, pv, convert_rate`` for every step of the flow.
 
     The first step is measured against visits of the start page, each later one
-    against the step before.  Start visits and step counts come from one pass:
-    every action appears once in :func:`previous_pages`.
+    against the step before.  Start visits and step counts come from one pass.
     """
-    start, labels = str(int(flow[0])), flow_steps(flow)
-    step = F.when(
-        F.col("prev_page").isNotNull(), _step(F.col("prev_page"), F.col("page_id"))
-    )
-    visit = F.when(F.col("page_id") == F.lit(int(flow[0])), F.lit(start))
-    counted = (
-        previous_pages(actions, slice_seconds)
-        .select(F.explode(F.array(step, visit)).alias("label"))
-        .where(F.col("label").isin([start, *labels]))
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("pv"))
-    )
+    labels = flow_steps(flow)
+    counted = _counted(actions, flow, slice_seconds, slice_rows)
     spark = actions.sparkSession
     wanted = spark.range(1).select(
         F.lit(",".join(map(str, flow))).alias("flow"),
-        F.posexplode(F.array(*[F.lit(x) for x in [start, *labels]])).alias("step_no", "label"),
+        F.posexplode(F.array(*[F.lit(x) for x in [START, *labels]])).alias("step_no", "label"),
     )
     # one window partition per flow, as many rows as the flow has pages
     in_order = Window.partitionBy("flow").orderBy("step_no")

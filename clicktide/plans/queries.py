@@ -433,7 +433,9 @@ def ad_click_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ad_click_trend_last_hour(spark: SparkSession, sf: str) -> DataFrame:
-    return _trend_row(ads.recent_trend(ads.click_trend(_clean(spark, sf))))
+    clicks = b.ad_clicks(spark, sf)
+    recent = ads.last_minutes(clicks)
+    return _trend_row(ads.click_trend(ads.drop_listed(recent, ads.blacklist(clicks, THRESHOLD))))
 
 
 # --- ad stream ------------------------------------------------------------

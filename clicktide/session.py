@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # row_number() <= n is cut before the shuffle for n up to this
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
-    # collect_set switches to sort aggregation beyond this many groups per task
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # streaming state beyond the executor heap
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
@@ -40,10 +38,17 @@ def build_session(app_name: str = "clicktide", master: str | None = None, **extr
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's shared ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where that setting is absent, as in
-    single-machine tests.
+    Without that setting a local master uses a temporary folder; any other
+    raises, as its executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from fixtures import clicks, lines, tuples
 
 from clicktide.operators import ads
+from pyspark.sql import functions as F
 
 T = datetime(2018, 12, 17, 13, 27, 57)
 
@@ -51,6 +52,28 @@ def test_counts(spark):
     assert top == {(17, "P", 1), (17, "P", 2), (17, "P", 3), (17, "Q", 1), (18, "P", 9)}
 
 
+def test_lines_out_of_range(spark):
+    """A year far ahead, numbers no time can hold, and blanks at the end."""
+    text = lines(
+        spark, "99999999999999999 a b 1 1", "-5 a b 1 1", "32503680000000 a b 1 1", "1545053277205 a b 1 1 ",
+        "9223372036854775807 a b 1 1", "99999999999999999999 a b 1 1",
+    )
+    assert [r.event_time.year for r in ads.parse_ad_lines(text).collect()] == [3000, 2018]
+    arrival = F.lit("2018-12-18 00:00:00").cast("timestamp")
+    assert [r.event_time.year for r in ads.parse_ad_lines(text, arrival).collect()] == [2018]
+    assert ads.rejected_ad_lines(text, arrival).count() == 5
+    assert ads.rejected_ad_lines(text).count() == 4
+
+
+def test_last_minutes(spark):
+    frame = clicks(spark, click(1, 1), click(1, 1, seconds=-3540), click(1, 1, seconds=-3600), click(1, 2, seconds=2))
+    whole = ads.recent_trend(ads.click_trend(frame))
+    assert tuples(ads.click_trend(ads.last_minutes(frame))) == tuples(whole)
+    assert ads.last_minutes(frame.where("false")).count() == 0
+    last = F.lit(T).cast("timestamp")
+    assert ads.last_minutes(frame, 1, last).count() == 2
+
+
 def test_trend(spark):
     frame = clicks(spark, click(1, 1), click(2, 1, seconds=2), click(1, 1, seconds=3), click(1, 1, seconds=-3600),
                    click(1, 1, seconds=-3500))

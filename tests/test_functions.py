@@ -69,6 +69,18 @@ def test_percent_text(spark, n, d, want):
     assert value(spark, fn.percent_text(F.lit(n).cast("bigint"), F.lit(d).cast("bigint"))) == want
 
 
+@pytest.mark.parametrize(
+    "x, scale",
+    [(0.145, 2), (1.005, 2), (0.125, 2), (0.375, 2), (-0.125, 2), (2.5, 0), (0.25, 1), (1234567.885, 2),
+     (0.285, 2), (29.0 / 200, 2), (-1.005, 2), (12.0, 2), (0.1 + 0.2, 3)],
+)
+def test_format_double_rounds_the_exact_value(spark, x, scale):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    want = float(Decimal(x).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP))
+    assert value(spark, fn.format_double(F.lit(x), scale)) == want
+
+
 def test_format_double(spark):
     assert value(spark, fn.format_double(F.lit(1.005).cast("double"), 1)) == 1.0
     assert value(spark, fn.format_double(F.lit(float("nan")), 2)) == 0.0

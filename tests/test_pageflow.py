@@ -59,3 +59,28 @@ def test_sessions_cut_into_slices(spark):
     assert p.previous_pages(log).count() == len(rows)
     firsts = p.previous_pages(log).where("prev_page is null").count()
     assert firsts == len(per_session)
+
+
+def test_actions_without_a_page(spark):
+    """They are no step and no visit, and they part their neighbours."""
+    log = actions(
+        spark, action("a", 0, page=1), action("a", 1, page=None), action("a", 2, page=2),
+        action("b", 0, page=1), action("b", 700, page=2), action("c", 0, page=None), action("c", 1, page=2),
+    )
+    for seconds in (1, 600, 10**6):
+        assert tuples(p.page_split_counts(log, (1, 2), seconds)) == [("1_2", 1)]
+        assert tuples(p.page_convert_rate(log, (1, 2), seconds)) == [(1, "1_2", 1, 0.5)]
+    assert p.previous_pages(log).count() == 7
+
+
+def test_a_full_slice_is_cut_finer(spark):
+    """A session with a third of the log in ten minutes, in slices of at most 50 rows or one instant."""
+    rnd = random.Random(9)
+    rows = [action("hot", rnd.randrange(60000) / 100, page=rnd.randrange(4)) for _ in range(600)]
+    rows += [action(f"s{i % 300}", rnd.randrange(600), page=rnd.randrange(4)) for i in range(1200)]
+    log, flow = actions(spark, *rows), (0, 1, 2, 3)
+    whole = tuples(p.page_convert_rate(log, flow, 10**6, 10**6))
+    assert tuples(p.page_convert_rate(log, flow, 600, 50)) == whole
+    sizes = p._sliced(log, 600, 50).groupBy("session_id", "slice").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 80
+    assert tuples(p.page_split_counts(log, flow, 600, 1)) == tuples(p.page_split_counts(log, flow))
