@@ -11,6 +11,8 @@ values gives keys, of which every such pair shares one.
 Links are confirmed on the full sets, in steps that avoid the pairs of a large
 group: first every set against the smallest of each of its keys; then, between
 components that still share a key, the pairs with signatures within the limit.
+Before texts are fetched, pairs are sifted by parity sketches: bits of two sets
+differ in no more places than the sets do, so nothing linked is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from clicktide.llm.graph import components
 from clicktide.llm.words import BASE, U, mix, raw, shingles, words
 
 MISS = 1e-6  # chance that a pair just on the threshold exceeds the limit
+ODD_WORDS = 16  # 64-bit words of a parity sketch
 GROUP = 500  # sets that are compared with one set in a task
 
 
@@ -87,7 +90,16 @@ class Near:
         return out
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sig array<int>"
+SIGNED = "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sig array<int>, odd array<bigint>"
+
+
+def parities(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A row of bits for each of ``n`` texts: whether an odd number of shingles falls on a bit."""
+    out = np.zeros(n * ODD_WORDS, np.uint64)
+    place = mix(h ^ U(0x2545F4914F6CDD1D)) >> U(32)
+    word = doc * ODD_WORDS + ((place >> U(6)) % U(ODD_WORDS)).astype(np.int64)
+    np.bitwise_xor.at(out, word, U(1) << (place & U(63)))
+    return out.reshape(n, ODD_WORDS).view(np.int64)
 
 
 def signed(docs: DataFrame, how: Near) -> DataFrame:
@@ -107,9 +119,13 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
                     set2[some] = np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), starts).view(np.int64)
                     for i, s in zip(some.tolist(), how.signatures(h, starts).view(np.int32)):
                         sigs[i] = s
+                odd = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, doc, len(n)).ravel()), ODD_WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(set1), pa.array(set2), pa.array(sigs, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "set1", "set2", "sig"],
+                    [
+                        batch.column(0), pa.array(n, pa.int64()), pa.array(set1), pa.array(set2),
+                        pa.array(sigs, pa.list_(pa.int32())), odd.cast(pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n_shingles", "set1", "set2", "sig", "odd"],
                 )
 
     return texts(docs).mapInArrow(run, SIGNED)
@@ -177,7 +193,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, how: Near) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame, how: Near) -> DataFrame:
     """Links ``a``-``b`` that make the same components as all links between sets.
 
-    ``reps`` has one row per distinct set: ``rep``, ``n_shingles``, ``sig``.
+    ``reps`` has one row per distinct set: ``rep``, ``n_shingles``, ``sig``, ``odd``.
     """
     keyed = _keyed(reps, how)
     heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -188,22 +204,32 @@ def links(reps: DataFrame, docs: DataFrame, how: Near) -> DataFrame:
     )
     # each set against the smallest one of every key
     star = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    size = reps.select("rep", "n_shingles")
-    found = confirmed(_fitting(star, size, how), bodies, how)
-    # then what lies between components, nearest signatures first
-    for limit in sorted({how.limit // 2, how.limit}):
-        comp = components(found)
-        labelled = shared.select("key", "mask", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        labelled = stored(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        live = stored(labelled.join(mixed, "key", "left_semi").join(reps.select("rep", "n_shingles", "sig"), "rep"), "live-keys")
-        other = live.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
-        near = (F.least("n_shingles", "n2") * 100 >= F.greatest("n_shingles", "n2") * how.percent) & _first_shared(how)
-        near = near & (_differ(how, list(range(how.values))) <= limit)
-        pairs = live.join(other, (live["key"] == other["key"]) & (F.col("comp") < F.col("comp2")) & near)
-        pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-        found = stored(found.unionByName(confirmed(pairs, bodies, how)), "links")
-    return found
+    side = reps.select("rep", "n_shingles", "odd")
+    other = side.select(F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"), F.col("odd").alias("odd2"))
+    star = star.join(side, F.col("a") == F.col("rep")).join(other, F.col("b") == F.col("rep2")).where(_may_link(how))
+    found = confirmed(star.select("a", "b"), bodies, how)
+    # then what lies between components
+    comp = components(found).withColumnRenamed("node", "rep")
+    labelled = shared.select("key", "mask", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    labelled = stored(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    live = stored(labelled.join(mixed, "key", "left_semi").join(reps.select("rep", "n_shingles", "odd", "sig"), "rep"), "live-keys")
+    other = live.select(
+        F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n_shingles").alias("n2"),
+        F.col("odd").alias("odd2"), F.col("sig").alias("sig2"),
+    )
+    within = _differ(how, list(range(how.values))) <= how.limit
+    between = (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _may_link(how) & within & _first_shared(how)
+    pairs = live.join(other, between).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    return found.unionByName(confirmed(pairs, bodies, how))
+
+
+def _may_link(how: Near) -> Column:
+    """What two sets at the threshold fulfil: their sizes, and the places in which their sketches differ."""
+    a, b = F.col("n_shingles"), F.col("n2")
+    differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd2")[i])) for i in range(ODD_WORDS)), F.lit(0))
+    # |A xor B| <= (|A| + |B|) (1 - J) / (1 + J)
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * how.percent) & (differ * (100 + how.percent) <= (a + b) * (100 - how.percent))
 
 
 def _first_shared(how: Near) -> Column:
@@ -215,14 +241,6 @@ def _first_shared(how: Near) -> Column:
     return chunk_of == first
 
 
-def _fitting(pairs: DataFrame, size: DataFrame, how: Near) -> DataFrame:
-    """Pairs whose sizes allow the threshold."""
-    a = size.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
-    b = size.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * how.percent
-    return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
@@ -238,7 +256,7 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     # equal sets are summed up before the shuffle
     sets = stored(
         linked.groupBy("set1", "set2").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count("*").alias("n")
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.count("*").alias("n")
         ), "sets",
     )
     reps = sets.dropDuplicates(["rep"])

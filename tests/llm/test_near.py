@@ -74,4 +74,17 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     want = {n: root[n] for e in edges if e[0] != e[1] for n in e}
-    assert {r.node: r.comp for r in components(df).collect()} == want
+    for small in (0, 60, 10**6):  # by rounds alone, by both, in one task
+        assert {r.node: r.comp for r in components(df, small).collect()} == want
+    assert components(df.where("false")).count() == 0
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (5, 200, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64))))
+        x, y = near.parities(a, np.zeros(len(a), int), 1), near.parities(b, np.zeros(len(b), int), 1)
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
