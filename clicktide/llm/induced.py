@@ -52,7 +52,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     seed_of = _Queues(letters)
     seed_of.put(seeds, t[seeds])
     queue = _Queues(letters)
-    last = np.array([len(t) - 1])
+    last = np.array([len(t) - 1], dtype=seeds.dtype)
     larger: list[list[np.ndarray]] = [[] for _ in range(letters)]  # the L suffixes of a letter
 
     def before(at: np.ndarray, s: bool) -> None:
@@ -108,33 +108,51 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     """Positions of ``t``, non-negative integers of a small alphabet, in suffix order."""
     if len(t) < 2:
         return np.arange(len(t))
-    t = np.append(t.astype(np.int64) + 1, 0)  # an end that is smaller than all
+    # an end that is smaller than all; small integers are sorted by their digits
+    t = np.append(t + 1, 0).astype(np.int16 if t.max() < 2**15 - 2 else np.int64)
     is_s = types(t)
-    seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    seeds = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32 if len(t) < 2**31 else np.int64)
     rank = _names(t, is_s, seeds)
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    while step < len(seeds) and rank.max() < len(seeds) - 1:
-        follow = np.full(len(seeds), -1, dtype=np.int64)
-        follow[:-step] = rank[step:]
-        order = np.lexsort((follow, rank))
-        new = np.ones(len(seeds), dtype=np.int64)
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (follow[order[1:]] != follow[order[:-1]])
-        rank = np.empty(len(seeds), dtype=np.int64)
-        rank[order] = np.cumsum(new) - 1
+    # ranks count the smaller ones, so that an equal group leaves room for its members
+    rank = (np.cumsum(np.bincount(rank)) - np.bincount(rank))[rank]
+    step, n = 1, len(seeds)
+    while step < n:
+        live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(live):
+            break
+        follow = np.where(live + step < n, rank[np.minimum(live + step, n - 1)] + 1, 0)
+        key = rank[live] * (n + 1) + follow
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        group = rank[live]
+        new = np.append(True, key[1:] != key[:-1])
+        begin = np.append(True, group[1:] != group[:-1])
+        # place of each key in its group
+        at = np.arange(len(live))
+        offset = at[new][np.cumsum(new) - 1] - at[begin][np.cumsum(begin) - 1]
+        rank[live] = group + offset
         step *= 2
     return _induce(t, is_s, seeds[np.argsort(rank, kind="stable")])[1:]
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, up to ``most``."""
-    n = len(t)
+    """Common prefix of each suffix with the one before it in ``order``, up to ``most``; ``t`` is below 65535."""
     out = np.zeros(len(order), dtype=np.int64)
+    # what lies behind the end equals nothing
+    padded = np.append(t, np.full(most + 8, 65535)).astype(np.uint16)
+    fours = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 4)).view(np.uint64).ravel()
     live = np.arange(1, len(order))
-    for depth in range(most):
+    for depth in range(0, most, 4):
         a, b = order[live - 1] + depth, order[live] + depth
-        inside = (a < n) & (b < n)
-        live, a, b = live[inside], a[inside], b[inside]
-        live = live[t[a] == t[b]]
-        out[live] = depth + 1
+        same = fours[a] == fours[b]
+        rest = live[~same]
+        a, b = a[~same], b[~same]
+        n = np.zeros(len(rest), dtype=np.int64)
+        alike = np.ones(len(rest), dtype=bool)
+        for i in range(4):
+            alike &= padded[a + i] == padded[b + i]
+            n += alike
+        out[rest] = np.minimum(depth + n, most)
+        live = live[same]
+    out[live] = most
     return out

@@ -37,6 +37,8 @@ SIZE = 50
 ANCHOR = 24
 BUCKET_BYTES = 4 << 20  # text behind a bucket of entries
 MANY = 20_000  # surroundings of one anchor that are still sorted together
+SLICE = 1 << 19  # bytes of text whose anchors are sought at once
+HELD = 8 << 20  # bytes that a part holds before it packs them
 LAST = np.iinfo(np.int64).max  # stands for a missing id, after all others
 
 
@@ -117,10 +119,11 @@ class Anchors:
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a >= size:
                 valid[a : b - size + 1] = True
-        least = np.where(valid, least, U(0))
+        least[~valid] = 0
         # an anchor is the smallest of some window: the largest of these minima
         padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
         best = _sliding(padded, width, np.maximum)
+        del least, padded, valid
         self.at = np.flatnonzero((best == h) & (best > 0))
         self.hash = h[self.at]
         self.doc = np.searchsorted(at, self.at, "right") - 1
@@ -181,19 +184,22 @@ class _Entries:
     def add(self, h, around, first, last) -> None:
         self.parts.append((h, around, first, last))
         self.held += len(h)
-        if self.held > 3_000_000:
+        if self.held > 400_000:
             self.merge()
 
     def merge(self) -> tuple:
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h, around, first, last = (np.concatenate(c) for c in zip(*self.parts))
+        columns, self.parts = list(zip(*self.parts)), []
+        h, around, first, last = (np.concatenate(columns.pop(0)) for _ in range(4))
         key = _together(h, around)
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        del key
         one = order[new]
         merged = h[one], around[one], _first_docs(order, new, first, np.minimum), _first_docs(order, new, last, np.maximum)
-        self.parts, self.held = [merged], 0
+        self.parts, self.held = [merged], 0  # counts what comes on top
         return merged
 
 
@@ -201,7 +207,7 @@ def _anchor_entries(docs: DataFrame, size: int, anchor: int, buckets: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: dict[int, _Entries] = {}
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 body, at = raw(batch.column("text"))
                 a = Anchors(body, at, size, anchor)
                 doc = _ids(batch.column("doc_id"))[a.doc]
@@ -279,7 +285,7 @@ def _of_part(folder: str, part: int) -> list[bytes]:
     return [d.as_py() for d in table.column("data")]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _told(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of surroundings in ascending order, their first documents, what is asked."""
     got = [unpack_arrays(d, "<u8", "<i8", "u1") for d in _of_part(folder, part)]
@@ -299,66 +305,90 @@ def _spans(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
 SPANS, BYTES_OF, STRINGS_OF = 0, 1, 2
 
 
+class _Asked:
+    """What one part sends in the second step, until it is packed."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple] = []
+        self.bytes: list[tuple] = []
+        self.strings: list[tuple] = []
+        self.size = 0
+
+    def rows(self, part: int, buckets: int) -> Iterator[tuple]:
+        if self.spans:
+            yield 0, part, SPANS, _spans(*_united(*(np.concatenate(c) for c in zip(*self.spans))))
+        if self.bytes:
+            yield from _packed_bytes(part, buckets, *(np.concatenate(c) for c in zip(*self.bytes)))
+        if self.strings:
+            yield from _by_bucket(part, STRINGS_OF, buckets, *(np.concatenate(c) for c in zip(*self.strings)))
+
+
+def _pieces(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after the other."""
+    n = high - low
+    return body[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+
+
 def _ask(docs: DataFrame, told: str, size: int, anchor: int, buckets: int) -> DataFrame:
     """Spans that are repeated as a whole, and what first documents send of the rest."""
 
+    def look(batch: pa.RecordBatch, asked_of: dict[int, _Asked]) -> None:
+        body, at = raw(batch.column("text"))
+        a = Anchors(body, at, size, anchor)
+        ids, rows = _ids(batch.column("doc_id")), batch.column("row").to_numpy()
+        parts = batch.column("part").to_numpy()
+        key = _together(a.hash, a.around)
+        for p in np.unique(parts).tolist():
+            keys, first, asked = _told(told, p)
+            if not len(keys):
+                continue
+            mine = np.flatnonzero(parts[a.doc] == p)
+            place = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+            hit = keys[place] == key[mine]
+            mine, place = mine[hit], place[hit]
+            doc = a.doc[mine]
+            base, out = at[doc], asked_of.setdefault(p, _Asked())
+            again = first[place] < ids[doc]
+            s = mine[again]
+            out.spans.append((rows[doc[again]], a.low[s] - base[again], a.high[s] - base[again]))
+            wants = ~again & (asked[place] == BYTES)
+            s, d = mine[wants], doc[wants]
+            n = a.high[s] - a.low[s]
+            out.bytes.append((a.hash[s], ids[d], rows[d], a.low[s] - base[wants], n, _pieces(body, a.low[s], a.high[s])))
+            out.size += int(n.sum()) + 24 * len(mine)
+            wants = ~again & (asked[place] == STRINGS)
+            got = [a.strings(i) for i in mine[wants].tolist()]
+            if got:
+                n = [len(g[0]) for g in got]
+                d = np.repeat(doc[wants], n)
+                out.strings.append((np.concatenate([g[1] for g in got]), ids[d], rows[d], np.concatenate([g[0] for g in got]) - at[d]))
+                out.size += 32 * len(d)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_of: dict[int, _Asked] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 23):
-                body, at = raw(batch.column("text"))
-                a = Anchors(body, at, size, anchor)
-                ids, rows = _ids(batch.column("doc_id")), batch.column("row").to_numpy()
-                parts = batch.column("part").to_numpy()
-                key = _together(a.hash, a.around)
-                for p in np.unique(parts):
-                    keys, first, asked = _told(told, int(p))
-                    if not len(keys):
-                        continue
-                    mine = np.flatnonzero(parts[a.doc] == p)
-                    place = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-                    hit = keys[place] == key[mine]
-                    mine, place = mine[hit], place[hit]
-                    doc = a.doc[mine]
-                    base = at[doc]
-                    again = first[place] < ids[doc]
-                    out = []
-                    if again.any():
-                        s = mine[again]
-                        out.append((0, int(p), SPANS, _spans(rows[doc[again]], a.low[s] - base[again], a.high[s] - base[again])))
-                    for what, kind in ((BYTES, BYTES_OF), (STRINGS, STRINGS_OF)):
-                        ask = ~again & (asked[place] == what)
-                        if not ask.any():
-                            continue
-                        s, d, b = mine[ask], doc[ask], base[ask]
-                        if kind == BYTES_OF:
-                            out += _send_bytes(int(p), buckets, body, a, s, ids[d], rows[d], a.low[s] - b)
-                        else:
-                            got = [a.strings(i) for i in s.tolist()]
-                            n = [len(g[0]) for g in got]
-                            out += _by_bucket(
-                                int(p), STRINGS_OF, buckets, np.concatenate([g[1] for g in got]), np.repeat(ids[d], n),
-                                np.repeat(rows[d], n), np.concatenate([g[0] for g in got]) - np.repeat(b, n),
-                            )
-                    if out:
-                        yield _rows(out)
+            for batch in slices(whole, "text", SLICE):
+                look(batch, asked_of)
+                for p in [p for p, x in asked_of.items() if x.size > HELD]:
+                    yield _rows(list(asked_of.pop(p).rows(p, buckets)))
+        for p, x in asked_of.items():
+            yield _rows(list(x.rows(p, buckets)))
 
     return docs.mapInArrow(run, PACKED)
 
 
-def _send_bytes(part: int, buckets: int, body: np.ndarray, a: Anchors, s: np.ndarray, ids, rows, low) -> list[tuple]:
-    order = np.argsort(a.hash[s], kind="stable")
-    s, ids, rows, low = s[order], ids[order], rows[order], low[order]
-    edges = np.searchsorted(a.hash[s], np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)).tolist() + [len(s)]
-    pack, out = zstandard.ZstdCompressor(level=1), []
+def _packed_bytes(part: int, buckets: int, h, ids, rows, low, length, text) -> Iterator[tuple]:
+    order = np.argsort(h, kind="stable")
+    begin = (np.cumsum(length) - length)[order]
+    h, ids, rows, low, length = h[order], ids[order], rows[order], low[order], length[order]
+    edges = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)).tolist() + [len(h)]
+    pack = zstandard.ZstdCompressor(level=1)
     for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if i < j:
-            k = s[i:j]
-            length = (a.high[k] - a.low[k]).astype(np.int64)
-            text = b"".join(body[x:y].tobytes() for x, y in zip(a.low[k].tolist(), a.high[k].tolist()))
-            head = pack_arrays(a.hash[k], ids[i:j], rows[i:j].astype(np.int64), low[i:j].astype(np.int64), length)
-            out.append((b, part, BYTES_OF, len(head).to_bytes(8, "little") + head + pack.compress(text)))
-    return out
+        k = slice(edges[b], edges[b + 1])
+        if k.start < k.stop:
+            head = pack_arrays(h[k], ids[k], rows[k], low[k], length[k])
+            own = _pieces(text, begin[k], begin[k] + length[k])
+            yield b, part, BYTES_OF, len(head).to_bytes(8, "little") + head + pack.compress(own.tobytes())
 
 
 def _sorted_shard(data: list[bytes], part: np.ndarray, size: int) -> tuple:
@@ -432,7 +462,7 @@ def _united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return row[new], low[new], far[last] - lift[last]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _removed(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = [unpack_arrays(d, "<i8", "<i8", "<i8") for d in _of_part(folder, part)]
     if not got:
