@@ -23,6 +23,7 @@ from clicktide.llm.words import LOWER, NO_WORD, raw
 BUCKETS = 1 << 16
 DIM = 16
 PER_LANGUAGE = 300  # sampled documents of each language
+SALTS = 64
 SIZES = (2, 3, 4)
 CONFUSED = 0.005  # share of correctly told documents that rejection may cost at most
 LOWEST = 0.5  # no document told with more confidence is rejected
@@ -160,8 +161,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     what the driver gets.  Rows of one rank are ordered by id.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), 5) != 0)).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank").distinct()
+    drawn = ids.withColumns({"draw": F.xxhash64("doc_id"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))})
+    # within salted parts first, so that a frequent language meets as its few best alone
+    for parts in (("lang", "salt"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*parts).orderBy("draw", "doc_id"))
+        drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    chosen = drawn.select("doc_id", "lang").distinct()
     return docs.where(F.col("text").isNotNull()).join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 

@@ -25,7 +25,7 @@ LEAST_ROWS = 100  # a smaller group is judged by the estimate over all rows
 CUT = 45.0  # squared distance; of six normal variables one in 20 million exceeds it
 # Least standard deviation of each statistic, so that one that is nearly constant
 # rejects nobody for a trifle.
-FLOORS = {"length": 0.5, "word_length": 0.08, "symbols": 0.03, "dup_lines": 0.15, "repeats": 0.08, "line_length": 0.5}
+FLOORS = {"length": 0.5, "word_length": 0.08, "symbols": 0.03, "dup_lines": 0.2, "repeats": 0.15, "line_length": 0.5}
 STATS = list(FLOORS)
 ALL = "*"  # the group of all rows
 
@@ -209,10 +209,12 @@ def judge(docs: DataFrame) -> DataFrame:
     both = good.select(F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *STATS)
     est = _fit(both)
     own = est.where((F.col("grp") != ALL) & (F.col("n") >= H * LEAST_ROWS)).select("grp", "mean", "inverse")
-    overall = est.where(F.col("grp") == ALL).select(
-        F.lit(ALL).alias("whole"), F.col("mean").alias("mean_all"), F.col("inverse").alias("inverse_all"))
-    judged = rows.withColumn("whole", F.lit(ALL)).join(own, "grp", "left").join(F.broadcast(overall), "whole", "left")  # one row
-    judged = judged.withColumns({"mean": F.coalesce("mean", "mean_all"), "inverse": F.coalesce("inverse", "inverse_all")})
+    overall = est.where(F.col("grp") == ALL).first()  # one row, or none without rows to learn from
+
+    def known(name: str) -> Column:
+        return F.coalesce(name, F.array(*(F.lit(float(v)) for v in overall[name])) if overall else F.lit(None).cast("array<double>"))
+
+    judged = rows.join(own, "grp", "left").withColumns({"mean": known("mean"), "inverse": known("inverse")})
     d2 = F.coalesce(_distance(), F.lit(0.0))
     return judged.withColumn("distance2", d2).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clicktide.llm import chat, langid, near, outliers, packing, quality, seekable, substrings, tiling, warc
 from clicktide.llm.common import bucket_of, table
+from clicktide.llm.oracle import ORACLE  # noqa: F401 - registered beside the queries
 
 NEAR_OP = near.Near(shingle=3, percent=85)
 
@@ -73,4 +74,3 @@ QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_chat_format, op3_token_files, op4_quality, op5_decontamination, op6_substring_dedup,
     op7_near_duplicates, op8_quality_rules, op9_warc, op10_packing,
 )}
-ORACLE: dict[str, str] = {}

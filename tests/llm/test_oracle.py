@@ -1,0 +1,17 @@
+"""Queries against their SQL."""
+
+import pytest
+from compare import connect, difference
+
+from clicktide.llm.queries import ORACLE, QUERIES
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, name):
+    assert difference(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE[name]) is None
+
+
+def test_one_query_of_each_number():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
