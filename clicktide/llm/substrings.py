@@ -5,7 +5,7 @@ the smallest there, so equal strings hold equal anchors at equal places.  Docume
 meet through anchors alone:
 
 1. For each anchor hash and its surroundings (all strings of ``size`` bytes that hold
-   it), tasks send one entry, whatever they read.  Surroundings that a smaller
+   it), a task sends one entry for each few MB that it reads.  Surroundings that a smaller
    document has too are repeated as a whole.
 2. Where one anchor has several surroundings, their first documents send the bytes.
    Shards of these are sorted by suffix, and neighbours whose common prefix reaches
@@ -36,8 +36,10 @@ from clicktide.session import scratch_dir
 SIZE = 50
 ANCHOR = 24
 BUCKET_BYTES = 4 << 20  # text behind a bucket of entries
+SHARDS = 8  # buckets of the second step for each one of the first
 MANY = 20_000  # surroundings of one anchor that are still sorted together
 SLICE = 1 << 19  # bytes of text whose anchors are sought at once
+ENTRIES = 500_000  # anchors that a part holds before it packs them
 HELD = 8 << 20  # bytes that a part holds before it packs them
 LAST = np.iinfo(np.int64).max  # stands for a missing id, after all others
 
@@ -125,7 +127,7 @@ class Anchors:
         best = _sliding(padded, width, np.maximum)
         del least, padded, valid
         self.at = np.flatnonzero((best == h) & (best > 0))
-        self.hash = h[self.at]
+        self.hash = mix(h[self.at] + U(1))  # spread anew: the smallest hashes lie close together
         self.doc = np.searchsorted(at, self.at, "right") - 1
         self.low = np.maximum(self.at - (size - anchor), at[self.doc])
         self.high = np.minimum(self.at + size, at[self.doc + 1])
@@ -175,32 +177,24 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 class _Entries:
-    """Entries of one task, one for each anchor and surroundings."""
+    """Entries of one part, until they are packed: one for each anchor and surroundings."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, h, around, first, last) -> None:
-        self.parts.append((h, around, first, last))
+    def add(self, h: np.ndarray, around: np.ndarray, doc: np.ndarray) -> None:
+        self.parts.append((h, around, doc))
         self.held += len(h)
-        if self.held > 400_000:
-            self.merge()
-
-    def merge(self) -> tuple:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        columns, self.parts = list(zip(*self.parts)), []
-        h, around, first, last = (np.concatenate(columns.pop(0)) for _ in range(4))
+
+    def rows(self, part: int, buckets: int) -> Iterator[tuple]:
+        h, around, doc = (np.concatenate(c) for c in zip(*self.parts))
         key = _together(h, around)
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        del key
-        one = order[new]
-        merged = h[one], around[one], _first_docs(order, new, first, np.minimum), _first_docs(order, new, last, np.maximum)
-        self.parts, self.held = [merged], 0  # counts what comes on top
-        return merged
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        one, first = order[new], _first_docs(order, new, doc, np.minimum)
+        several = _first_docs(order, new, doc, np.maximum) > first
+        return _by_bucket(part, 0, buckets, h[one], around[one], first, several.astype(np.uint8))
 
 
 def _anchor_entries(docs: DataFrame, size: int, anchor: int, buckets: int) -> DataFrame:
@@ -212,12 +206,13 @@ def _anchor_entries(docs: DataFrame, size: int, anchor: int, buckets: int) -> Da
                 a = Anchors(body, at, size, anchor)
                 doc = _ids(batch.column("doc_id"))[a.doc]
                 part = batch.column("part").to_numpy()[a.doc]
-                for p in np.unique(part):
+                for p in np.unique(part).tolist():
                     some = part == p
-                    entries.setdefault(int(p), _Entries()).add(a.hash[some], a.around[some], doc[some], doc[some])
+                    entries.setdefault(p, _Entries()).add(a.hash[some], a.around[some], doc[some])
+                for p in [p for p, e in entries.items() if e.held > ENTRIES]:
+                    yield _rows(list(entries.pop(p).rows(p, buckets)))
         for p, e in entries.items():
-            h, around, first, last = e.merge()
-            yield _rows(list(_by_bucket(p, 0, buckets, h, around, first, (last > first).astype(np.uint8))))
+            yield _rows(list(e.rows(p, buckets)))
 
     return docs.mapInArrow(run, PACKED)
 
@@ -404,13 +399,14 @@ def _sorted_shard(data: list[bytes], part: np.ndarray, size: int) -> tuple:
     body = np.concatenate(bodies)
     # a zero ends each piece
     ends = np.cumsum(length)
-    text = np.insert(body.astype(np.int16) + 1, ends, 0)
-    begin = ends - length + np.arange(len(length))
-    piece = np.repeat(np.arange(len(length)), length + 1)
-    inside = np.arange(len(text)) - begin[piece]
+    text = np.insert(body.astype(np.int16) + np.int16(1), ends, 0)
+    begin = (ends - length + np.arange(len(length))).astype(np.int32)
+    piece = np.repeat(np.arange(len(length), dtype=np.int32), length + 1)
+    inside = np.arange(len(text), dtype=np.int32) - begin[piece]
     string = inside + size <= length[piece]
     order = suffix_order(text)
     order = order[string[order]]
+    del string
     common = common_prefixes(text, order, size)
     new = common < size
     if not len(order):
@@ -478,7 +474,7 @@ def spans_of(docs: DataFrame, size: int, many: int, *keep: str) -> tuple[DataFra
     total = numbered.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     told = _by_part(_resolve_anchors(_anchor_entries(numbered, size, anchor, buckets), many), "surroundings")
-    asked = stored(_ask(numbered, told, size, anchor, buckets), "asked")
+    asked = stored(_ask(numbered, told, size, anchor, SHARDS * buckets), "asked")
     rest = _resolve_rest(asked, size)
     return whole, _by_part(asked.where(F.col("kind") == SPANS).select("part", "data").unionByName(rest), "spans")
 
