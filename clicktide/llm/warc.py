@@ -58,9 +58,9 @@ def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Every page with its record type; a revisit carries no payload."""
-    ids = resolve(pages, least).where(F.col("refers_to").isNotNull()).select(
-        "page_id", "digest", "refers_to", "refers_to_url"
-    ).distinct()
+    revisits = resolve(pages, least).where(F.col("refers_to").isNotNull())
+    # stored, so that payloads are shuffled only if the revisits are too many to broadcast
+    ids = stored(revisits.select("page_id", "digest", "refers_to", "refers_to_url").distinct(), "revisits")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
