@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicktide.llm.common import bucket_of, slices
+from clicktide.llm.common import bucket_of, slices, stored
 from clicktide.llm.words import LOWER, NO_WORD, raw
 
 BUCKETS = 1 << 16
@@ -166,7 +166,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     for parts in (("lang", "salt"), ("lang",)):
         rank = F.row_number().over(Window.partitionBy(*parts).orderBy("draw", "doc_id"))
         drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
-    chosen = drawn.select("doc_id", "lang").distinct()
+    # stored, so that texts are shuffled only if the sample is too large to broadcast
+    chosen = stored(drawn.select("doc_id", "lang").distinct(), "language-sample")
     return docs.where(F.col("text").isNotNull()).join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
