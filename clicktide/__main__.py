@@ -24,7 +24,7 @@ def main() -> None:
     sub = commands.add_parser("ads")
     sub.add_argument("--tables", required=True, help="folder of the maintained tables")
     sub.add_argument("--threshold", type=int, default=CLICK_LIMIT)
-    sub.add_argument("--keep", default="1 day", help="how late a click may be")
+    sub.add_argument("--keep", help="close a day this long after its end, such as '2 days'; default: never")
     sub.add_argument("--interval", default="5 seconds")
     source = sub.add_mutually_exclusive_group(required=True)
     source.add_argument("--text", help="folder where text files arrive")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,20 +125,23 @@ def click_trend(clicks: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("click_count"))
 
 
-def last_minutes(clicks: DataFrame, minutes: int = 60, as_of: Column | None = None) -> DataFrame:
+def minute_range(newest: datetime, minutes: int = 60) -> tuple[datetime, datetime]:
+    """Begin and end of the ``minutes`` minutes that end with the minute of ``newest``."""
+    end = newest.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    return end - timedelta(minutes=minutes), end
+
+
+def last_minutes(clicks: DataFrame, minutes: int = 60, as_of: datetime | None = None) -> DataFrame:
     """Clicks of the last ``minutes`` minutes up to the minute of ``as_of`` (default: the newest click).
 
     Plain ranges on ``date`` and ``event_time``, which reach partitions and row groups.
     """
-    if as_of is None:
-        newest = clicks.agg(F.max("event_time")).first()[0]
-        if newest is None:
-            return clicks.where(F.lit(False))
-        as_of = F.lit(newest)
-    end = F.timestamp_seconds(F.unix_seconds(F.date_trunc("minute", as_of)) + F.lit(60))
-    start = F.timestamp_seconds(F.unix_seconds(end) - F.lit(60 * minutes))
-    inside = (F.col("event_time") >= start) & (F.col("event_time") < end)
-    return clicks.where(inside & F.col("date").between(F.to_date(start), F.to_date(end)))
+    newest = clicks.agg(F.max("event_time")).first()[0] if as_of is None else as_of
+    if newest is None:
+        return clicks.where(F.lit(False))
+    start, end = minute_range(newest, minutes)
+    inside = (F.col("event_time") >= F.lit(start)) & (F.col("event_time") < F.lit(end))
+    return clicks.where(inside & F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
 def recent_trend(trend: DataFrame, minutes: int = 60, as_of: Column | None = None) -> DataFrame:

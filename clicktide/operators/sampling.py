@@ -131,13 +131,15 @@ def session_sample(
     seed: str = "0",
     salts: int = SALTS,
     records: DataFrame | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """The sampled session records.
 
     ``records`` are the sessions with their lists, if ``sessions`` has none.  Given
-    as an aggregate of the log, only the sampled sessions are aggregated.
+    as an aggregate of the log, only the sampled sessions are aggregated.  ``ids``
+    is the sample, if it has been drawn before.
     """
-    ids = _hint(sample_ids(sessions, total, seed, salts), total)
+    ids = _hint(sample_ids(sessions, total, seed, salts) if ids is None else ids, total)
     full = sessions if records is None else records
     return _record_columns(full).join(ids, "session_id", "left_semi")
 

@@ -1,23 +1,28 @@
 """The click-log data model as views over the given tables.
 
-No table here is a click log, so ``events`` stands in: a session is one user's
-day, ``props.k`` (0 to 99) is category and product, and the event type says
-which page was seen and which of the action's columns are filled.
+No table here is a click log, so ``events`` stands in: a session is 24 hours of
+a user from an hour of the user's own, so that most sessions cross midnight;
+``props.k`` (0 to 99) is category and product, and the event type says which page
+was seen and which of the action's columns are filled.  A user is a customer, and
+the city of an action or click is the customer's nation.
+
+Sessions cut at gaps of silence would need every user's whole log in order, a
+hot user's in one task, before any query begins; these are a plain expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clicktide.operators.ads import CLICK_COLUMNS
 from clicktide.sources.readers import time_in_dates
 
 # Fixed page of each event type.
 PAGES = {"signup": 1, "view": 2, "click": 3, "purchase": 4, "error": 5}
 
-# nation has the fixed keys 0 to 24
-CITIES = 25
-
 # Level labels of the five regions.
 REGION_LEVELS = {"AFRICA": "A", "AMERICA": "B", "ASIA": "C", "EUROPE": "D", "MIDDLE EAST": "E"}
 
@@ -45,13 +50,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city of each user."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("city_id")
+    )
+
+
+def session_id() -> Column:
+    """User and number of the user's day, which begins at the hour ``user_id % 24``."""
+    shifted = F.unix_seconds(F.col("ts").cast("timestamp")) - F.pmod(F.col("user_id"), F.lit(24)) * 3600
+    day = F.floor(shifted / 86400)
+    return F.concat_ws("-", F.col("user_id").cast("string"), day.cast("string"))
+
+
 def actions(
-    spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None
+    spark: SparkSession,
+    sf_dir: str,
+    start: str | None = None,
+    end: str | None = None,
+    cities: bool = False,
 ) -> DataFrame:
     """``user_visit_action``: a projection of ``events``.
 
     A date range becomes a range on the stored time column, so the scan can
-    skip row groups.
+    skip row groups.  With ``cities`` the user's city is joined.
     """
     events = table(spark, sf_dir, "events").where(time_in_dates("ts", start, end))
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -59,10 +82,10 @@ def actions(
     page = F.coalesce(*[F.when(kind == name, F.lit(no).cast("bigint")) for name, no in PAGES.items()])
     one = k.cast("string")
     pair = F.concat_ws(",", one, ((k + 7) % 100).cast("string"))
-    return events.select(
+    log = events.select(
         F.to_date("ts").alias("date"),
         "user_id",
-        F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"),
+        session_id().alias("session_id"),
         page.alias("page_id"),
         F.col("ts").cast("timestamp").alias("action_time"),
         F.when(kind == "view", F.concat(F.lit("kw"), (k % 10).cast("string"))).alias("search_keyword"),
@@ -72,8 +95,8 @@ def actions(
         F.when(kind == "signup", pair).alias("order_product_ids"),
         F.when(kind == "purchase", one).alias("pay_category_ids"),
         F.when(kind == "purchase", one).alias("pay_product_ids"),
-        (F.col("user_id") % CITIES).alias("city_id"),
     )
+    return log.join(_homes(spark, sf_dir), "user_id", "left").select(*log.columns, "city_id") if cities else log
 
 
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +135,13 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One product click per line item, in the supplier's nation."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("s_nationkey").alias("city_id"), F.col("l_partkey").alias("product_id")
+    """One product click per line item, in the nation of the customer who ordered it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    homes = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    placed = orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("c_nationkey").alias("city_id"), F.col("l_partkey").alias("product_id")
     )
 
 
@@ -149,47 +174,52 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ad clicks ------------------------------------------------------------
 
 
-def _placed(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+def place(spark: SparkSession, sf_dir: str, clicks: DataFrame) -> DataFrame:
+    """``clicks`` with the city and province of their users."""
     places = city_info(spark, sf_dir).select(
         F.col("city_id").cast("bigint").alias("city_id"),
         F.col("city_name").alias("city"),
         F.regexp_replace("area", " ", "_").alias("province"),
     )
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    located = events.select(
-        (F.col("user_id") % CITIES).alias("city_id"),
-        F.col("ts").cast("timestamp").alias("at"),
-        "user_id",
-        "event_type",
-        (k % 5).alias("ad_id"),
-    )
-    return located.join(places, "city_id")
+    homes = _homes(spark, sf_dir).join(places, "city_id").select("user_id", "province", "city")
+    return clicks.join(homes, "user_id")
 
 
-def _lines(placed: DataFrame) -> DataFrame:
-    fields = [F.unix_millis("at"), F.col("province"), F.col("city"), F.col("user_id"), F.col("ad_id")]
-    return placed.select(F.concat_ws(" ", *[f.cast("string") for f in fields]).alias("value"))
+def _ad_id() -> Column:
+    return (F.get_json_object("props", "$.k").cast("bigint") % 5).alias("ad_id")
+
+
+def newest_click(spark: SparkSession, sf_dir: str) -> datetime | None:
+    """Time of the newest event, cut to the second."""
+    newest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return newest and newest.replace(microsecond=0)
+
+
+def bare_clicks(
+    spark: SparkSession, sf_dir: str, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """Events as ad clicks without their place; a time range reaches the scan."""
+    events = table(spark, sf_dir, "events")
+    if start is not None:
+        events = events.where(F.col("ts") >= F.lit(start.isoformat(" ")).cast("timestamp_ntz"))
+    if end is not None:
+        events = events.where(F.col("ts") < F.lit(end.isoformat(" ")).cast("timestamp_ntz"))
+    at = F.col("ts").cast("timestamp")
+    return events.select(
+        F.date_trunc("second", at).alias("event_time"), F.to_date(at).alias("date"), "user_id", _ad_id()
+    )
 
 
 def ad_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a typed ad click."""
-    placed = _placed(spark, sf_dir, table(spark, sf_dir, "events"))
-    at = F.date_trunc("second", "at")
-    return placed.select(
-        at.alias("event_time"), F.to_date("at").alias("date"), "province", "city", "user_id", "ad_id"
-    )
+    return place(spark, sf_dir, bare_clicks(spark, sf_dir)).select(*CLICK_COLUMNS)
 
 
 def ad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an ad text line; lines of error events lack their last field."""
-    placed = _placed(spark, sf_dir, table(spark, sf_dir, "events"))
-    broken = placed.withColumn("ad_id", F.when(F.col("event_type") != "error", F.col("ad_id")))
-    return _lines(broken)
-
-
-def ad_line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ad text lines as a stream over ``events``."""
-    schema = SCHEMAS["events"]
-    # the pattern matches the name itself, be it one file or a folder of parts
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
-    return _lines(_placed(spark, sf_dir, source))
+    events = table(spark, sf_dir, "events").select(
+        "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        F.when(F.col("event_type") != "error", _ad_id()).alias("ad_id"),
+    )
+    fields = [F.col(c).cast("string") for c in ("ms", "province", "city", "user_id", "ad_id")]
+    return place(spark, sf_dir, events).select(F.concat_ws(" ", *fields).alias("value"))

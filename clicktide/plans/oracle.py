@@ -12,7 +12,8 @@ VIEWS = {
     "actions": """
         SELECT strftime(ts, '%Y-%m-%d') AS date,
                user_id,
-               user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
+               user_id || '-' || CAST(floor((epoch_us(ts) // 1000000 - 3600 * (user_id % 24)) / 86400) AS BIGINT)
+                   AS session_id,
                CAST(CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3
                     WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END AS BIGINT) AS page_id,
                ts AS action_time,
@@ -23,8 +24,8 @@ VIEWS = {
                CASE WHEN event_type = 'signup' THEN k || ',' || ((k + 7) % 100) END AS order_product_ids,
                CASE WHEN event_type = 'purchase' THEN CAST(k AS VARCHAR) END AS pay_category_ids,
                CASE WHEN event_type = 'purchase' THEN CAST(k AS VARCHAR) END AS pay_product_ids,
-               user_id % 25 AS city_id
-        FROM ev
+               CAST(c_nationkey AS BIGINT) AS city_id
+        FROM ev LEFT JOIN customer ON user_id = c_custkey
     """,
     "user_info": """
         SELECT c_custkey AS user_id, CAST(floor(c_acctbal / 100) AS INTEGER) AS age,
@@ -44,8 +45,8 @@ VIEWS = {
         FROM part
     """,
     "product_clicks": """
-        SELECT s_nationkey AS city_id, l_partkey AS product_id
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        SELECT c_nationkey AS city_id, l_partkey AS product_id
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     """,
     "sessions": """
         SELECT session_id, max(user_id) AS user_id,
@@ -72,7 +73,7 @@ VIEWS = {
         SELECT date_trunc('second', ts) AS event_time, strftime(ts, '%Y-%m-%d') AS date,
                replace(area, ' ', '_') AS province, city_name AS city, user_id, k % 5 AS ad_id,
                event_type, epoch_us(ts) // 1000 AS ms
-        FROM ev JOIN city_info ON ev.user_id % 25 = city_info.city_id
+        FROM ev JOIN customer ON ev.user_id = c_custkey JOIN city_info ON c_nationkey = city_info.city_id
     """,
     "daily": """
         SELECT date, user_id, ad_id, count(*) AS click_count FROM clicks GROUP BY ALL
@@ -82,6 +83,21 @@ VIEWS = {
     "stat": """
         SELECT date, province, city, ad_id, count(*) AS click_count FROM clean GROUP BY ALL
     """,
+    "arrived": """
+        SELECT *, CASE WHEN event_time < '2024-01-11 12:00:00' THEN 0
+                       WHEN event_time < '2024-01-20 12:00:00' THEN 1 ELSE 2 END AS arrival
+        FROM clicks WHERE event_type <> 'error'
+    """,
+    "arrived_listed": """
+        SELECT user_id, min(arrival) AS listed
+        FROM (SELECT user_id, arrival, sum(n) OVER (PARTITION BY date, user_id, ad_id ORDER BY arrival) AS total
+              FROM (SELECT date, user_id, ad_id, arrival, count(*) AS n FROM arrived GROUP BY ALL))
+        WHERE total > 2 GROUP BY user_id
+    """,
+    "arrived_clean": """
+        SELECT a.* FROM arrived a LEFT JOIN arrived_listed l ON a.user_id = l.user_id
+        WHERE l.listed IS NULL OR a.arrival < l.listed
+    """,
     "hours": """
         SELECT strftime(start_at, '%Y-%m-%d') AS date, hour(start_at) AS hour,
                count(*) AS session_count
@@ -227,7 +243,7 @@ CLICK_ROW = """strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, date, pr
 TREND = """
     SELECT date, hour(event_time) AS hour, minute(event_time) AS minute, ad_id,
            count(*) AS click_count
-    FROM clean GROUP BY ALL
+    FROM {clean} GROUP BY ALL
 """
 
 BODIES = {
@@ -364,7 +380,8 @@ BODIES = {
                o_orderdate < TIMESTAMP '2024-01-01' AS before_base,
                o_orderdate > TIMESTAMP '2024-01-01' AS after_base,
                CAST(floor(epoch(o_orderdate)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT)
-                   AS seconds_from_base
+                   AS seconds_from_base,
+               round(o_totalprice / 7, 2) AS price_rounded, CAST(86400 AS BIGINT) AS day_seconds
         FROM orders
     """,
     "json_field": "SELECT * FROM product_info",
@@ -391,11 +408,11 @@ BODIES = {
         FROM stat GROUP BY ALL
     """,
     "ad_province_top3": PROVINCE_TOP.format(stat="SELECT * FROM stat"),
-    "ad_click_trend": TREND,
+    "ad_click_trend": TREND.format(clean="clean"),
     "ad_click_trend_last_hour": f"""
-        SELECT * FROM ({TREND})
+        SELECT * FROM ({TREND.format(clean="clean")})
         WHERE CAST(date AS TIMESTAMP) + to_minutes(60 * hour + minute) >
-              (SELECT date_trunc('minute', max(event_time)) FROM clean) - INTERVAL 1 HOUR
+              (SELECT date_trunc('minute', max(event_time)) FROM clicks) - INTERVAL 1 HOUR
     """,
     "ad_restart": """
         SELECT date, user_id, ad_id, count(*) AS click_count FROM clicks
@@ -432,10 +449,35 @@ BODIES = {
     "sink_insert_absent_roundtrip": "SELECT * FROM blacklist",
 }
 
-# Streams are held to the SQL of the batch query of the same name.
-for _name in ("ad_user_daily_clicks", "ad_blacklist", "ad_blacklist_filter", "ad_stat",
-              "ad_province_top3", "ad_click_trend"):
-    BODIES[f"{_name}_stream"] = BODIES[_name]
+_ARRIVED_STAT = "SELECT date, province, city, ad_id, count(*) AS click_count FROM arrived_clean GROUP BY ALL"
+# A user's clicks pass until the arrival in which the user is listed.
+BODIES |= {
+    "ad_user_daily_clicks_stream": BODIES["ad_restart"],
+    "ad_blacklist_stream": "SELECT user_id FROM arrived_listed",
+    "ad_blacklist_filter_stream": f"SELECT {CLICK_ROW} FROM arrived_clean",
+    "ad_stat_stream": _ARRIVED_STAT,
+    "ad_province_top3_stream": PROVINCE_TOP.format(stat=_ARRIVED_STAT),
+    "ad_click_trend_stream": TREND.format(clean="arrived_clean"),
+    "ad_log_rejects_stream": BODIES["ad_log_rejects"],
+    # the newest arrival comes first and closes the days that end two days before its newest click
+    "ad_late_clicks_stream": f"""
+        SELECT {CLICK_ROW} FROM arrived
+        WHERE arrival < 2 AND CAST(date AS DATE) + INTERVAL 1 DAY <=
+              (SELECT max(event_time) FROM arrived) - INTERVAL 2 DAY
+    """,
+}
+
+
+for _sink, _name, _columns in (
+    ("session_aggr_stat", "session_aggr_stat", "*"),
+    ("session_random_extract", "session_sample", "*"),
+    ("session_detail", "session_sample_detail", "*"),
+    ("top10_category", "top10_categories", "*"),
+    ("top10_category_session", "top10_category_sessions", "*"),
+    ("area_top3_product", "area_top3_clicked", "area, product_id, click_count, product_name, product_status"),
+    ("page_split_convert_rate", "page_convert_rate", "page_split || '=' || CAST(convert_rate AS VARCHAR) AS convert_rate"),
+):
+    BODIES[f"sink_{_sink}"] = f"SELECT CAST(1 AS BIGINT) AS task_id, {_columns} FROM ({BODIES[_name]})"
 
 
 def _mentions(sql: str, name: str) -> bool:

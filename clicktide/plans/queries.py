@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clicktide import functions as fn
 from clicktide.operators import ads, area, categories, pageflow, sampling, sessions
 from clicktide.plans import bindings as b
+from clicktide.plans import jobs
 from clicktide.session import scratch_dir
 from clicktide.sources import readers, schemas, tables, tasks
 from clicktide.streaming import ad_stream
@@ -24,6 +25,9 @@ FLOW = (2, 3, 4)
 SAMPLE = 3000
 HOUR_SAMPLE = 100
 THRESHOLD = 2
+# Within days, so that a day's totals change in two arrivals.
+ARRIVALS = ("2024-01-11 12:00:00", "2024-01-20 12:00:00")
+KEEP = "2 days"
 HOURS = 3600
 WIDE_VISITS = (
     ("under_1h", 0, HOURS),
@@ -78,7 +82,7 @@ def _session_row(df: DataFrame) -> DataFrame:
 @query
 def action_date_range(spark: SparkSession, sf: str) -> DataFrame:
     """Actions within a date range."""
-    rows = readers.action_date_range(b.actions(spark, sf, *DATES), *DATES)
+    rows = readers.action_date_range(b.actions(spark, sf, *DATES, cities=True), *DATES)
     return rows.select(
         _date(), "user_id", "session_id", "page_id",
         fn.format_time(F.col("action_time")).alias("action_time"), "search_keyword",
@@ -242,7 +246,7 @@ def area_top3_products(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def area_top3_clicked(spark: SparkSession, sf: str) -> DataFrame:
     """The same report over the click log, as the session job runs it."""
-    clicks = area.product_clicks(b.actions(spark, sf))
+    clicks = area.product_clicks(b.actions(spark, sf, cities=True))
     return area.area_top_products(
         clicks, b.city_info(spark, sf), b.product_info(spark, sf), levels=b.REGION_LEVELS
     ).withColumn("product_status", F.col("product_status").cast("bigint"))
@@ -346,6 +350,8 @@ def scalar_text_dates(spark: SparkSession, sf: str) -> DataFrame:
         fn.is_before(at, base).alias("before_base"),
         fn.is_after(at, base).alias("after_base"),
         fn.minus_seconds(at, base).alias("seconds_from_base"),
+        fn.format_double(F.col("o_totalprice") / 7, 2).alias("price_rounded"),
+        fn.minus_seconds(fn.today().cast("timestamp"), fn.yesterday().cast("timestamp")).alias("day_seconds"),
     )
 
 
@@ -383,17 +389,17 @@ def ad_log_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ad_user_daily_clicks(spark: SparkSession, sf: str) -> DataFrame:
-    return ads.user_daily_clicks(b.ad_clicks(spark, sf)).withColumn("date", _date())
+    return ads.user_daily_clicks(b.bare_clicks(spark, sf)).withColumn("date", _date())
 
 
 @query
 def ad_blacklist(spark: SparkSession, sf: str) -> DataFrame:
-    return ads.blacklist(b.ad_clicks(spark, sf), THRESHOLD)
+    return ads.blacklist(b.bare_clicks(spark, sf), THRESHOLD)
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    clicks = b.ad_clicks(spark, sf)
-    return ads.drop_listed(clicks, ads.blacklist(clicks, THRESHOLD))
+    clicks = b.bare_clicks(spark, sf)
+    return b.place(spark, sf, ads.drop_listed(clicks, ads.blacklist(clicks, THRESHOLD))).select(*ads.CLICK_COLUMNS)
 
 
 def _click_row(clicks: DataFrame) -> DataFrame:
@@ -433,67 +439,92 @@ def ad_click_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ad_click_trend_last_hour(spark: SparkSession, sf: str) -> DataFrame:
-    clicks = b.ad_clicks(spark, sf)
-    recent = ads.last_minutes(clicks)
-    return _trend_row(ads.click_trend(ads.drop_listed(recent, ads.blacklist(clicks, THRESHOLD))))
+    newest = b.newest_click(spark, sf)
+    recent = b.bare_clicks(spark, sf, *ads.minute_range(newest)) if newest else b.bare_clicks(spark, sf)
+    listed = ads.blacklist(b.bare_clicks(spark, sf), THRESHOLD)
+    return _trend_row(ads.click_trend(ads.drop_listed(recent, listed)))
 
 
 # --- ad stream ------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf: str, *steps: str) -> ad_stream.AdTables:
+def _arrivals(spark: SparkSession, sf: str) -> Iterator[str]:
+    """A folder where the ad lines arrive in three parts by time; yields after each."""
+    landing = scratch_dir(spark, "ad-landing")
+    lines = b.ad_lines(spark, sf)
+    at = F.timestamp_millis(F.get(F.split("value", " "), F.lit(0)).cast("bigint"))
+    edges = [F.lit(d).cast("timestamp") for d in ARRIVALS]
+    for arrived in (at < edges[0], (at >= edges[0]) & (at < edges[1]), at >= edges[1]):
+        lines.where(arrived).write.mode("append").text(landing)
+        yield landing
+
+
+def _streamed(spark: SparkSession, sf: str, *steps: str, keep: str | None = None) -> ad_stream.AdTables:
+    """The tables after three arrivals, each worked off by queries started anew from their checkpoints."""
     out = ad_stream.AdTables(scratch_dir(spark, "ad-stream"))
-    clicks = ads.parse_ad_lines(b.ad_line_stream(spark, sf))
-    ad_stream.run_available(spark, clicks, out, THRESHOLD, steps=steps)
+    for landing in _arrivals(spark, sf):
+        clicks = ads.parse_ad_lines(readers.read_text_stream(spark, landing), F.current_timestamp())
+        ad_stream.run_available(spark, clicks, out, THRESHOLD, keep, steps)
     return out
 
 
 @query
 def ad_user_daily_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _streamed(spark, sf, "user_counts").user_click_count(spark).withColumn("date", _date())
+    return _streamed(spark, sf, "gate").user_click_count(spark).withColumn("date", _date())
 
 
 @query
 def ad_blacklist_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _streamed(spark, sf, "user_counts").blacklist(spark)
+    return _streamed(spark, sf, "gate").blacklist(spark)
 
 
 @query
 def ad_blacklist_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _click_row(_streamed(spark, sf, "user_counts", "clean_clicks").clean(spark))
+    return _click_row(_streamed(spark, sf, "gate").clean(spark))
 
 
 @query
 def ad_stat_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out = _streamed(spark, sf, "user_counts", "clean_clicks", "stats")
-    return out.stat(spark).withColumn("date", _date())
+    return _streamed(spark, sf, "gate", "stats").stat(spark).withColumn("date", _date())
 
 
 @query
 def ad_province_top3_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out = _streamed(spark, sf, "user_counts", "clean_clicks", "province_top")
-    return out.province_top3(spark).withColumn("date", _date())
+    return _streamed(spark, sf, "gate", "province_top").province_top3(spark).withColumn("date", _date())
 
 
 @query
 def ad_click_trend_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out = _streamed(spark, sf, "user_counts", "clean_clicks", "trend")
-    return _trend_row(out.trend(spark))
+    return _trend_row(_streamed(spark, sf, "gate", "trend").trend(spark))
 
 
 @query
-def ad_restart(spark: SparkSession, sf: str) -> DataFrame:
-    """User counts over two arrivals of text lines, resumed from the checkpoint between them."""
+def ad_late_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks of days that were closed when they came: the lines arrive with the newest part first."""
+    out = ad_stream.AdTables(scratch_dir(spark, "ad-late"))
     landing = scratch_dir(spark, "ad-landing")
-    out = ad_stream.AdTables(scratch_dir(spark, "ad-restart"))
     lines = b.ad_lines(spark, sf)
-    at = F.get(F.split("value", " "), F.lit(0)).cast("bigint")
-    middle = F.lit("2024-01-16").cast("timestamp")
-    for arrived in (at < F.unix_millis(middle), at >= F.unix_millis(middle)):
+    at = F.timestamp_millis(F.get(F.split("value", " "), F.lit(0)).cast("bigint"))
+    middle = F.lit(ARRIVALS[1]).cast("timestamp")
+    for arrived in (at >= middle, at < middle):
         lines.where(arrived).write.mode("append").text(landing)
-        clicks = ads.parse_ad_lines(readers.read_text_stream(spark, landing))
-        ad_stream.run_available(spark, clicks, out, THRESHOLD, steps=("user_counts",))
-    return out.user_click_count(spark).withColumn("date", _date())
+        clicks = ads.parse_ad_lines(readers.read_text_stream(spark, landing), F.current_timestamp())
+        ad_stream.run_available(spark, clicks, out, THRESHOLD, KEEP, ("gate",))
+    return _click_row(out.late(spark))
+
+
+@query
+def ad_log_rejects_stream(spark: SparkSession, sf: str) -> DataFrame:
+    out = ad_stream.AdTables(scratch_dir(spark, "ad-rejects")).create(spark)
+    for landing in _arrivals(spark, sf):
+        ad_stream.start_rejects(readers.read_text_stream(spark, landing), out, once=True).awaitTermination()
+    return out.rejects(spark)
+
+
+@query
+def ad_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """User counts of a stream that closes days, resumed from the checkpoint after every arrival."""
+    return _streamed(spark, sf, "gate", keep=KEEP).user_click_count(spark).withColumn("date", _date())
 
 
 # --- sinks ----------------------------------------------------------------
@@ -509,6 +540,56 @@ def sink_append_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/top10_category")
 
 
+def _session_table(spark: SparkSession, sf: str, table: str, params: sessions.SessionFilter) -> DataFrame:
+    """One result table of the session job, appended and read back."""
+    base = scratch_dir(spark, "results")
+    jobs.store_session_results(
+        b.actions(spark, sf, cities=True), b.user_info(spark, sf), b.city_info(spark, sf), b.product_info(spark, sf),
+        params, base, 1, SAMPLE, only=(table,),
+    )
+    return spark.read.parquet(f"{base}/{table}")
+
+
+@query
+def sink_session_aggr_stat(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_table(spark, sf, "session_aggr_stat", FILTER)
+
+
+@query
+def sink_session_random_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_table(spark, sf, "session_random_extract", sessions.SessionFilter())
+
+
+@query
+def sink_session_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_table(spark, sf, "session_detail", sessions.SessionFilter())
+
+
+@query
+def sink_top10_category(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_table(spark, sf, "top10_category", FILTER)
+
+
+@query
+def sink_top10_category_session(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_table(spark, sf, "top10_category_session", FILTER)
+
+
+@query
+def sink_area_top3_product(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _session_table(spark, sf, "area_top3_product", sessions.SessionFilter())
+    # the level is that of the job's own areas, and the cities are listed in no order
+    return rows.drop("area_level", "city_infos").withColumn("product_status", F.col("product_status").cast("bigint"))
+
+
+@query
+def sink_page_split_convert_rate(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_dir(spark, "results")
+    rates = pageflow.convert_rate_text(pageflow.page_convert_rate(b.actions(spark, sf), FLOW))
+    tables.append_result(rates, base, "page_split_convert_rate", 1)
+    return spark.read.parquet(f"{base}/page_split_convert_rate")
+
+
 @query
 def sink_upsert_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Morning totals, overwritten by the day's totals where a key has afternoon clicks."""

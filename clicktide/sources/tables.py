@@ -14,6 +14,7 @@ versions that are still there change no result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,16 +68,22 @@ def publish_once(df: DataFrame, staging: str, target: str) -> bool:
     return True
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder, for use by several plans.
+def materialize(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder, or below ``base``, for use by several plans.
 
     Unlike cached blocks the files outlive the executors that wrote them.
     """
-    path = scratch_dir(df.sparkSession, name)
+    path = f"{base}/{name}" if base else scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose tables are no longer needed."""
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
 # --- append ---------------------------------------------------------------
 
 def result_rows(df: DataFrame, table: str, task_id: int) -> DataFrame:
@@ -177,13 +184,19 @@ def compact(
     readers which have listed them can finish.
     """
     depth = len(partition_by)
-    written = [v for v, _ in _version_folders(spark, path, depth) if v <= batch_version(batch_id)]
-    if not written:
+    folders = [(v, f) for v, f in _version_folders(spark, path, depth) if v <= batch_version(batch_id)]
+    if not folders:
         return
-    base = max(written) // 2 * 2 + 1
+    base = max(v for v, _ in folders) // 2 * 2 + 1
     old = _versions(spark, path, schema).where(F.col(VERSION) < base)
     if where is not None:
         old = old.where(where)
+    if depth == 1:  # what has one version alone needs no folding
+        several = Counter(f.getParent().getName().split("=", 1)[1] for _, f in folders)
+        values = [v for v, n in several.items() if n > 1]
+        if not values:
+            return
+        old = old.where(F.col(partition_by[0]).cast("string").isin(values))
     newest = _newest_groups if groups else _newest_rows
     write_version(newest(old, schema, keys), path, base, partition_by)
     _drop_before_previous_base(spark, path, base, depth)

@@ -1,22 +1,31 @@
 """Continuous ad-click pipeline.
 
-Five streaming queries share the tables below one folder:
+Streaming queries that share the tables below one folder:
 
-* ``user_counts``   clicks -> running (date, user, ad) totals -> blacklist
-* ``clean_clicks``  clicks minus the users listed so far
+* ``rejects``       text lines that are no clicks
+* ``gate``          clicks -> landed -> running (date, user, ad) totals -> blacklist -> clean clicks
 * ``stats``         clean clicks -> running (date, province, city, ad) totals
 * ``province_top``  clean clicks -> running (date, province, ad) totals -> top ads
 * ``trend``         clean clicks -> running totals per minute
 
-Running totals live in the state store, so a micro-batch costs what it holds,
-not what the tables hold.  Each query has its own checkpoint, and every write
-is keyed by batch id: a repeated batch replaces or skips what it wrote before.
+The gate works a micro-batch off in one piece: it lands its clicks, counts them,
+lists the users who went over the limit, and lets through the clicks of all
+others.  The same batches give the same clean clicks, run at once or continuously.
+
+Running totals live in the state store.  Each query has its own checkpoint, and
+every write is keyed by batch id: a repeated batch replaces or skips what it
+wrote before.  Versions of a table are folded every ``COMPACT_EVERY`` batches.
+
+Nothing is lost silently.  Without ``keep`` all totals stay for good.  With it, a
+click for a day that is over by more than ``keep``, by the newest click of earlier
+batches, goes to the late clicks and into no total.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +37,9 @@ from clicktide.sources import schemas, tables
 INTERVAL = "5 seconds"
 ADAPTIVE = "spark.sql.adaptive.enabled"
 
-STEPS = ("user_counts", "clean_clicks", "stats", "province_top", "trend")
+COMPACT_EVERY = 50  # batches
+
+STEPS = ("gate", "stats", "province_top", "trend")
 
 COUNT_KEYS = ("date", "user_id", "ad_id")
 STAT_KEYS = ("date", "province", "city", "ad_id")
@@ -49,8 +60,8 @@ class AdTables:
         return self.path(f"checkpoints/{name}")
 
     def create(self, spark: SparkSession) -> AdTables:
-        for name in ("ad_user_click_count", "ad_blacklist", "clean", "ad_stat",
-                     "ad_province_top3", "ad_click_trend"):
+        for name in ("ad_user_click_count", "ad_blacklist", "clicks", "clean", "ad_late_clicks",
+                     "ad_log_rejects", "ad_stat", "ad_province_top3", "ad_click_trend"):
             tables.ensure_table(spark, self.path(name))
         return self
 
@@ -66,6 +77,14 @@ class AdTables:
         reader = spark.read.schema(schemas.AD_CLICKS).option("recursiveFileLookup", True)
         return reader.parquet(self.path("clean"))
 
+    def late(self, spark: SparkSession) -> DataFrame:
+        reader = spark.read.schema(schemas.AD_CLICKS).option("recursiveFileLookup", True)
+        return reader.parquet(self.path("ad_late_clicks"))
+
+    def rejects(self, spark: SparkSession) -> DataFrame:
+        reader = spark.read.schema("value string").option("recursiveFileLookup", True)
+        return reader.parquet(self.path("ad_log_rejects"))
+
     def stat(self, spark: SparkSession) -> DataFrame:
         return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS)
 
@@ -95,6 +114,12 @@ class AdTables:
         tables.compact(spark, self.path(table), schema, keys, batch_id, parts, within, groups)
 
 
+def _fold(spark: SparkSession, out: AdTables, table: str, batch_id: int) -> None:
+    """Fold the versions of finished batches, now and then."""
+    if batch_id and batch_id % COMPACT_EVERY == 0:
+        out.compact(spark, table, batch_id - 1)
+
+
 def _start(
     frame: DataFrame,
     handle: Callable[[DataFrame, int], None],
@@ -158,25 +183,85 @@ def start_user_counts(
                 ads.over_limit_users(changed, threshold), out.path("ad_blacklist"),
                 schemas.AD_BLACKLIST, ["user_id"], version,
             )
+            for table in ("ad_user_click_count", "ad_blacklist"):
+                _fold(changed.sparkSession, out, table, batch_id)
         finally:
             changed.unpersist()
 
     return _start(totals, handle, out.checkpoint("user_counts"), "update", once, interval)
 
 
-def start_clean_clicks(
-    clicks: DataFrame, out: AdTables, once: bool = False, interval: str = INTERVAL
+def _landed_stream(spark: SparkSession, out: AdTables) -> DataFrame:
+    """The landed clicks as a stream; files that were counted go with a later batch."""
+    reader = spark.readStream.schema(schemas.AD_CLICKS).option("recursiveFileLookup", True)
+    return reader.option("cleanSource", "delete").parquet(out.path("clicks"))
+
+
+def _newest(spark: SparkSession, out: AdTables, batch_id: int) -> datetime | None:
+    """The newest click time up to a finished batch."""
+    path = out.path(f"newest/batch-{batch_id}")
+    if batch_id < 0 or not tables.path_exists(spark, path):
+        return None
+    return spark.read.schema("event_time timestamp").parquet(path).first()["event_time"]
+
+
+def start_gate(
+    clicks: DataFrame,
+    out: AdTables,
+    threshold: int = ads.CLICK_LIMIT,
+    keep: str | None = None,
+    once: bool = False,
+    interval: str = INTERVAL,
 ) -> StreamingQuery:
-    """Clicks of users not listed, with the blacklist read anew for every micro-batch."""
+    """Count, list and filter each micro-batch before the next one.
+
+    A user's clicks pass until the batch in which the user is listed; those of
+    that batch and of all later ones do not.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        listed = out.blacklist(batch.sparkSession)
-        kept = ads.drop_listed(batch.select(*schemas.AD_CLICKS.fieldNames()), listed)
-        tables.publish_once(
-            kept, out.path(f"staging/batch-{batch_id}"), out.path(f"clean/batch-{batch_id}")
-        )
+        spark, name = batch.sparkSession, f"batch-{batch_id}"
 
-    return _start(clicks, handle, out.checkpoint("clean_clicks"), "append", once, interval)
+        def publish(rows: DataFrame, table: str) -> None:
+            tables.publish_once(rows, out.path(f"staging/{table}-{batch_id}"), out.path(f"{table}/{name}"))
+
+        if tables.path_exists(spark, out.path(f"clean/{name}")):
+            return
+        arrived = batch.select(*schemas.AD_CLICKS.fieldNames()).persist()
+        try:
+            work_off(spark, arrived, publish, batch_id)
+        finally:
+            arrived.unpersist()
+
+    def work_off(spark: SparkSession, arrived: DataFrame, publish, batch_id: int) -> None:
+        publish(arrived, "clicks")
+        before = _newest(spark, out, batch_id - 1)
+        newest = arrived.agg(F.greatest(F.max("event_time"), F.lit(before).cast("timestamp")).alias("event_time"))
+        publish(newest, "newest")
+        # counts exactly what has landed: earlier batches are done, later ones have not begun
+        start_user_counts(_landed_stream(spark, out), out, threshold, keep, once=True).awaitTermination()
+        kept = arrived
+        if keep is not None:
+            closed = F.lit(before).cast("timestamp") - F.expr(f"interval {keep}")
+            is_late = F.coalesce(F.date_add("date", 1).cast("timestamp") <= closed, F.lit(False))
+            publish(arrived.where(is_late), "ad_late_clicks")
+            kept = arrived.where(~is_late)
+        publish(ads.drop_listed(kept, out.blacklist(spark)), "clean")
+
+    return _start(clicks, handle, out.checkpoint("gate"), "append", once, interval)
+
+
+def start_rejects(
+    lines: DataFrame, out: AdTables, once: bool = False, interval: str = INTERVAL
+) -> StreamingQuery:
+    """Store the text lines that are no clicks."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        staging = out.path(f"staging/ad_log_rejects-{batch_id}")
+        tables.publish_once(batch, staging, out.path(f"ad_log_rejects/batch-{batch_id}"))
+
+    rejected = ads.rejected_ad_lines(lines, F.current_timestamp())
+    return _start(rejected, handle, out.checkpoint("rejects"), "append", once, interval)
 
 
 def clean_stream(spark: SparkSession, out: AdTables, max_files: int | None = None) -> DataFrame:
@@ -201,6 +286,7 @@ def start_stats(
     def handle(changed: DataFrame, batch_id: int) -> None:
         rows = changed.select(*schemas.AD_STAT.fieldNames())
         tables.write_version(rows, out.path("ad_stat"), tables.batch_version(batch_id), ["date"])
+        _fold(changed.sparkSession, out, "ad_stat", batch_id)
 
     return _start(totals, handle, out.checkpoint("stats"), "update", once, interval)
 
@@ -243,6 +329,7 @@ def start_province_top(
             tables.write_version(
                 best, out.path("ad_province_top3"), tables.batch_version(batch_id), ["date"]
             )
+            _fold(changed.sparkSession, out, "ad_province_top3", batch_id)
         finally:
             changed.unpersist()
 
@@ -252,16 +339,20 @@ def start_province_top(
 def start_trend(
     clean: DataFrame,
     out: AdTables,
-    keep: str | None = "1 hour",
+    keep: str | None = None,
     once: bool = False,
     interval: str = INTERVAL,
 ) -> StreamingQuery:
-    """Totals per minute and ad.  Minutes older than ``keep`` leave the state."""
+    """Totals per minute and ad.
+
+    With ``keep`` a minute leaves the state no earlier than its day is closed for
+    the other totals, so that all of them hold the same clicks.
+    """
     if keep is None:
         totals = ads.click_trend(clean)
     else:
         counted = (
-            clean.withWatermark("event_time", keep)
+            clean.withWatermark("event_time", f"1 day {keep}")
             .groupBy(F.window("event_time", "1 minute").alias("w"), "ad_id")
             .agg(F.count(F.lit(1)).alias("click_count"))
         )
@@ -276,6 +367,7 @@ def start_trend(
     def handle(changed: DataFrame, batch_id: int) -> None:
         rows = changed.select(*schemas.AD_CLICK_TREND.fieldNames())
         tables.write_version(rows, out.path("ad_click_trend"), tables.batch_version(batch_id), ["date"])
+        _fold(changed.sparkSession, out, "ad_click_trend", batch_id)
 
     return _start(totals, handle, out.checkpoint("trend"), "update", once, interval)
 
@@ -288,13 +380,9 @@ def run_available(
     keep: str | None = None,
     steps: tuple[str, ...] = STEPS,
 ) -> None:
-    """Work off everything that has arrived, one query after the other.
-
-    The blacklist then covers all arrived clicks before any is let through.
-    """
+    """Work off everything that has arrived, one query after the other."""
     start = {
-        "user_counts": lambda: start_user_counts(clicks, out, threshold, keep, once=True),
-        "clean_clicks": lambda: start_clean_clicks(clicks, out, once=True),
+        "gate": lambda: start_gate(clicks, out, threshold, keep, once=True),
         "stats": lambda: start_stats(clean_stream(spark, out), out, keep=keep, once=True),
         "province_top": lambda: start_province_top(
             clean_stream(spark, out), out, keep=keep, once=True
@@ -311,15 +399,18 @@ def start_all(
     clicks: DataFrame,
     out: AdTables,
     threshold: int = ads.CLICK_LIMIT,
-    keep: str | None = "1 day",
+    keep: str | None = None,
     interval: str = INTERVAL,
+    lines: DataFrame | None = None,
 ) -> list[StreamingQuery]:
-    """Start all queries to run continuously."""
+    """Start all queries to run continuously; with ``lines`` their rejects are stored too."""
     out.create(spark)
-    return [
-        start_user_counts(clicks, out, threshold, keep, interval=interval),
-        start_clean_clicks(clicks, out, interval=interval),
+    started = [
+        start_gate(clicks, out, threshold, keep, interval=interval),
         start_stats(clean_stream(spark, out), out, keep=keep, interval=interval),
         start_province_top(clean_stream(spark, out), out, keep=keep, interval=interval),
-        start_trend(clean_stream(spark, out), out, interval=interval),
+        start_trend(clean_stream(spark, out), out, keep, interval=interval),
     ]
+    if lines is not None:
+        started.append(start_rejects(lines, out, interval=interval))
+    return started

@@ -70,8 +70,7 @@ def test_last_minutes(spark):
     whole = ads.recent_trend(ads.click_trend(frame))
     assert tuples(ads.click_trend(ads.last_minutes(frame))) == tuples(whole)
     assert ads.last_minutes(frame.where("false")).count() == 0
-    last = F.lit(T).cast("timestamp")
-    assert ads.last_minutes(frame, 1, last).count() == 2
+    assert ads.last_minutes(frame, 1, T).count() == 2
 
 
 def test_trend(spark):

@@ -52,6 +52,11 @@ def test_date_range_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in text and "LessThan(ts,2024-01-21T00:00)" in text
 
 
+def test_the_last_hour_reaches_the_scan(spark):
+    text = plan(spark, "ad_click_trend_last_hour")
+    assert "GreaterThanOrEqual(ts,2024-01-30T22:27" in text and "LessThan(ts,2024-01-30T23:27" in text
+
+
 def test_page_flow_scans_once(spark):
     df = QUERIES["page_convert_rate"](spark, SF_DIR)
     df.collect()
