@@ -129,7 +129,7 @@ def session_condition_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filtered_session_actions(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = sessions.of_sessions(b.actions(spark, sf), _filtered(spark, sf))
+    chosen = sessions.of_sessions(b.actions(spark, sf, cities=True), _filtered(spark, sf))
     return chosen.select(
         _date(), "user_id", "session_id", "page_id",
         fn.format_time(F.col("action_time")).alias("action_time"), "search_keyword",
