@@ -2,14 +2,18 @@
 
 Each document's statistics are transformed to a vector.  For every language and
 source the minimum-covariance-determinant estimate is found by concentration
-steps: mean and covariance of the ``H`` share of rows that lie closest, again and
-again.  A document too far from it by Mahalanobis distance is rejected.  Steps run
-over all rows as grouped sums, so no group is ever in one task.
+steps: mean and covariance of the ``H`` share of rows that lie closest, until the
+determinant stays.  Many starts (robust scatters, seeded subsets, all rows) are
+tried on a sample of bounded size; the best go on over all rows as grouped sums, so
+no group is ever in one task, and the one of least determinant over all rows counts.
+A document too far from it by Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,11 @@ from clicktide.llm.common import slices, stored
 from clicktide.llm.words import raw, windows, words
 
 H = 0.75  # share of rows that the estimate rests on
-STEPS = 4
+STEPS = 30  # concentration steps at most; they end when the misfit stays
+TOLERANCE = 1e-3  # of a misfit
+SAMPLE = 2000  # rows of a group in which starts are sought
+SUBSETS = 20  # seeded starts of few rows, besides the robust ones
+FINALISTS = 3  # estimates of a sample that go on over all rows
 LEAST_ROWS = 100  # a smaller group is judged by the estimate over all rows
 CUT = 45.0  # squared distance; of six normal variables one in 20 million exceeds it
 # Least standard deviation of each statistic, so that one that is nearly constant
@@ -136,35 +144,35 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*sums)
 
 
+def _upper(inv: np.ndarray) -> list[float]:
+    """The upper half of a symmetric matrix by rows, what stands beside the diagonal doubled."""
+    return (inv * (2 - np.eye(len(inv))))[np.triu_indices(len(inv))].tolist()
+
+
 def _estimates(moments: DataFrame, *keys: str) -> DataFrame:
-    """Mean and the upper half of the inverse covariance, with floors, of each group."""
+    """Mean, misfit and the upper half of the inverse covariance, with floors, of each group."""
     p = len(STATS)
-    floors = np.array([FLOORS[s] ** 2 for s in STATS])
+    upper = np.triu_indices(p)
 
     def run(batches: Iterator) -> Iterator:
         for f in batches:
             if not len(f):
                 continue
             mean = f[[f"m_{s}" for s in STATS]].to_numpy(float)
-            inverse = np.zeros((len(f), p * (p + 1) // 2))
-            for r in range(len(f)):
-                cov, at = np.zeros((p, p)), 0
-                for i in range(p):
-                    for j in range(i, p):
-                        cov[i, j] = cov[j, i] = f[f"p_{i}_{j}"].iloc[r] - mean[r, i] * mean[r, j]
-                # the floor stands in for the variance a statistic lacks
-                cov += np.diag(np.maximum(0, floors - np.diag(cov)) + 1e-9)
-                inv = np.linalg.inv(cov)
-                for i in range(p):
-                    for j in range(i, p):
-                        inverse[r, at] = inv[i, j] * (1 if i == j else 2)
-                        at += 1
+            products = f[[f"p_{i}_{j}" for i, j in zip(*upper)]].to_numpy(float)
+            inverse, misfit = [], []
+            for m, half in zip(mean, products):
+                cov = np.zeros((p, p))
+                cov[upper] = half
+                cov, far = _floored(cov + np.triu(cov, 1).T - np.outer(m, m))
+                inverse.append(_upper(np.linalg.inv(cov)))
+                misfit.append(far)
             out = f[[*keys, "n"]].copy()
-            out["mean"], out["inverse"] = list(mean), list(inverse)
+            out["misfit"], out["mean"], out["inverse"] = misfit, list(mean), inverse
             yield out
 
-    kinds = "".join(f"{k} string, " for k in keys)
-    return moments.mapInPandas(run, f"{kinds}n bigint, mean array<double>, inverse array<double>")
+    kinds = "".join(f"{k} {moments.schema[k].dataType.simpleString()}, " for k in keys)
+    return moments.mapInPandas(run, f"{kinds}n bigint, misfit double, mean array<double>, inverse array<double>")
 
 
 def _distance() -> Column:
@@ -178,16 +186,134 @@ def _distance() -> Column:
     return total
 
 
+def _floored(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """The likeliest covariance with at least the floors' variance in every direction, and its misfit.
+
+    Floors of single statistics would not do: several that move together leave
+    directions without variance, and the least determinant to the outliers.  The
+    misfit is the log determinant (in units of the floors) plus the mean squared
+    distance of the rows; where no floor holds, it ranks as the determinant does.
+    """
+    floors = np.array([FLOORS[k] for k in STATS])
+    units = np.outer(floors, floors)
+    own, axes = np.linalg.eigh(cov / units)
+    least = np.maximum(own, 1)
+    return (axes * least) @ axes.T * units, float(np.sum(np.log(least) + own / least))
+
+
+def _scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.mean(axis=0), _floored(np.cov(x.T, bias=True))[0]
+
+
+def _closest(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, share: float) -> np.ndarray:
+    z = x - mean
+    d = np.einsum("ij,ij->i", z @ np.linalg.inv(cov), z)
+    last = max(0, int(np.ceil(share * len(x))) - 1)
+    return x[d <= np.partition(d, last)[last]]
+
+
+def _concentrated(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Misfit, mean and covariance after concentration steps, until the misfit no longer falls."""
+    last = np.inf
+    for _ in range(steps):
+        kept = _closest(x, mean, cov, H)
+        mean = kept.mean(axis=0)
+        cov, misfit = _floored(np.cov(kept.T, bias=True))
+        if last - misfit < 1e-9:
+            break
+        last = misfit
+    return misfit, mean, cov
+
+
+def _robust(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The starts of deterministic MCD: scatters that far rows hardly move, scaled anew along their axes."""
+    floors = np.array([FLOORS[k] for k in STATS])
+
+    def spread(v: np.ndarray, least: np.ndarray | float) -> np.ndarray:
+        return np.maximum(least, 1.4826 * np.median(np.abs(v - np.median(v, axis=0)), axis=0))
+
+    middle, scale = np.median(x, axis=0), spread(x, floors)
+    z = (x - middle) / scale
+    ordered = np.sort(x, axis=0)
+    ranks = np.column_stack([np.searchsorted(o, c, "left") + np.searchsorted(o, c, "right") for o, c in zip(ordered.T, x.T)]) / (2 * len(x))
+    norms = np.sqrt(np.einsum("ij,ij->i", z, z))
+    normal = np.array([NormalDist().inv_cdf(v) for v in (np.arange(1000) + 0.5) / 1000])
+    half = z[norms <= np.median(norms)]
+    for v in (np.tanh(z), ranks, normal[np.minimum((ranks * 1000).astype(int), 999)], z / np.maximum(norms, 1e-9)[:, None], half):
+        axes = np.linalg.eigh(np.cov(v.T, bias=True) + 1e-9 * np.eye(len(STATS)))[1]
+        along = z @ axes
+        lengths = spread(along, 1e-3)
+        center = axes @ np.median(along, axis=0)
+        cov = (axes * lengths**2) @ axes.T
+        yield middle + center * scale, _floored(cov * np.outer(scale, scale))[0]
+
+
+def finalists(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The best different estimates of a sample, by least misfit.
+
+    Starts: the moments of all rows, five robust scatters (their closest half),
+    and ``SUBSETS`` seeded subsets of which the best go on after two steps.
+    """
+    rng = np.random.default_rng(len(x))
+    starts = [_scatter(x), *(_scatter(_closest(x, *s, 0.5)) for s in _robust(x))]
+    drawn = (_scatter(x[rng.choice(len(x), min(len(x), len(STATS) + 1), replace=False)]) for _ in range(SUBSETS))
+    tried = sorted((_concentrated(x, *s, 2) for s in drawn), key=lambda e: e[0])
+    ends = sorted((_concentrated(x, *s, STEPS) for s in [*starts, *(e[1:] for e in tried[:FINALISTS])]), key=lambda e: e[0])
+    best: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for e in ends:
+        if len(best) < FINALISTS and all(abs(e[0] - b[0]) > TOLERANCE for b in best):
+            best.append(e)
+    return best
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Of each ``grp``, the estimates that a sample of about ``SAMPLE`` rows ends in."""
+    p = len(STATS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, sample in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = sample.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                found = finalists(x[np.lexsort(x.T)])  # in an order of its own, whatever order rows came in
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([grp] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()),
+                    pa.array([float(e[0]) for e in found], pa.float64()), pa.array([e[1].tolist() for e in found], pa.list_(pa.float64())),
+                    pa.array([_upper(np.linalg.inv(e[2])) for e in found], pa.list_(pa.float64())),
+                ], names=["grp", "start", "misfit", "mean", "inverse"])
+
+    sizes = stored(rows.groupBy("grp").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_ROWS) | (F.col("grp") == ALL)), "sizes")
+    draw = F.pmod(F.xxhash64("place"), F.lit(1 << 40)) * F.col("n") < F.lit(float(SAMPLE << 40))
+    some = rows.withColumn("place", F.monotonically_increasing_id()).join(sizes, "grp").where(draw)
+    samples = some.groupBy("grp").agg(F.collect_list(F.array(*STATS)).alias("sample"))
+    return samples.mapInArrow(run, "grp string, start int, misfit double, mean array<double>, inverse array<double>")
+
+
 def _fit(rows: DataFrame) -> DataFrame:
-    """Concentration steps from the moments of all rows; an estimate for each ``grp``."""
-    est = stored(_estimates(_moments(rows, "grp"), "grp"), "mcd")
-    for _ in range(STEPS):
-        near = rows.join(est.select("grp", "mean", "inverse"), "grp").select("grp", *STATS, _distance().alias("d2"))
+    """The estimate of least misfit for each ``grp`` of ``LEAST_ROWS`` rows, and for ``ALL``.
+
+    Each finalist of the samples takes concentration steps over all rows, by
+    grouped sums, until its misfit stays as it is.
+    """
+    est = stored(_starts(rows), "mcd")
+    done = []
+    for step in range(STEPS):
+        near = rows.join(est.select("grp", "start", "mean", "inverse"), "grp").select("grp", "start", *STATS, _distance().alias("d2"))
         # stored, so that its true size decides how it is joined
-        cuts = stored(near.groupBy("grp").agg(F.percentile_approx("d2", H, 1000).alias("cut")), "mcd-cuts")
-        kept = near.join(cuts, "grp").where(F.col("d2") <= F.col("cut"))
-        est = stored(_estimates(_moments(kept, "grp"), "grp"), "mcd")
-    return est
+        cuts = stored(near.groupBy("grp", "start").agg(F.percentile_approx("d2", H, 10_000).alias("cut")), "mcd-cuts")
+        kept = near.join(cuts, ["grp", "start"]).where(F.col("d2") <= F.col("cut"))
+        new = _estimates(_moments(kept, "grp", "start"), "grp", "start")
+        last = est.select("grp", "start", F.col("misfit").alias("last"))
+        # the misfits of a sample are not those of all rows, so the first step ends nothing
+        moved = (F.abs(F.col("misfit") - F.col("last")) > TOLERANCE) if step else F.lit(True)
+        new = stored(new.join(last, ["grp", "start"]).withColumn("moved", moved).drop("last"), "mcd")
+        going = new.where("moved")
+        if step == STEPS - 1 or going.isEmpty():
+            done.append(new)
+            break
+        done.append(new.where("not moved"))
+        est = going
+    ends = reduce(DataFrame.unionByName, done)
+    return stored(ends.groupBy("grp").agg(F.min_by(F.struct("n", "mean", "inverse"), F.struct("misfit", "start")).alias("e")).select("grp", "e.*"), "mcd")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -208,7 +334,7 @@ def judge(docs: DataFrame) -> DataFrame:
     good = rows.where(~F.col("base_failed")).select("grp", *STATS)
     both = good.select(F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *STATS)
     est = _fit(both)
-    own = est.where((F.col("grp") != ALL) & (F.col("n") >= H * LEAST_ROWS)).select("grp", "mean", "inverse")
+    own = est.where(F.col("grp") != ALL).select("grp", "mean", "inverse")
     overall = est.where(F.col("grp") == ALL).first()  # one row, or none without rows to learn from
 
     def known(name: str) -> Column:

@@ -58,3 +58,40 @@ def test_distances_and_planted_outliers(docs):
     want = mcd(np.array(x))
     have = np.array([got[d].distance2 for d, _ in rows])
     np.testing.assert_allclose(have, want, rtol=0.05, atol=0.5)
+
+
+def mixed(rng, n):
+    """Clean texts of many lengths, word lengths, line lengths and rates of symbols and of repeated lines."""
+    out = []
+    for _ in range(n):
+        size, per_line = int(rng.integers(2, 12)), int(np.exp(rng.normal(2.5, 0.7))) + 1
+        vocab = [f"{i:x}" * size for i in range(300, 1500)]
+        lines = [" ".join(rng.choice(vocab, per_line)) for _ in range(int(np.exp(rng.normal(5.3, 0.7))) // per_line + 60 // per_line + 1)]
+        again = [lines[0]] * int(rng.integers(0, 3) * len(lines) // 12)
+        rate = rng.uniform(0, 0.1)
+        words = [[w + "%" * int(rng.random() < rate) for w in line.split()] for line in lines + again]
+        out.append("\n".join(" ".join(w) for w in words))
+    return out
+
+
+def test_a_fifth_of_one_kind_of_junk(docs):
+    """A cluster of 20 % must not become the estimate."""
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(mixed(rng, 400)))
+    # half of the lines are one line, with symbols
+    rows += [(1000 + i, "\n".join(f"{a:x} {b:x}\nbuy now##" for a, b in rng.integers(300, 1500, (40, 2)))) for i in range(100)]
+    got = {r.doc_id: r for r in outliers.judge(docs(rows)).collect()}
+    assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(100))
+    kept = [got[i].kept for i in range(400) if not got[i].base_failed]
+    assert len(kept) > 380 and np.mean(kept) > 0.98
+
+
+def test_least_misfit_of_a_cluster_in_several_statistics():
+    rng = np.random.default_rng(7)
+    x = np.abs(rng.normal([5.5, 1.8, 0, 0, 0.05, 3], [0.9, 0.1, 0.02, 0.03, 0.06, 0.6], (2000, 6)))
+    x[:400] = rng.normal([5.5, 2.6, 0.4, 0.4, 0.5, 1], 0.02, (400, 6))
+    ends = outliers.finalists(x)
+    assert [e[0] for e in ends] == sorted(e[0] for e in ends)
+    _, mean, cov = ends[0]
+    d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    assert (d2[:400] > outliers.CUT).all() and (d2[400:] <= outliers.CUT).mean() > 0.999
