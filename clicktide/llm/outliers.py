@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import exp
 from statistics import NormalDist
 
 import numpy as np
@@ -30,13 +31,38 @@ SAMPLE = 2000  # rows of a group in which starts are sought
 SUBSETS = 20  # seeded starts of few rows, besides the robust ones
 FINALISTS = 3  # estimates of a sample that go on over all rows
 LEAST_ROWS = 100  # a smaller group is judged by the estimate over all rows
-CUT = 45.0  # squared distance; of six normal variables one in 20 million exceeds it
-# Least standard deviation of each statistic, so that one that is nearly constant
-# rejects nobody for a trifle.
-FLOORS = {"length": 0.5, "word_length": 0.08, "symbols": 0.03, "dup_lines": 0.2, "repeats": 0.15, "line_length": 0.5}
+TAIL = 0.001  # share of normal rows beyond the cut
+# Least standard deviation of each statistic among the ``H`` share, so that one that
+# is nearly constant rejects nobody for a trifle.
+FLOORS = {"length": 0.5, "word_length": 0.08, "symbols": 0.03, "dup_lines": 0.08, "repeats": 0.07, "line_length": 0.5}
+# A share of few lines or words varies more.  Lines and words added below the line
+# shrink it by as much: its variance is the floor's times (1 + added / n).
+ADDED_LINES, ADDED_WORDS = 16, 150
 STATS = list(FLOORS)
 ALL = "*"  # the group of all rows
 
+
+def _beyond(x: float, df: int) -> float:
+    """Share of chi-square with an even number of degrees of freedom that exceeds x."""
+    term = total = exp(-x / 2)
+    for i in range(1, df // 2):
+        term *= x / 2 / i
+        total += term
+    return total
+
+
+def _quantile(share: float, df: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _beyond(mid, df) > 1 - share else (low, mid)
+    return low
+
+
+# The covariance of the H share is smaller than that of all normal rows by this factor.
+CONSISTENCY = H / (1 - _beyond(_quantile(H, len(STATS)), len(STATS) + 2))
+CUT = CONSISTENCY * _quantile(1 - TAIL, len(STATS))  # squared distance, 30.6
+
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -131,8 +157,8 @@ def vector() -> dict[str, Column]:
         "length": F.log1p(F.col("n_words").cast("double")),
         "word_length": F.log1p(F.col("word_chars") / n),
         "symbols": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        "dup_lines": F.sqrt(F.col("n_dup_lines") / lines),
-        "repeats": F.sqrt(F.col("n_repeat_words") / n),
+        "dup_lines": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + ADDED_LINES)),
+        "repeats": F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + ADDED_WORDS)),
         "line_length": F.log1p(F.col("n_words") / lines),
     }
 

@@ -95,3 +95,36 @@ def test_least_misfit_of_a_cluster_in_several_statistics():
     _, mean, cov = ends[0]
     d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
     assert (d2[:400] > outliers.CUT).all() and (d2[400:] <= outliers.CUT).mean() > 0.999
+
+
+def test_partial_repetition_and_sparse_symbols(docs):
+    """Junk in a part of a text is rejected; short clean texts stay."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{'abcdefgh'[i % 8]}{'xyz'[i % 3] * (1 + i % 7)}{i}" for i in range(4000)]
+    fresh = [[list(rng.choice(vocab, int(rng.integers(9, 16)))) for _ in range(rng.integers(4, 40))] for _ in range(440)]
+    planted = {
+        "read more": lambda t: [line for part in t for line in (part, ["Read", "more"])],
+        "lines": lambda t: t + t[: max(1, len(t) * 3 // 10)],
+        "words": lambda t: t + [(words := sum(t, []))[: len(words) * 3 // 10]],
+        "symbols": lambda t: [[w + "##" * (i % 8 == 0) for i, w in enumerate(line)] for line in t],
+    }
+    texts = {("clean", i): t for i, t in enumerate(fresh[:360])}
+    for k, (kind, plant) in enumerate(planted.items()):
+        texts |= {(kind, i): plant(t) for i, t in enumerate(t for t in fresh[360 + 10 * k : 370 + 10 * k] if len(t) >= 10)}
+    # five lines; one of them comes twice, by chance
+    texts |= {("short", i): t[:4] + ([["yes", "or", "no"]] * 2 if i % 2 else [["no"]]) for i, t in enumerate(fresh[400:])}
+    ids = {k: i for i, k in enumerate(texts)}
+    text = {k: "\n".join(" ".join(line) for line in t) for k, t in texts.items()}
+    # clean short texts need 50 words to be judged by distance
+    got = {r.doc_id: r for r in outliers.judge(docs([(ids[k], t) for k, t in text.items() if len(t.split()) >= 50])).collect()}
+    kept = {kind: [got[i].kept for (what, _), i in ids.items() if what == kind and i in got and not got[i].base_failed] for kind in ["clean", "short", *planted]}
+    assert np.mean(kept["clean"]) > 0.99 and len(kept["short"]) > 10 and all(kept["short"])
+    assert all(len(kept[kind]) > 3 and not any(kept[kind]) for kind in planted), {k: (len(v), sum(v)) for k, v in kept.items()}
+
+
+def test_cut():
+    """Quantiles and the consistency factor of six normal statistics, by drawing."""
+    d = np.sort((np.random.default_rng(9).normal(size=(2_000_000, 6)) ** 2).sum(axis=1))
+    inner = d[: int(outliers.H * len(d))].mean() / 6  # variance that the H share keeps
+    assert abs(outliers.CONSISTENCY * inner - 1) < 0.01
+    assert abs(outliers.CUT / (d[int((1 - outliers.TAIL) * len(d))] / inner) - 1) < 0.02
