@@ -102,8 +102,9 @@ def parities(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, ODD_WORDS).view(np.int64)
 
 
-def signed(docs: DataFrame, how: Near) -> DataFrame:
+def signed(docs: DataFrame, how: Near, with_text: bool = False) -> DataFrame:
     """Number of shingles, two hashes of the set, and signature (null without shingles)."""
+    more = ["text"] if with_text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -124,11 +125,12 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
                     [
                         batch.column(0), pa.array(n, pa.int64()), pa.array(set1), pa.array(set2),
                         pa.array(sigs, pa.list_(pa.int32())), odd.cast(pa.list_(pa.int64())),
+                        *(batch.column(c) for c in more),
                     ],
-                    names=["doc_id", "n_shingles", "set1", "set2", "sig", "odd"],
+                    names=["doc_id", "n_shingles", "set1", "set2", "sig", "odd", *more],
                 )
 
-    return texts(docs).mapInArrow(run, SIGNED)
+    return texts(docs).mapInArrow(run, SIGNED + "".join(f", {c} string" for c in more))
 
 
 def _keyed(reps: DataFrame, how: Near) -> DataFrame:
@@ -259,10 +261,25 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.count("*").alias("n")
         ), "sets",
     )
-    reps = sets.dropDuplicates(["rep"])
-    comp = components(links(reps, docs, how)).withColumnRenamed("node", "rep")
+    # an id with several texts names none of their sets, which get ids of their own
+    spans = [f(c).alias(f"{f.__name__}_{c}") for c in ("set1", "set2") for f in (F.min, F.max)]
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(*spans).where("min_set1 < max_set1 or min_set2 < max_set2")
+    shared = stored(shared.select("doc_id"), "shared-ids")
+    if some := not shared.isEmpty():
+        own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("set1", "set2")).otherwise(F.col("rep"))
+        sets = stored(sets.join(shared, F.col("rep") == F.col("doc_id"), "left").withColumn("own", own).drop("doc_id"), "sets")
+        apart = signed(texts(docs).join(shared, "doc_id", "left_semi"), how, with_text=True).where("n_shingles > 0")
+        apart = apart.select(F.xxhash64("set1", "set2").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        docs = texts(docs).join(shared, "doc_id", "left_anti").unionByName(apart)
+    else:
+        sets = sets.withColumn("own", F.col("rep"))
+    reps = sets.select(F.col("own").alias("rep"), "n_shingles", "sig", "odd")
+    comp = components(links(reps, docs, how)).withColumnRenamed("node", "own")
     # only sets that have a class other than their one document
-    classes = sets.select("set1", "set2", "rep", "n").join(comp, "rep", "left").where("n > 1 or comp is not null")
+    classes = sets.select("set1", "set2", "own", "rep", "n").join(comp, "own", "left").where("n > 1 or comp is not null" if not some else "true")
+    if some:
+        low = classes.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
+        classes = classes.join(low, "comp", "left").withColumn("comp", F.col("low"))
     classes = classes.select("set1", "set2", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     out = out.join(classes.withColumn("alone", F.lit(False)), ["set1", "set2", "alone"], "left")

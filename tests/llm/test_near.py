@@ -88,3 +88,14 @@ def test_sketches_differ_in_no_more_places_than_sets():
         b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64))))
         x, y = near.parities(a, np.zeros(len(a), int), 1), near.parities(b, np.zeros(len(b), int), 1)
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_one_id_with_several_texts(docs):
+    """Each text of an id finds its own copies; classes are named by their smallest id."""
+    rng = random.Random(4)
+    a, b, c, d = ([f"{k}{rng.randrange(10**6)}" for _ in range(200)] for k in "abcd")
+    rows = [(5, a), (5, b), (5, c), (7, [*a[:-1], "x"]), (8, [*b[:-1], "x"]), (9, [*c[:-1], "x"]), (3, c), (4, []), (4, d), (6, [*d[:-1], "x"])]
+    got = near.near_duplicates(docs([(i, " ".join(t)) for i, t in rows]), NEAR_OP).collect()
+    want = [(3, 3), (4, 4), (4, 4), (5, 3), (5, 5), (5, 5), (6, 4), (7, 5), (8, 5), (9, 3)]
+    assert sorted((r.doc_id, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
