@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktide.llm.common import texts
-from clicktide.llm.tokens import byte_bpe, encoder
+from clicktide.llm.tokens import byte_bpe, encoded
 
 WINDOW = 2048
 END = 1
 GROUP = 64  # windows that are balanced together
 SPARE = 12  # ids a window of a group is left to keep free, for the imbalance
-GRAIN = 16  # a few documents of a group are cut this fine, to level the windows
+GRAIN = 32  # a few documents of a group are cut this fine, to level the windows
 GRAINS = 0.04  # their share of the ids
 
 SCHEMA = """doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,
@@ -148,18 +148,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).ids
         packer = _Packer(window, TaskContext.get().partitionId() << 33)
 
         def taken() -> pa.RecordBatch:
             rows, packer.out = packer.out, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, encode(text.as_py()) + last)
-                if len(packer.out) > 20_000:
-                    yield taken()
+        for doc, ids in encoded(batches, path):
+            packer.add(doc, ids + last)
+            if len(packer.out) > 20_000:
+                yield taken()
         if packer.held:
             packer.close(whole=True)
         if packer.out:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clicktide.llm.common import open_folder, stored, texts, write_file
-from clicktide.llm.tokens import byte_bpe, encoder
+from clicktide.llm.tokens import byte_bpe, encoded
 from clicktide.session import scratch_dir
 
 FRAME = 1 << 16  # ids
@@ -144,12 +144,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(path).ids
-        rows = (
-            (doc, encode(text.as_py()) + last)
-            for batch in batches
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1))
-        )
+        rows = ((doc, ids + last) for doc, ids in encoded(batches, path))
         first = next(rows, None)
         if first is None:
             return

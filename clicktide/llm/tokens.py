@@ -3,8 +3,9 @@
 In a byte-level vocabulary whose splitting rule never joins a space or a line
 feed to what stands before it, a text without two neighbouring white spaces can
 be encoded piece by piece: every piece begins at a single space or line feed.
-Pieces recur, so a worker keeps their ids.  Any other text is encoded whole.
-The ids are those of encoding the whole text in either case.
+Pieces recur, so a worker keeps their ids, and encodes those it has not seen in a
+slice of texts by one call.  Any other text is encoded whole.  The ids are those
+of encoding the whole text in either case.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import pyarrow as pa
+
+from clicktide.llm.common import slices
+
 NEIGHBOURS = re.compile(r"\s\s").search
 PIECES = 1_200_000  # kept by a worker, about 250 MB
 
@@ -24,49 +30,64 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Pieces(dict):
-    """Ids of a piece, as little-endian unsigned 32-bit integers.
-
-    The key lacks its leading space; with a leading line feed it is as it stands.
-    """
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        # a comma or full stop after a letter is a token's beginning
-        if len(piece) > 1 and piece[-1] in ",." and "a" <= piece[-2] <= "z":
-            ids = self[piece[:-1]] + self.encode(piece[-1])
-        else:
-            ids = self.encode(piece if piece[0] == "\n" else f" {piece}")
-        if len(self) >= PIECES:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = _Pieces(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """All ids of a text, four bytes each; a null text has none."""
-        if not text:
-            return b""
-        led = f"\n{text}"
-        if NEIGHBOURS(f"{led}\n"):
-            return self.whole(text)
-        joined = b"".join(map(self.pieces.__getitem__, led.replace("\n", " \n")[1:].split(" ")))
-        return joined[4:]  # without the line feed put in front
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        # ids of a piece, as little-endian unsigned 32-bit integers; the key lacks its
+        # leading space, with a leading line feed it is as it stands
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of texts, each encoded as it stands, by one call."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def learn(self, wanted: set[str]) -> None:
+        """Encode the pieces that are not kept yet, all by one call."""
+        unseen = wanted.difference(self.pieces)
+        if len(self.pieces) + len(unseen) > PIECES:
+            self.pieces.clear()
+            unseen = wanted
+        # a comma or full stop after a letter is a token's beginning
+        ended = [p for p in unseen if len(p) > 1 and p[-1] in ",." and "a" <= p[-2] <= "z"]
+        stems = {p[:-1] for p in ended}
+        plain = [*unseen.difference(ended).union(stems.difference(self.pieces))]
+        found = self.whole([*(p if p[:1] == "\n" else f" {p}" for p in plain), ",", "."])
+        self.pieces.update(zip(plain, found))
+        marks = {",": found[-2], ".": found[-1]}
+        self.pieces.update([(p, self.pieces[p[:-1]] + marks[p[-1]]) for p in ended])
+
+    def all_ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        """All ids of each text, four bytes each; a null text has none."""
+        out: list[bytes] = [b""] * len(texts)
+        cut, rest = {}, []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            led = f"\n{text}"
+            if NEIGHBOURS(f"{led}\n"):
+                rest.append(i)
+            else:
+                cut[i] = led.replace("\n", " \n")[1:].split(" ")
+        self.learn(set().union(*cut.values()))
+        for i, pieces in cut.items():
+            # without the line feed put in front
+            out[i] = b"".join(map(self.pieces.__getitem__, pieces))[4:]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
+    """``doc_id`` (first column) and ids of ``text`` of every row, a slice of texts at a time."""
+    encode = encoder(path).all_ids
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield from zip(part.column(0).to_pylist(), encode(part.column("text").to_pylist()))
 
 
 @lru_cache(maxsize=2)

@@ -16,13 +16,30 @@ TEXTS = st.text(st.sampled_from(list("ab Z\n\t.,'s1! é <|>\r")), max_size=40
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_pieces_give_the_ids_of_the_whole(text):
-    assert encoder(byte_bpe()).ids(text) == brute.tokens([text], 9)[0][:-4]
+    assert encoder(byte_bpe()).all_ids([text]) == [brute.tokens([text], 9)[0][:-4]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | TEXTS, max_size=8))
+def test_texts_together_give_the_ids_of_each(many):
+    found = encoder(byte_bpe()).all_ids(many)
+    assert found == [x[:-4] for x in brute.tokens(many, 9)]
+
+
+def test_a_full_store_of_pieces_is_emptied(monkeypatch):
+    from clicktide.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECES", 5)
+    e = tokens.Encoder(byte_bpe())
+    many = ["one two, three.", "two, four five six seven", "one"]
+    for _ in range(2):
+        assert e.all_ids(many) == [x[:-4] for x in brute.tokens(many, 9)]
 
 
 def test_real_texts(spark):
     texts = [r.text for r in table(spark, SMALL, "documents").select("text").collect()]
     e = encoder(byte_bpe())
-    assert [e.ids(t) for t in texts] == [x[:-4] for x in brute.tokens(texts, 0)]
+    assert e.all_ids(texts) == [x[:-4] for x in brute.tokens(texts, 0)]
 
 
 def check_files(docs, rows):
