@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.llm import chat, langid, near, outliers, packing, quality, seekable, substrings, tiling, warc
+from clicktide.llm import (
+    audit, chat, langid, merkle, mixing, near, outliers, packing, quality, seekable, substrings, tiling, warc,
+)
 from clicktide.llm.common import bucket_of, table
 from clicktide.llm.oracle import ORACLE  # noqa: F401 - registered beside the queries
 
@@ -70,7 +72,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix of sources takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and cost in every order."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, root and proof of every document, with what tampering does to the root."""
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_chat_format, op3_token_files, op4_quality, op5_decontamination, op6_substring_dedup,
-    op7_near_duplicates, op8_quality_rules, op9_warc, op10_packing,
+    op7_near_duplicates, op8_quality_rules, op9_warc, op10_packing, op11_source_mix, op12_filter_audit,
+    op13_merkle_manifest,
 )}
