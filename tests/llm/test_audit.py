@@ -36,8 +36,8 @@ def failures(rows):
 
 def plain(rows, labels):
     fails = failures(rows)
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, x in labels if x == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
     out = {}
     for part in {s or "" for _, _, s in rows}:
         mine = [(d, f) for (d, _, s), f in zip(rows, fails) if (s or "") == part]
@@ -78,7 +78,7 @@ def test_strange_documents(spark):
 
 def test_one_text_in_a_third_of_the_rows(spark):
     rows = [(i, "the same" if i % 3 else f"text {i}", "hot" if i % 2 else "cold") for i in range(300)]
-    check(spark, rows, [(i, i % 2, i % 5 == 0) for i in range(0, 300, 4)])
+    check(spark, rows, [(i, i % 2, int(i % 5 == 0)) for i in range(0, 300, 4)])
 
 
 def test_empty_tables(spark):
