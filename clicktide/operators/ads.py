@@ -153,3 +153,45 @@ def recent_trend(trend: DataFrame, minutes: int = 60, as_of: Column | None = Non
         as_of = trend.agg(F.max(at)).scalar()
     start = F.timestamp_seconds(F.unix_seconds(as_of) - F.lit(60 * minutes))
     return trend.where((at > start) & (at <= as_of))
+
+
+# --- the sliding hour -----------------------------------------------------
+
+PANE_SECONDS = 5
+HOUR_SECONDS = 3600
+
+
+def _inside(pane: Column, newest: Column, hour: int, step: int) -> Column:
+    """Panes of the window that ends with the one of ``newest``."""
+    last = F.floor(F.unix_seconds(newest) / step)
+    return (pane <= last) & (pane > last - hour // step)
+
+
+def hour_panes(
+    clicks: DataFrame, newest: Column, hour: int = HOUR_SECONDS, step: int = PANE_SECONDS
+) -> DataFrame:
+    """Clicks per pane of ``step`` seconds and ad, in the ``hour`` seconds that end with the pane of ``newest``.
+
+    The window slides by a pane; partial counts of panes are added by :func:`combined_panes`.
+    """
+    pane = F.floor(F.unix_seconds("event_time") / step).cast("bigint")
+    return (
+        clicks.select(pane.alias("pane"), "ad_id").where(_inside(F.col("pane"), newest, hour, step))
+        .groupBy("pane", "ad_id").agg(F.count(F.lit(1)).alias("click_count"))
+    )
+
+
+def combined_panes(
+    panes: DataFrame, newest: Column, hour: int = HOUR_SECONDS, step: int = PANE_SECONDS
+) -> DataFrame:
+    """Partial counts added up, without the panes that have left the window."""
+    alive = panes.where(_inside(F.col("pane"), newest, hour, step))
+    return alive.groupBy("pane", "ad_id").agg(F.sum("click_count").alias("click_count"))
+
+
+def panes_by_minute(panes: DataFrame, step: int = PANE_SECONDS) -> DataFrame:
+    """Clicks per (date, hour, minute, ad) of some panes."""
+    at = F.timestamp_seconds(F.col("pane") * step)
+    return panes.groupBy(
+        F.to_date(at).alias("date"), F.hour(at).alias("hour"), F.minute(at).alias("minute"), "ad_id",
+    ).agg(F.sum("click_count").alias("click_count"))

@@ -1,9 +1,9 @@
 """Page-flow steps and one-step conversion rates.
 
 A session may hold a large part of the log, so the previous page of an action
-is not looked up over whole sessions.  Sessions are cut into time slices of a
-bounded number of rows.  One window over the slices finds their inner pairs;
-only the first and last page of each slice go on to a window over the session.
+is not looked up over whole sessions.  The log is range-partitioned by session and
+time; one window finds the pairs inside the partitions, and the last row of a
+partition is carried over to the first of the next.
 """
 
 from __future__ import annotations
@@ -14,95 +14,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktide.functions import ratio
+from clicktide.operators.ranged import PART, PLACE, in_order, stored_in_order
 
-SLICE_SECONDS = 600
-SLICE_ROWS = 200_000
+ORDER = ("session_id", "action_time", "page_id")
 
 
-def _sliced(actions: DataFrame, slice_seconds: int, slice_rows: int) -> DataFrame:
-    """``session_id, page_id, action_time, slice``: slices follow each other in time.
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Rows of a range order with the page before each in its session and partition.
 
-    A slice of more than ``slice_rows`` rows is cut by a step that is as much finer;
-    actions of one instant stay together.
+    ``first`` and ``last`` tell the ends of a session's rows in a partition.
     """
-    micros = slice_seconds * 1_000_000
-    at = F.unix_micros("action_time")
-    # a NULL time sorts first: it is before every slice
-    number = F.coalesce(F.floor(at / F.lit(micros)), F.lit(-(2**40)).cast("bigint"))
-    base = actions.select("session_id", "page_id", "action_time", number.alias("number"))
-    full = (
-        base.groupBy("session_id", "number").agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > slice_rows)
-        .select("session_id", "number", F.ceil(F.col("rows") / F.lit(slice_rows)).alias("pieces"))
-    )
-    inside = F.floor(F.pmod(at, F.lit(micros)) * F.col("pieces") / F.lit(micros))
-    # only the slices that are too full are on the right
-    cut = base.join(full, ["session_id", "number"], "left")
-    return cut.select(
-        "session_id", "page_id", "action_time",
-        F.struct("number", F.coalesce(inside, F.lit(0).cast("bigint")).alias("piece")).alias("slice"),
-    )
-
-
-def _neighbours(actions: DataFrame, slice_seconds: int, slice_rows: int) -> DataFrame:
-    """Each action with the page before it in its slice, and whether it is the slice's first or last."""
-    order = Window.partitionBy("session_id", "slice").orderBy("action_time", "page_id")
+    inside = Window.partitionBy(PART, "session_id").orderBy(PLACE)
     # the structs tell a missing neighbour from one without a page
-    before = F.lag(F.struct("page_id")).over(order)
-    after = F.lead(F.struct("page_id")).over(order)
-    found = _sliced(actions, slice_seconds, slice_rows).select(
-        "session_id", "slice", "page_id", before.alias("before"), after.alias("after")
-    )
+    before = F.lag(F.struct("page_id")).over(inside)
+    after = F.lead(F.struct("page_id")).over(inside)
+    found = rows.select("session_id", "page_id", PART, PLACE, before.alias("before"), after.alias("after"))
     return found.select(
-        "session_id", "slice", "page_id", F.col("before.page_id").alias("prev_page"),
+        "session_id", "page_id", PART, PLACE, F.col("before.page_id").alias("prev_page"),
         F.col("before").isNull().alias("first"), F.col("after").isNull().alias("last"),
     )
 
 
-def _linked(ends: DataFrame) -> Column:
-    """The page before the first action of a slice."""
-    # a slice's first row precedes its last one
-    return F.lag("page_id").over(Window.partitionBy("session_id").orderBy("slice", F.desc("first")))
+def _edges(first: Column, last: Column) -> Column:
+    """Which ends of its partition a row may be: a partition's last row ends its session there."""
+    return F.array_compact(F.array(F.when(first & (F.col(PLACE) == 0), F.lit(0)), F.when(last, F.lit(1))))
+
 
+def _carried() -> Column:
+    """The page carried over to the first row of a partition, from edges of all partitions.
 
-def previous_pages(
-    actions: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
+    NULL if the session begins there; a struct, as a page may be NULL too.
+    """
+    # two rows per partition
+    row = F.lag("row").over(Window.partitionBy("edges").orderBy(PART, "edge"))
+    same = row["session_id"].eqNullSafe(F.col("row.session_id"))
+    return F.when((F.col("edge") == 0) & same, F.struct(row["page_id"].alias("page_id")))
+
+
+def previous_pages(actions: DataFrame) -> DataFrame:
     """``session_id, prev_page, page_id`` for every action in time order.
 
     ``prev_page`` is NULL for the first action of a session and after an action
     without a page.  Actions at one instant are ordered by page.
     """
-    rows = _neighbours(actions, slice_seconds, slice_rows)
-    ends = rows.where("first or last")
-    heads = ends.withColumn("prev_page", _linked(ends)).where("first")
-    columns = ["session_id", "prev_page", "page_id"]
-    return rows.where("not first").select(*columns).unionByName(heads.select(*columns))
+    rows = _neighbours(stored_in_order(actions.select(*ORDER), *ORDER, name="page-order"))
+    ends = rows.select(PART, PLACE, "session_id", "page_id", F.explode(_edges(F.col("first"), F.col("last"))).alias("edge"))
+    kept = ends.groupBy(PART, "edge").agg(F.max_by(F.struct("session_id", "page_id"), PLACE).alias("row"))
+    carried = kept.withColumn("edges", F.lit(0)).select(F.col(PART).alias("to"), "edge", _carried().alias("carried"))
+    heads = carried.where("edge = 0").select("to", "carried")
+    # a row per partition on the right
+    linked = rows.join(heads, (F.col(PART) == F.col("to")) & (F.col(PLACE) == 0), "left")
+    return linked.select("session_id", F.coalesce("prev_page", "carried.page_id").alias("prev_page"), "page_id")
 
 
-def _counted(
-    actions: DataFrame, flow: Sequence[int], slice_seconds: int, slice_rows: int
-) -> DataFrame:
+def _counted(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
     """``label, pv`` of the wanted steps and of the visits to the start page, in one pass."""
-    rows = _neighbours(actions, slice_seconds, slice_rows)
-    item = "struct<label:string,session_id:string,slice:struct<number:bigint,piece:bigint>,first:boolean,page_id:bigint>"
+    rows = _neighbours(in_order(actions.select(*ORDER), *ORDER))
+    step = _step(F.col("prev_page"), F.col("page_id"))
+    nowhere = F.lit(None).cast("bigint")
 
-    def event(when: Column, label: Column | None = None) -> Column:
-        nothing = F.lit(None)
-        fields = [label, nothing, nothing, nothing, nothing] if label is not None else [
-            nothing, F.col("session_id").cast("string"), F.col("slice"), F.col("first"), F.col("page_id")]
-        return F.when(when, F.struct(*fields).cast(item))
+    def event(label: Column, part: Column, edge: Column) -> Column:
+        return F.struct(label.cast("string").alias("label"), part.cast("bigint").alias(PART), edge.cast("int").alias("edge"))
 
-    step = _step(F.col("prev_page"), F.col("page_id"))
-    events = F.array_compact(F.array(
-        event(~F.col("first") & step.isin(flow_steps(flow)), step),
-        event(F.col("page_id") == F.lit(int(flow[0])), F.lit(START)),
-        event(F.col("first") | F.col("last")),
+    edges = F.transform(_edges(F.col("first"), F.col("last")), lambda e: event(F.lit(None), F.col(PART), e))
+    labels = F.array_compact(F.array(
+        F.when(~F.col("first") & step.isin(flow_steps(flow)), step), F.when(F.col("page_id") == F.lit(int(flow[0])), F.lit(START)),
     ))
-    # pairs shrink to one row per label before the shuffle, ends stay one by one
-    told = rows.select(F.inline(events)).groupBy("label", "session_id", "slice", "first", "page_id").agg(F.count(F.lit(1)).alias("pv"))
-    link = F.when(F.col("first") & F.col("label").isNull(), _step(_linked(told), F.col("page_id")))
-    labelled = told.select(F.coalesce("label", link).alias("label"), "pv")
+    events = F.concat(edges, F.transform(labels, lambda x: event(x, nowhere, nowhere)))
+    # one row per label and two per partition are left, before the shuffle already
+    told = (
+        rows.select("session_id", "page_id", F.col(PLACE).alias("place"), F.inline(events))
+        .groupBy("label", PART, "edge")
+        .agg(F.count(F.lit(1)).alias("pv"), F.max_by(F.struct("session_id", "page_id"), "place").alias("row"))
+        .withColumn("edges", F.col("label").isNull())
+    )
+    link = F.when(F.col("edges"), _step(_carried()["page_id"], F.col("row.page_id")))
+    labelled = told.select(F.coalesce("label", link).alias("label"), F.when(F.col("edges"), F.lit(1)).otherwise(F.col("pv")).alias("pv"))
     return (
         labelled.where(F.col("label").isin([START, *flow_steps(flow)]))
         .groupBy("label").agg(F.sum("pv").alias("pv"))
@@ -123,11 +110,9 @@ def flow_steps(flow: Sequence[int]) -> list[str]:
     return [f"{a}_{b}" for a, b in zip(flow, flow[1:])]
 
 
-def page_split_counts(
-    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
+def page_split_counts(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
     """How often each step of the flow occurs between adjacent actions of a session."""
-    counted = _counted(actions, flow, slice_seconds, slice_rows).where(F.col("label") != START)
+    counted = _counted(actions, flow).where(F.col("label") != START)
     return counted.select(F.col("label").alias("page_split"), "pv")
 
 
@@ -137,16 +122,14 @@ def start_page_visits(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
     return start.agg(F.count(F.lit(1)).alias("start_page_visits"))
 
 
-def page_convert_rate(
-    actions: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
+def page_convert_rate(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
     """``step_no, page_split, pv, convert_rate`` for every step of the flow.
 
     The first step is measured against visits of the start page, each later one
     against the step before.  Start visits and step counts come from one pass.
     """
     labels = flow_steps(flow)
-    counted = _counted(actions, flow, slice_seconds, slice_rows)
+    counted = _counted(actions, flow)
     spark = actions.sparkSession
     wanted = spark.range(1).select(
         F.lit(",".join(map(str, flow))).alias("flow"),

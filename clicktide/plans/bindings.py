@@ -6,8 +6,8 @@ a user from an hour of the user's own, so that most sessions cross midnight;
 was seen and which of the action's columns are filled.  A user is a customer, and
 the city of an action or click is the customer's nation.
 
-Sessions cut at gaps of silence would need every user's whole log in order, a
-hot user's in one task, before any query begins; these are a plain expression.
+Sessions cut at gaps of silence (operators/gaps.py) need the log in order before a
+query begins, so these are a plain expression, and the ``gap_*`` queries cut them.
 """
 
 from __future__ import annotations
@@ -99,6 +99,11 @@ def actions(
     return log.join(_homes(spark, sf_dir), "user_id", "left").select(*log.columns, "city_id") if cities else log
 
 
+def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event, user and time of the log."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("action_time"))
+
+
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``customer`` with its nation as city."""
     nation = table(spark, sf_dir, "nation")

@@ -27,6 +27,21 @@ VIEWS = {
                CAST(c_nationkey AS BIGINT) AS city_id
         FROM ev LEFT JOIN customer ON user_id = c_custkey
     """,
+    "silences": """
+        SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, true) AS begins
+        FROM ev
+    """,
+    "gap_events": """
+        SELECT *, CAST(sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_no FROM silences
+    """,
+    "gap_visits": """
+        SELECT user_id, user_id || '-' || session_no AS session_id, ts,
+               CASE WHEN event_type = 'view' THEN 'kw' || (k % 10) END AS search_keyword,
+               CASE WHEN event_type = 'click' THEN k END AS click_category_id,
+               CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3
+                    WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END AS page_id
+        FROM gap_events
+    """,
     "user_info": """
         SELECT c_custkey AS user_id, CAST(floor(c_acctbal / 100) AS INTEGER) AS age,
                c_mktsegment AS professional, n_name AS city,
@@ -306,6 +321,22 @@ BODIES = {
         WHERE rn <= 10
     """,
     "page_split_counts": "SELECT * FROM splits",
+    "gap_sessions": "SELECT event_id, user_id, session_no FROM gap_events",
+    "gap_session_aggregate": """
+        SELECT session_id, max(user_id) AS user_id,
+               coalesce(string_agg(DISTINCT search_keyword, ',' ORDER BY search_keyword), '') AS search_keywords,
+               coalesce(array_to_string(
+                   list_sort(list(DISTINCT click_category_id) FILTER (click_category_id IS NOT NULL)), ','), '')
+                   AS click_category_ids,
+               (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS visit_length_ms,
+               count(*) AS step_length, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_time
+        FROM gap_visits GROUP BY session_id
+    """,
+    "gap_page_split_counts": """
+        SELECT prev_page || '_' || page_id AS page_split, count(*) AS pv
+        FROM (SELECT page_id, lag(page_id) OVER (PARTITION BY session_id ORDER BY ts, page_id) AS prev_page FROM gap_visits)
+        WHERE prev_page || '_' || page_id IN ('2_3', '3_4') GROUP BY 1
+    """,
     "start_page_visits": "SELECT count(*) AS start_page_visits FROM actions WHERE page_id = 2",
     "page_convert_rate": """
         SELECT step_no, page_split, pv,
@@ -458,6 +489,10 @@ BODIES |= {
     "ad_stat_stream": _ARRIVED_STAT,
     "ad_province_top3_stream": PROVINCE_TOP.format(stat=_ARRIVED_STAT),
     "ad_click_trend_stream": TREND.format(clean="arrived_clean"),
+    # panes of five seconds; the hour ends with that of the newest click
+    "ad_click_trend_hour_stream": TREND.format(clean="""(
+            SELECT * FROM arrived_clean WHERE epoch_us(event_time) // 5000000 >
+                (SELECT max(epoch_us(event_time)) // 5000000 - 720 FROM arrived))"""),
     "ad_log_rejects_stream": BODIES["ad_log_rejects"],
     # the newest arrival comes first and closes the days that end two days before its newest click
     "ad_late_clicks_stream": f"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide import functions as fn
-from clicktide.operators import ads, area, categories, pageflow, sampling, sessions
+from clicktide.operators import ads, area, categories, gaps, pageflow, sampling, sessions
 from clicktide.plans import bindings as b
 from clicktide.plans import jobs
 from clicktide.session import scratch_dir
@@ -96,6 +96,27 @@ def session_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return _session_row(sessions.aggregate_sessions(b.actions(spark, sf)))
 
 
+@query
+def gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event with its user's session, cut where six hours pass without an event."""
+    log = b.events_by_user(spark, sf)
+    return gaps.number_sessions(log, tie="event_id").select("event_id", "user_id", "session_no")
+
+
+def _gap_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.cut_at_gaps(b.actions(spark, sf))
+
+
+@query
+def gap_session_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return _session_row(sessions.aggregate_sessions(_gap_actions(spark, sf)))
+
+
+@query
+def gap_page_split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pageflow.page_split_counts(_gap_actions(spark, sf), FLOW)
+
+
 @query
 def session_user_join(spark: SparkSession, sf: str) -> DataFrame:
     return _session_row(_enriched(spark, sf))
@@ -498,6 +519,12 @@ def ad_click_trend_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _trend_row(_streamed(spark, sf, "gate", "trend").trend(spark))
 
 
+@query
+def ad_click_trend_hour_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean clicks of the last hour, per minute, after the third arrival."""
+    return _trend_row(_streamed(spark, sf, "trend_hour").trend_hour(spark))
+
+
 @query
 def ad_late_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks of days that were closed when they came: the lines arrive with the newest part first."""

@@ -15,7 +15,7 @@ versions that are still there change no result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +84,41 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def write_mark(spark: SparkSession, path: str, text: str = "") -> None:
+    """Put a small file in place, whole or not at all; one that is there stays."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        return
+    _, fresh = _fs(spark, f"{path}.new")
+    stream = fs.create(fresh, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_mark(spark: SparkSession, path: str) -> str | None:
+    """Text of a mark; None if there is none."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory())
+
+
 # --- append ---------------------------------------------------------------
 
 def result_rows(df: DataFrame, table: str, task_id: int) -> DataFrame:
@@ -131,7 +166,8 @@ def write_version(df: DataFrame, path: str, version: int, partition_by: Sequence
     )
 
 
-def _versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table with their versions."""
     full = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
     return spark.read.schema(full).parquet(path)
 
@@ -154,17 +190,18 @@ def _newest_groups(rows: DataFrame, schema: T.StructType, group: Sequence[str])
 
 
 def read_upserted(
-    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], where: Column | None = None
 ) -> DataFrame:
-    """Current rows of a table whose versions add or overwrite rows by key."""
-    return _newest_rows(_versions(spark, path, schema), schema, keys)
+    """Current rows of a table whose versions add or overwrite rows by key, by the versions that meet ``where``."""
+    rows = read_versions(spark, path, schema)
+    return _newest_rows(rows if where is None else rows.where(where), schema, keys)
 
 
 def read_replaced(
     spark: SparkSession, path: str, schema: T.StructType, group: Sequence[str]
 ) -> DataFrame:
     """Current rows of a table whose versions replace every group they hold."""
-    return _newest_groups(_versions(spark, path, schema), schema, group)
+    return _newest_groups(read_versions(spark, path, schema), schema, group)
 
 
 def compact(
@@ -176,45 +213,63 @@ def compact(
     partition_by: Sequence[str] = (),
     where: Column | None = None,
     groups: bool = False,
+    only: Iterable[object] | None = None,
+    folded_before: Iterable[object] = (),
 ) -> None:
     """Fold the versions up to a finished ``batch_id`` into one, in the partitions
     ``where`` selects.  With ``groups`` the keys name the groups that versions replace.
 
+    ``only`` names the values of the partition column that were written since the last
+    compaction, and ``folded_before`` those that it folded: no other folder is looked at.
     The folded versions are dropped by the next compaction only, so that
     readers which have listed them can finish.
     """
     depth = len(partition_by)
-    folders = [(v, f) for v, f in _version_folders(spark, path, depth) if v <= batch_version(batch_id)]
-    if not folders:
-        return
-    base = max(v for v, _ in folders) // 2 * 2 + 1
-    old = _versions(spark, path, schema).where(F.col(VERSION) < base)
-    if where is not None:
-        old = old.where(where)
-    if depth == 1:  # what has one version alone needs no folding
-        several = Counter(f.getParent().getName().split("=", 1)[1] for _, f in folders)
-        values = [v for v, n in several.items() if n > 1]
-        if not values:
-            return
-        old = old.where(F.col(partition_by[0]).cast("string").isin(values))
-    newest = _newest_groups if groups else _newest_rows
-    write_version(newest(old, schema, keys), path, base, partition_by)
-    _drop_before_previous_base(spark, path, base, depth)
-
-
-def _version_folders(spark: SparkSession, path: str, depth: int) -> list[tuple[int, object]]:
-    fs, pattern = _fs(spark, path + "/*" * depth + f"/{VERSION}=*")
-    folders = [status.getPath() for status in fs.globStatus(pattern) or []]
-    return [(int(folder.getName().split("=")[1]), folder) for folder in folders]
-
-
-def _drop_before_previous_base(spark: SparkSession, path: str, base: int, depth: int) -> None:
+    names = None if only is None else [f"{partition_by[0]}={v}" for v in only]
+    known = _version_folders(spark, path, depth, names)
+    folders = [(v, f) for v, f in known if v <= batch_version(batch_id)]
+    if folders:
+        base = max(v for v, _ in folders) // 2 * 2 + 1
+        old = read_versions(spark, path, schema).where(F.col(VERSION) < base)
+        if where is not None:
+            old = old.where(where)
+        values = [None]
+        if depth == 1:  # what has one version alone needs no folding
+            last: dict[str, int] = {}
+            named = [(f.getParent().getName().split("=", 1)[1], v) for v, f in folders]
+            for name, v in named:
+                last[name] = max(last.get(name, -1), v if v % 2 else -1)
+            several = Counter(name for name, v in named if v >= last[name])
+            values = [name for name, n in several.items() if n > 1]
+            old = old.where(F.col(partition_by[0]).cast("string").isin(values))
+        if values:
+            newest = _newest_groups if groups else _newest_rows
+            write_version(newest(old, schema, keys), path, base, partition_by)
+    if names is not None:
+        names = sorted({*names, *(f"{partition_by[0]}={v}" for v in folded_before)})
+    _drop_folded(spark, path, batch_version(batch_id), depth, names)
+
+
+def _version_folders(
+    spark: SparkSession, path: str, depth: int, names: Sequence[str] | None = None
+) -> list[tuple[int, object]]:
+    """Versions with their folders, in the partitions ``names`` if given."""
+    found = []
+    for middle in ["/*" * depth] if names is None else [f"/{n}" for n in names]:
+        fs, pattern = _fs(spark, f"{path}{middle}/{VERSION}=*")
+        found += [status.getPath() for status in fs.globStatus(pattern) or []]
+    return [(int(folder.getName().split("=")[1]), folder) for folder in found]
+
+
+def _drop_folded(spark: SparkSession, path: str, upto: int, depth: int, names: Sequence[str] | None) -> None:
+    """Delete what the compaction before the one up to ``upto`` has folded."""
     fs, _ = _fs(spark, path)
     partitions: dict[str, list[tuple[int, object]]] = {}
-    for version, folder in _version_folders(spark, path, depth):
+    for version, folder in _version_folders(spark, path, depth, names):
         partitions.setdefault(folder.getParent().toString(), []).append((version, folder))
     for entries in partitions.values():
-        previous = max((v for v, _ in entries if v % 2 == 1 and v < base), default=0)
+        # a base written by this compaction still has its versions beside it
+        previous = max((v for v, _ in entries if v % 2 == 1 and v < upto), default=0)
         for version, folder in entries:
             if version < previous:
                 fs.delete(folder, True)
@@ -222,13 +277,45 @@ def _drop_before_previous_base(spark: SparkSession, path: str, base: int, depth:
 
 # --- insert if absent -----------------------------------------------------
 
+BUCKET = "bucket"
+BUCKETS = 64
+
+
+def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucketed(schema: T.StructType) -> T.StructType:
+    """Schema of the rows of an insert-if-absent table as they are stored."""
+    return T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+
+
+def touched_buckets(keyed: DataFrame) -> list[int]:
+    """The buckets of some rows: a list no longer than the number of buckets."""
+    return sorted(keyed.agg(F.collect_set(BUCKET)).first()[0])
+
+
+def stored_in_buckets(spark: SparkSession, path: str, schema: T.StructType, buckets: Sequence[int]) -> DataFrame:
+    """Rows of an insert-if-absent table in some of its buckets, with their versions."""
+    return read_versions(spark, path, bucketed(schema)).where(F.col(BUCKET).isin(list(buckets)))
+
+
 def insert_absent(
-    df: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], version: int
-) -> None:
-    """Insert the keys that no other version holds, as one version."""
-    stored = _versions(df.sparkSession, path, schema).where(F.col(VERSION) != version)
-    fresh = df.select(*keys).distinct().join(stored, list(keys), "left_anti")
-    write_version(fresh, path, version)
+    df: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], version: int, buckets: int = BUCKETS
+) -> list[int]:
+    """Insert the keys that no other version holds, as one version; returns the buckets looked at.
+
+    The table is laid out in ``buckets`` folders by hash of the keys, and only the
+    buckets of the new keys are read.  The number of buckets stays that of the first insert.
+    """
+    spark = df.sparkSession
+    keyed = df.select(*keys).distinct().withColumn(BUCKET, bucket_of(keys, buckets))
+    touched = touched_buckets(keyed)
+    if touched:
+        others = stored_in_buckets(spark, path, schema, touched).where(F.col(VERSION) != version)
+        fresh = keyed.join(others.select(*keys, BUCKET), [*keys, BUCKET], "left_anti")
+        write_version(fresh, path, version, [BUCKET])
+    return touched
 
 
 def read_inserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

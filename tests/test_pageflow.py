@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import pytest
 from fixtures import action, actions, tuples
 
 from clicktide.operators import pageflow as p
+from clicktide.operators.ranged import PART, in_order
 
 
 def test_steps_and_rates(spark):
@@ -39,8 +41,20 @@ def test_more_steps_than_visits(spark):
     assert [r[3] for r in tuples(p.page_convert_rate(log, (2, 3, 4)))] == [1.0, 2.0]
 
 
-def test_sessions_cut_into_slices(spark):
-    """One session holds a third of all rows and spans many slices."""
+@pytest.fixture(params=[1, 2, 8, 40])
+def ranges(spark, request):
+    """The log in so many range partitions, none of them merged."""
+    names = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_sessions_cut_by_ranges(spark, ranges):
+    """One session holds a third of all rows and spans many partitions."""
     rnd = random.Random(7)
     rows = [action("hot", rnd.randrange(40000) / 4, page=rnd.randrange(6)) for _ in range(700)]
     rows += [action(f"s{rnd.randrange(200)}", rnd.randrange(4000), page=rnd.randrange(6)) for _ in range(1400)]
@@ -54,33 +68,43 @@ def test_sessions_cut_into_slices(spark):
     flow = (0, 1, 2, 3, 4, 5)
     expected = sorted((s, want[s]) for s in p.flow_steps(flow) if want[s])
     log = actions(spark, *rows)
-    for seconds in (1, 60, 600, 10**9):
-        assert tuples(p.page_split_counts(log, flow, seconds)) == expected
+    assert tuples(p.page_split_counts(log, flow)) == expected
     assert p.previous_pages(log).count() == len(rows)
     firsts = p.previous_pages(log).where("prev_page is null").count()
     assert firsts == len(per_session)
 
 
-def test_actions_without_a_page(spark):
+def test_actions_without_a_page(spark, ranges):
     """They are no step and no visit, and they part their neighbours."""
     log = actions(
         spark, action("a", 0, page=1), action("a", 1, page=None), action("a", 2, page=2),
         action("b", 0, page=1), action("b", 700, page=2), action("c", 0, page=None), action("c", 1, page=2),
     )
-    for seconds in (1, 600, 10**6):
-        assert tuples(p.page_split_counts(log, (1, 2), seconds)) == [("1_2", 1)]
-        assert tuples(p.page_convert_rate(log, (1, 2), seconds)) == [(1, "1_2", 1, 0.5)]
+    assert tuples(p.page_split_counts(log, (1, 2))) == [("1_2", 1)]
+    assert tuples(p.page_convert_rate(log, (1, 2))) == [(1, "1_2", 1, 0.5)]
     assert p.previous_pages(log).count() == 7
 
 
-def test_a_full_slice_is_cut_finer(spark):
-    """A session with a third of the log in ten minutes, in slices of at most 50 rows or one instant."""
-    rnd = random.Random(9)
-    rows = [action("hot", rnd.randrange(60000) / 100, page=rnd.randrange(4)) for _ in range(600)]
-    rows += [action(f"s{i % 300}", rnd.randrange(600), page=rnd.randrange(4)) for i in range(1200)]
-    log, flow = actions(spark, *rows), (0, 1, 2, 3)
-    whole = tuples(p.page_convert_rate(log, flow, 10**6, 10**6))
-    assert tuples(p.page_convert_rate(log, flow, 600, 50)) == whole
-    sizes = p._sliced(log, 600, 50).groupBy("session_id", "slice").count()
-    assert sizes.agg({"count": "max"}).first()[0] <= 80
-    assert tuples(p.page_split_counts(log, flow, 600, 1)) == tuples(p.page_split_counts(log, flow))
+def test_a_hot_session_is_split(spark, ranges):
+    """A session with a third of the log, half of it in one instant: no partition holds much more than its share."""
+    rows = [action("hot", 30 if i % 2 else i / 10, page=i % 4) for i in range(600)]
+    rows += [action(f"s{i % 300}", i % 600, page=i % 4) for i in range(1200)]
+    log = actions(spark, *rows)
+    sizes = [r["count"] for r in in_order(log.select(*p.ORDER), *p.ORDER).groupBy(PART).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2.5 * len(rows) / ranges
+    by_session = {}
+    for r in rows:
+        by_session.setdefault(r[2], []).append((r[4], r[3]))
+    want = Counter()
+    for visits in by_session.values():
+        pages = [page for _, page in sorted(visits)]
+        want.update(zip(pages, pages[1:]))
+    got = Counter((r.prev_page, r.page_id) for r in p.previous_pages(log).where("prev_page is not null").collect())
+    assert got == want
+
+
+def test_no_actions(spark):
+    log = actions(spark, action("a", 0, page=1)).where("false")
+    assert tuples(p.page_split_counts(log, (1, 2))) == []
+    assert tuples(p.page_convert_rate(log, (1, 2))) == [(1, "1_2", 0, 0.0)]
+    assert tuples(p.previous_pages(log)) == []

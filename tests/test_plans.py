@@ -61,9 +61,10 @@ def test_page_flow_scans_once(spark):
     df = QUERIES["page_convert_rate"](spark, SF_DIR)
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    # rows are ordered once, in their slices; the ends of slices once more
+    # rows are range-partitioned once and linked inside their partitions
     assert text.count("FileScan") == 1
-    assert sum("Sort [" in line and "slice" in line for line in text.split("\n")) == 2
+    assert text.count("rangepartitioning(session_id") == 1
+    assert "SinglePartition" not in "".join(x for x in text.split("\n") if "session_id" in x)
 
 
 @pytest.fixture

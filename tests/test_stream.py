@@ -82,9 +82,24 @@ def check_against_batch(spark, out, clicks):
     assert tuples(out.province_top3(spark).select(*top.columns)) == tuples(top)
     trend = ads.click_trend(clean)
     assert tuples(out.trend(spark)) == tuples(trend.select(*out.trend(spark).columns))
+    check_hour(spark, out, clicks, clean)
     return listed, clean
 
 
+def check_hour(spark, out, clicks, clean):
+    """The last hour in panes of five seconds, by a plain loop."""
+    pane = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) // 5
+    newest = max(pane(r.event_time) for r in clicks.collect())
+    want = {}
+    for r in clean.collect():
+        if newest - 720 < pane(r.event_time) <= newest:
+            key = (r.date, r.event_time.hour, r.event_time.minute, r.ad_id)
+            want[key] = want.get(key, 0) + 1
+    columns = ("date", "hour", "minute", "ad_id", "click_count")
+    assert {tuple(r)[:4]: r.click_count for r in out.trend_hour(spark).select(*columns).collect()} == want
+    assert want
+
+
 def test_pipeline(spark, landing, out):
     texts = make_lines()
     for i in range(0, len(texts), 150):
@@ -201,29 +216,66 @@ def test_a_repeated_batch_changes_nothing(spark, landing, out):
     assert sorted(before[0]) == passed(spark, landing)
 
 
-def test_versions_stay_few(spark, landing, out, monkeypatch):
-    """Small batches in a row: folding keeps the number of version folders flat."""
+def test_versions_and_listings_stay_flat(spark, landing, out, monkeypatch):
+    """Small batches in a row: folding keeps the number of folders flat."""
     from pathlib import Path
 
     monkeypatch.setattr(p, "COMPACT_EVERY", 4)
-    texts = make_lines(120)
-    for i in range(0, 120, 10):
-        landing.add(texts[i:i + 10])
-    p.run_available(spark, stream(spark, landing), out, 10**6)
-    versions = {t: len(list(Path(out.path(t)).rglob("version=*"))) for t in ("ad_user_click_count", "ad_stat", "ad_click_trend")}
-    assert all(n <= 2 * (2 * 4 + 2) for n in versions.values()), versions
-    assert sum(f.suffix == ".parquet" for f in Path(out.path("clicks")).rglob("*")) < 12 * 8
+    texts = make_lines(240)
+    sizes = []
+    for start in (0, 120):
+        for i in range(start, start + 120, 10):
+            landing.add(texts[i:i + 10])
+        p.run_available(spark, stream(spark, landing), out, 10**6)
+        tables_of = ("ad_user_click_count", "ad_stat", "ad_click_trend", "ad_province_top3")
+        versions = {t: len(list(Path(out.path(t)).rglob("version=*"))) for t in tables_of}
+        assert all(n <= 2 * (2 * 4 + 2) for n in versions.values()), versions
+        sizes.append({f: len(list(Path(out.path(f)).iterdir())) for f in ("marks", "ad_hour_panes", "staging", "ad_late_clicks")})
+        clean = [x.name for x in Path(out.path("clean")).iterdir()]
+        assert sum(n.startswith("batch-") for n in clean) <= 2 * 4
+        assert sum(n.startswith("upto-") for n in clean) <= 24 // 4
+    assert sizes[0] == sizes[1] and max(sizes[1].values()) <= 2 * 2 * (len(p.STEPS) + 1)
+    assert not Path(out.path("clicks")).exists() and not Path(out.path("newest")).exists()
     clean = out.clean(spark)
-    assert tuples(out.stat(spark)) == tuples(ads.ad_stat(clean)) and clean.count() == 120
+    assert tuples(out.stat(spark)) == tuples(ads.ad_stat(clean)) and clean.count() == 240
+    assert sorted(tuples(clean)) == sorted(tuples(batch(spark, landing)))
 
 
-def test_trend_with_watermark(spark, landing, out):
+def test_a_step_added_later_starts_from_all_clean_clicks(spark, landing, out):
     texts = make_lines()
-    landing.add(texts)
-    p.run_available(spark, stream(spark, landing), out, 10**6, steps=("gate",))
-    p.start_trend(p.clean_stream(spark, out), out, "1 hour", once=True).awaitTermination()
-    want = ads.click_trend(batch(spark, landing))
-    assert tuples(out.trend(spark)) == tuples(want.select(*out.trend(spark).columns))
+    landing.add(texts[:300])
+    p.run_available(spark, stream(spark, landing), out, THRESHOLD, steps=("gate",))
+    assert out.trend(spark).count() == 0
+    landing.add(texts[300:400])
+    landing.add(texts[400:])
+    p.run_available(spark, stream(spark, landing), out, THRESHOLD)
+    check_against_batch(spark, out, batch(spark, landing))
+
+
+def test_unknown_steps_are_refused(spark, landing, out):
+    with pytest.raises(ValueError):
+        p.run_available(spark, stream(spark, landing), out, steps=("gates",))
+
+
+@pytest.mark.parametrize("broken", ["gate", "stats", "province_top", "trend", "trend_hour", "finish"])
+def test_a_batch_that_failed_half_way_is_repeated(spark, landing, out, monkeypatch, broken):
+    """A step writes and then fails: the batch comes again and nothing counts twice."""
+    texts = make_lines(300)
+    landing.add(texts[:150])
+    landing.add(texts[150:])
+    real, failed = getattr(p._Batch, broken), []
+
+    def once(self, *args):
+        real(self, *args)
+        if self.id == 1 and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(p._Batch, broken, once)
+    with pytest.raises(Exception):
+        p.run_available(spark, stream(spark, landing), out, THRESHOLD)
+    p.run_available(spark, stream(spark, landing), out, THRESHOLD)
+    check_against_batch(spark, out, batch(spark, landing))
 
 
 def test_continuous(spark, landing, out):

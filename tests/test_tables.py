@@ -144,3 +144,44 @@ def test_missing_task_is_an_error(spark):
     with pytest.raises(LookupError):
         find_task(task(spark, "{}"), 5)
     assert find_task(task(spark, "{}"), 4) == TaskParams(4)
+
+
+def test_a_fold_looks_only_at_what_was_written(spark, path, monkeypatch):
+    """A thousand idle dates: the fold lists and rewrites two of them."""
+    from pathlib import Path
+
+    for d in range(1000):
+        Path(path, f"date=2015-{d // 28 % 12 + 1:02d}-{d % 28 + 1:02d}-{d}", "version=0").mkdir(parents=True)
+    for batch in (0, 1):
+        rows = counts(spark, (day(1), 1, 1, batch), (day(2), 1, 1, batch))
+        tables.write_version(rows, path, tables.batch_version(batch), ["date"])
+    looked = []
+    real = tables._fs
+
+    def watched(s, p):
+        looked.append(p)
+        return real(s, p)
+
+    monkeypatch.setattr(tables, "_fs", watched)
+    only = [str(day(1)), str(day(2))]
+    tables.compact(spark, path, schemas.AD_USER_CLICK_COUNT, KEYS, 1, ["date"], only=only, folded_before=[str(day(3))])
+    assert len(looked) <= 8 and not any("2015" in p or "*/" in p for p in looked)
+    monkeypatch.setattr(tables, "_fs", real)
+    assert versions(path, 1) == ["version=0", "version=2", "version=3"]
+
+
+def test_insert_reads_the_touched_buckets_only(spark, path):
+    frame = spark.createDataFrame([(u,) for u in range(2000)], schemas.AD_BLACKLIST)
+    assert len(tables.insert_absent(frame, path, schemas.AD_BLACKLIST, ["user_id"], 0)) == tables.BUCKETS
+    new = spark.createDataFrame([(5,), (9001,)], schemas.AD_BLACKLIST)
+    touched = tables.insert_absent(new, path, schemas.AD_BLACKLIST, ["user_id"], 2)
+    assert 1 <= len(touched) <= 2
+    stored = tables.stored_in_buckets(spark, path, schemas.AD_BLACKLIST, touched)
+    plan = stored._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    # pruned before any file is opened
+    folders = {r[0].rsplit("bucket=", 1)[1].split("/")[0] for r in stored.selectExpr("input_file_name()").distinct().collect()}
+    assert folders == {str(b) for b in touched}
+    assert tables.read_inserted(spark, path, schemas.AD_BLACKLIST).count() == 2001
+    second = tables.read_versions(spark, path, tables.bucketed(schemas.AD_BLACKLIST)).where("version = 2")
+    assert [r.user_id for r in second.collect()] == [9001]
