@@ -166,10 +166,17 @@ def write_version(df: DataFrame, path: str, version: int, partition_by: Sequence
     )
 
 
-def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows of a table with their versions."""
+def read_versions(
+    spark: SparkSession, path: str, schema: T.StructType, folders: Iterable[str] | None = None
+) -> DataFrame:
+    """All rows of a table with their versions; with ``folders`` (``date=2024-01-05``) only
+    those partitions are listed, however many there are."""
     full = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
-    return spark.read.schema(full).parquet(path)
+    reader = spark.read.schema(full)
+    if folders is None:
+        return reader.parquet(path)
+    there = [f"{path}/{f}" for f in folders if path_exists(spark, f"{path}/{f}")]
+    return reader.option("basePath", path).parquet(*there) if there else spark.createDataFrame([], full)
 
 
 def _newest_rows(rows: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
@@ -190,11 +197,13 @@ def _newest_groups(rows: DataFrame, schema: T.StructType, group: Sequence[str])
 
 
 def read_upserted(
-    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], where: Column | None = None
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
+    folders: Iterable[str] | None = None, before: int | None = None,
 ) -> DataFrame:
-    """Current rows of a table whose versions add or overwrite rows by key, by the versions that meet ``where``."""
-    rows = read_versions(spark, path, schema)
-    return _newest_rows(rows if where is None else rows.where(where), schema, keys)
+    """Current rows of a table whose versions add or overwrite rows by key, in some partitions or by
+    the versions ``before`` one."""
+    rows = read_versions(spark, path, schema, folders)
+    return _newest_rows(rows if before is None else rows.where(F.col(VERSION) < before), schema, keys)
 
 
 def read_replaced(
@@ -278,7 +287,7 @@ def _drop_folded(spark: SparkSession, path: str, upto: int, depth: int, names: S
 # --- insert if absent -----------------------------------------------------
 
 BUCKET = "bucket"
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
@@ -297,7 +306,7 @@ def touched_buckets(keyed: DataFrame) -> list[int]:
 
 def stored_in_buckets(spark: SparkSession, path: str, schema: T.StructType, buckets: Sequence[int]) -> DataFrame:
     """Rows of an insert-if-absent table in some of its buckets, with their versions."""
-    return read_versions(spark, path, bucketed(schema)).where(F.col(BUCKET).isin(list(buckets)))
+    return read_versions(spark, path, bucketed(schema), [f"{BUCKET}={b}" for b in buckets])
 
 
 def insert_absent(

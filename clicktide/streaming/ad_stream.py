@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,6 +45,10 @@ COMPACT_EVERY = 50  # batches
 
 STEPS = ("gate", "stats", "province_top", "trend", "trend_hour")
 
+# Steps that run beside each other once the gate is done, and what steps change in the state.
+AFTER_GATE = (("stats", "province_top"), ("trend",), ("trend_hour",))
+CHANGES = {"gate": ("buckets", "bits"), "trend_hour": ("panes",)}
+
 COUNT_KEYS = ("date", "user_id", "ad_id")
 STAT_KEYS = ("date", "province", "city", "ad_id")
 TOP_GROUP = ("date", "province")
@@ -95,8 +101,7 @@ class AdTables:
         return reader.parquet(self.path("ad_log_rejects"))
 
     def stat(self, spark: SparkSession, dates: Sequence[str] | None = None) -> DataFrame:
-        within = None if dates is None else F.col("date").cast("string").isin(list(dates))
-        return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS, within)
+        return tables.read_upserted(spark, self.path("ad_stat"), schemas.AD_STAT, STAT_KEYS, _folders(dates))
 
     def province_top3(self, spark: SparkSession) -> DataFrame:
         return tables.read_replaced(
@@ -139,6 +144,10 @@ def _clicks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.schema(schemas.AD_CLICKS).parquet(*paths)
 
 
+def _folders(dates: Sequence[str] | None) -> list[str] | None:
+    return None if dates is None else [f"date={d}" for d in dates]
+
+
 def _panes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("pane bigint, ad_id bigint, click_count bigint").parquet(path)
 
@@ -221,21 +230,33 @@ class _Batch:
         tables.publish_once(rows, self.out.path(f"staging/{table}-{self.id}"), target)
         return target
 
-    def merged(self, counts: DataFrame, table: str, schema: StructType, keys: Sequence[str], dates: Sequence[str] | None) -> DataFrame:
+    def merged(
+        self, counts: DataFrame, table: str, schema: StructType, keys: Sequence[str], dates: Sequence[str] | None
+    ) -> None:
         """Add counts to the stored totals of ``dates`` and store what changed; None: there are none."""
         path = self.out.path(table)
         total = counts.select(*schema.fieldNames())
         if dates is not None:
-            before = tables.read_upserted(
-                self.spark, path, schema, keys, F.col("date").cast("string").isin(list(dates)) & (F.col(tables.VERSION) < self.version))
-            before = before.withColumnRenamed("click_count", "before")
+            stored = tables.read_upserted(self.spark, path, schema, keys, _folders(dates), self.version)
             added = F.col("click_count") + F.coalesce("before", F.lit(0))
-            total = total.join(before, list(keys), "left").withColumn("click_count", added).select(*schema.fieldNames())
+            both = total.join(stored.withColumnRenamed("click_count", "before"), list(keys), "left")
+            total = both.withColumn("click_count", added).select(*schema.fieldNames())
         tables.write_version(total, path, self.version, ["date"])
-        written = tables.read_versions(self.spark, path, schema)
-        if dates is not None:
-            written = written.where(F.col("date").cast("string").isin(list(dates)))
-        return written.where(F.col(tables.VERSION) == self.version).select(*schema.fieldNames())
+
+    def run(self, step: str) -> None:
+        """A step, unless the first try of this batch has done it."""
+        mark = self.out.mark(self.id, step)
+        text = tables.read_mark(self.spark, mark)
+        if text is None:
+            if step == "gate":
+                self.gate()
+            else:
+                follows = self.id == 0 or tables.path_exists(self.spark, self.out.mark(self.id - 1, step))
+                getattr(self, step)(follows)
+            tables.write_mark(self.spark, mark, json.dumps({k: getattr(self.state, k) for k in CHANGES.get(step, ())}))
+        else:
+            for name, value in json.loads(text).items():
+                setattr(self.state, name, value)
 
     # --- steps ---
 
@@ -243,9 +264,12 @@ class _Batch:
         """Count, list and filter before the next batch."""
         if self.late is not None:
             self.publish(self.late, "ad_late_clicks")
-        totals = self.merged(
+        self.merged(
             ads.user_daily_clicks(self.kept), "ad_user_click_count", schemas.AD_USER_CLICK_COUNT, COUNT_KEYS, self.dates)
-        over = ads.over_limit_users(totals, self.threshold)
+        changed = tables.read_versions(
+            self.spark, self.out.path("ad_user_click_count"), schemas.AD_USER_CLICK_COUNT,
+            [f"date={d}/{tables.VERSION}={self.version}" for d in self.dates])
+        over = ads.over_limit_users(changed, self.threshold)
         listed_path = self.out.path("ad_blacklist")
         touched = tables.insert_absent(over, listed_path, schemas.AD_BLACKLIST, ["user_id"], self.version)
         self.state.buckets = sorted({*self.state.buckets, *touched})
@@ -361,18 +385,13 @@ def start_pipeline(
         try:
             work = _Batch(arrived, batch_id, out, threshold, keep)
             before = work.state.bits, work.state.panes
-            for step in order:
-                mark = out.mark(batch_id, step)
-                text = tables.read_mark(spark, mark)
-                if text is not None:  # done by the first try of this batch
-                    work.state = _State(**json.loads(text))
-                    continue
-                if step == "gate":
-                    work.gate()
-                else:
-                    follows = batch_id == 0 or tables.path_exists(spark, out.mark(batch_id - 1, step))
-                    getattr(work, step)(follows)
-                tables.write_mark(spark, mark, json.dumps(vars(work.state)))
+            work.run("gate")
+            # the others only need the clean clicks, and wait for small jobs most of the time
+            chains = [c for c in ([s for s in chain if s in order] for chain in AFTER_GATE) if c]
+            run = inheritable_thread_target(spark)(lambda chain: [work.run(step) for step in chain])
+            if chains:
+                with ThreadPoolExecutor(len(chains)) as pool:
+                    list(pool.map(run, chains))
             work.finish(order, *before)
         finally:
             arrived.unpersist()
