@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clicktide.llm.common import slices
+
 # --- layouts ----------------------------------------------------------------------
 
 # Each layout: the field paths of its records, required and optional, and either
@@ -146,6 +148,28 @@ def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
+def told(raw: str | None, known: dict[str, str]) -> tuple[str, list[tuple[str, str]] | None]:
+    """Layout and turns of a JSON record; without turns if it has no layout that is known."""
+    try:
+        record = json.loads(raw) if raw is not None else None
+        print_ = fingerprint(field_paths(record)) if isinstance(record, dict) else "none"
+    except (ValueError, RecursionError):
+        return "unknown:none", None
+    layout = known.get(print_)
+    if layout is None or not _has_turns(record, layout):
+        return f"unknown:{print_}", None
+    return layout, turns_of(record, layout)
+
+
+def _has_turns(record: dict, layout: str) -> bool:
+    """Lists without entries leave no path, so the fingerprint does not see what they stand for."""
+    how = LAYOUTS[layout]
+    if "list" not in how:
+        return True
+    entries = record.get(how["list"][0]) or []
+    return isinstance(entries, list) and all(isinstance(m, dict) for m in entries)
+
+
 FORMATTED = "record_layout string, piece long, role string, formatted string, loss array<struct<begin:long,end:long>>"
 
 
@@ -157,7 +181,8 @@ def format_records(records: DataFrame, *keys: str) -> DataFrame:
     the role, the formatted turn and the spans in it that count for the loss
     (assistant texts).  Concatenated in order they are the conversation.
 
-    A record of an unknown layout, a null record and one that is no JSON object
+    A record of an unknown layout, a null record, one that is no JSON object or is
+    nested too deeply to read, and one whose list of turns holds something else than turns
     give one row with a null ``formatted``, its layout saying ``unknown:``
     and its fingerprint.  Fields that are null count as fields; their text is empty.
     """
@@ -168,20 +193,15 @@ def format_records(records: DataFrame, *keys: str) -> DataFrame:
         known = registry()
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         types = [pa.string(), pa.int64(), pa.string(), pa.string(), span]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "record")):
             rows, source = [], []
             for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
-                try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                print_ = fingerprint(field_paths(record)) if isinstance(record, dict) else "none"
-                layout = known.get(print_)
-                if layout is None:
-                    rows.append((f"unknown:{print_}", None, None, None, None))
+                layout, turns = told(raw, known)
+                if turns is None:
+                    rows.append((layout, None, None, None, None))
                     source.append(i)
                     continue
-                for k, (role, text) in enumerate(turns_of(record, layout)):
+                for k, (role, text) in enumerate(turns):
                     piece = render(role, text)
                     end = len(piece) - len(STOP) - 1
                     loss = [{"begin": end - len(escape(text)), "end": end}] if role == "assistant" else []

@@ -25,8 +25,8 @@ DIM = 16
 PER_LANGUAGE = 300  # sampled documents of each language
 SALTS = 64
 SIZES = (2, 3, 4)
-CONFUSED = 0.005  # share of correctly told documents that rejection may cost at most
-LOWEST = 0.5  # no document told with more confidence is rejected
+CONFUSED = 0.001  # share of correctly told documents that rejection may cost
+SURE = 0.9999  # no document told with more confidence is rejected
 
 # bytes as subwords see them: 0 is a boundary
 SEEN = np.where(NO_WORD, 0, LOWER).astype(np.uint32)
@@ -150,7 +150,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str],
         p = softmax(z / temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == truth]
         if len(right):
-            low = min(LOWEST, float(np.quantile(right, CONFUSED)))
+            low = min(SURE, float(np.quantile(right, CONFUSED)))
     return Model(labels, (emb @ weights).astype(np.float32), bias, temperature, low)
 
 

@@ -30,7 +30,7 @@ TOLERANCE = 1e-3  # of a misfit
 SAMPLE = 2000  # rows of a group in which starts are sought
 SUBSETS = 20  # seeded starts of few rows, besides the robust ones
 FINALISTS = 3  # estimates of a sample that go on over all rows
-LEAST_ROWS = 100  # a smaller group is judged by the estimate over all rows
+PRIOR_ROWS = 100  # the estimate over all rows counts as so many rows of each group
 TAIL = 0.001  # share of normal rows beyond the cut
 # Least standard deviation of each statistic among the ``H`` share, so that one that
 # is nearly constant rejects nobody for a trifle.
@@ -307,15 +307,16 @@ def _starts(rows: DataFrame) -> DataFrame:
                     pa.array([_upper(np.linalg.inv(e[2])) for e in found], pa.list_(pa.float64())),
                 ], names=["grp", "start", "misfit", "mean", "inverse"])
 
-    sizes = stored(rows.groupBy("grp").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_ROWS) | (F.col("grp") == ALL)), "sizes")
-    draw = F.pmod(F.xxhash64("place"), F.lit(1 << 40)) * F.col("n") < F.lit(float(SAMPLE << 40))
-    some = rows.withColumn("place", F.monotonically_increasing_id()).join(sizes, "grp").where(draw)
+    sizes = stored(rows.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
+    # by id and statistics, so that the draw is that of the rows, however they are dealt out
+    draw = F.pmod(F.xxhash64("doc_id", *STATS), F.lit(1 << 40)) * F.col("n") < F.lit(float(SAMPLE << 40))
+    some = rows.join(sizes, "grp").where(draw)
     samples = some.groupBy("grp").agg(F.collect_list(F.array(*STATS)).alias("sample"))
     return samples.mapInArrow(run, "grp string, start int, misfit double, mean array<double>, inverse array<double>")
 
 
 def _fit(rows: DataFrame) -> DataFrame:
-    """The estimate of least misfit for each ``grp`` of ``LEAST_ROWS`` rows, and for ``ALL``.
+    """The estimate of least misfit for each ``grp``, ``ALL`` among them, and the rows ``n`` it rests on.
 
     Each finalist of the samples takes concentration steps over all rows, by
     grouped sums, until its misfit stays as it is.
@@ -342,13 +343,44 @@ def _fit(rows: DataFrame) -> DataFrame:
     return stored(ends.groupBy("grp").agg(F.min_by(F.struct("n", "mean", "inverse"), F.struct("misfit", "start")).alias("e")).select("grp", "e.*"), "mcd")
 
 
+def _full(upper: np.ndarray) -> np.ndarray:
+    """The matrix of which ``_upper`` gives a half."""
+    m = np.zeros((len(STATS), len(STATS)))
+    m[np.triu_indices(len(STATS))] = upper
+    return (m + m.T) / 2
+
+
+def _shrunk(est: DataFrame, overall: tuple[list[float], list[float]]) -> DataFrame:
+    """Each group's estimate mixed with the one over all rows, which weighs ``PRIOR_ROWS`` rows.
+
+    The weight grows with the group without a step: a handful of rows hardly
+    counts against the whole, thousands hardly feel it.
+    """
+    mean0, cov0 = np.array(overall[0]), np.linalg.inv(_full(np.array(overall[1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means, inverses = [], []
+            for n, mean, inverse in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                own = n / (n + PRIOR_ROWS)
+                apart = np.array(mean) - mean0
+                cov = own * np.linalg.inv(_full(np.array(inverse))) + (1 - own) * cov0 + own * (1 - own) * np.outer(apart, apart)
+                means.append((mean0 + own * apart).tolist())
+                inverses.append(_upper(np.linalg.inv(cov)))
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(means, lists), pa.array(inverses, lists)], names=["grp", "mean", "inverse"])
+
+    return est.select("grp", "n", "mean", "inverse").mapInArrow(run, "grp string, mean array<double>, inverse array<double>")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Counts of every document with ``base_failed``, ``distance2`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of them inside repeated
     windows.  Other documents are kept if their squared distance from the estimate
-    of their language and source is at most ``CUT``.  Groups of fewer than
-    ``LEAST_ROWS`` rows are judged by the estimate over all rows.  Null language
+    of their language and source is at most ``CUT``; the estimate over all rows
+    takes part in each group's with the weight of ``PRIOR_ROWS`` rows.  Null language
     or source is a group of its own; a null or empty text fails; repeated rows
     count each; other columns are ignored; an empty table gives no rows.
     """
@@ -357,11 +389,13 @@ def judge(docs: DataFrame) -> DataFrame:
         "grp": F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}),
     }).withColumns(vector())
     rows = stored(base, "statistics")
-    good = rows.where(~F.col("base_failed")).select("grp", *STATS)
-    both = good.select(F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *STATS)
+    good = rows.where(~F.col("base_failed"))
+    both = good.select("doc_id", F.explode(F.array("grp", F.lit(ALL))).alias("grp"), *STATS)
     est = _fit(both)
-    own = est.where(F.col("grp") != ALL).select("grp", "mean", "inverse")
     overall = est.where(F.col("grp") == ALL).first()  # one row, or none without rows to learn from
+    own = est.where(F.col("grp") != ALL).select("grp", "mean", "inverse")
+    if overall:
+        own = stored(_shrunk(est.where(F.col("grp") != ALL), (overall["mean"], overall["inverse"])), "mcd")
 
     def known(name: str) -> Column:
         return F.coalesce(name, F.array(*(F.lit(float(v)) for v in overall[name])) if overall else F.lit(None).cast("array<double>"))

@@ -24,6 +24,7 @@ from clicktide.llm.tokens import byte_bpe, encoded
 from clicktide.session import scratch_dir
 
 FRAME = 1 << 16  # ids
+FILE = 1 << 27  # ids after which a task begins another file
 END = 0
 # Fixed values of the seekable layout.
 SKIPPABLE = 0x184D2A5E
@@ -127,14 +128,15 @@ class Reader:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, frame: int = FRAME
+    docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, frame: int = FRAME, file: int = FILE
 ) -> DataFrame:
     """Write all documents in ascending ``doc_id`` order; returns the list of files.
 
-    One file per range of ids.  The rows returned are ``part`` (order of the
+    A file holds a range of ids, and ends with the document that brings it to
+    ``file`` ids or more.  The rows returned are ``part`` and ``seq`` (order of the
     files), ``name``, ``n_docs`` and ``n_tokens``.  A document is the ids of its
     text, then ``end``; a null or empty text is ``end`` alone.  Rows with equal
-    ids are ordered by their text, a null id comes first, other columns are
+    ids are ordered by a hash of their text, a null id comes first, other columns are
     ignored; an empty table gives no file.
     """
     path = tokenizer or byte_bpe()
@@ -143,26 +145,31 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, seq = TaskContext.get().partitionId(), 0
         rows = ((doc, ids + last) for doc, ids in encoded(batches, path))
-        first = next(rows, None)
-        if first is None:
-            return
-        count: list[int] = []
-
-        def all_rows():
-            yield first
-            yield from rows
-
-        name = write_file(folder, f"part-{part:06d}", ".tok.zst", file_chunks(all_rows(), count, frame))
-        yield pa.RecordBatch.from_pydict(
-            {"part": [part], "name": [name], "n_docs": [count[0]], "n_tokens": [count[1]]}
-        )
+        following = next(rows, None)
+
+        def one_file() -> Iterator[tuple[int | None, bytes]]:
+            nonlocal following
+            held = 0
+            while following is not None and held < 4 * file:
+                held += len(following[1])
+                yield following
+                following = next(rows, None)
+
+        while following is not None:
+            count: list[int] = []
+            name = write_file(folder, f"part-{part:06d}-{seq:06d}", ".tok.zst", file_chunks(one_file(), count, frame))
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "seq": [seq], "name": [name], "n_docs": [count[0]], "n_tokens": [count[1]]}
+            )
+            seq += 1
 
     order = ["doc_id", F.xxhash64("text")]
-    sorted_docs = texts(docs).repartitionByRange(*order).sortWithinPartitions("doc_id", "text")
+    sorted_docs = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     # stored, so that a file is named once, by the task that Spark has accepted
-    return stored(sorted_docs.mapInArrow(run, "part bigint, name string, n_docs bigint, n_tokens bigint"), "token-files")
+    listed = sorted_docs.mapInArrow(run, "part bigint, seq bigint, name string, n_docs bigint, n_tokens bigint")
+    return stored(listed, "token-files")
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -170,7 +177,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
 
     ``start`` counts the ids of all documents before it.  A task reads one file.
     """
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file
     listed = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -70,14 +70,21 @@ def unpack_arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _bucket_edges(key: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Bucket, begin and end of the ascending keys in each bucket that has some; a bucket is a range of keys."""
+    if not len(key):
+        return
+    number = ((key >> U(32)) * U(buckets)) >> U(32)
+    begin = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    yield from zip(number[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)])
+
+
 def _by_bucket(part: int, kind: int, buckets: int, key: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-    """Rows (bucket, part, kind, data) of entries, a bucket being a range of keys."""
+    """Rows (bucket, part, kind, data) of entries."""
     order = np.argsort(key, kind="stable")
     key, more = key[order], [m[order] for m in more]
-    at = np.searchsorted(key, np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)).tolist() + [len(key)]
-    for b in range(buckets):
-        if at[b] < at[b + 1]:
-            yield b, part, kind, pack_arrays(key[at[b] : at[b + 1]], *(m[at[b] : at[b + 1]] for m in more))
+    for b, low, high in _bucket_edges(key, buckets):
+        yield b, part, kind, pack_arrays(key[low:high], *(m[low:high] for m in more))
 
 
 PACKED = "bucket bigint, part bigint, kind int, data binary"
@@ -376,14 +383,12 @@ def _packed_bytes(part: int, buckets: int, h, ids, rows, low, length, text) -> I
     order = np.argsort(h, kind="stable")
     begin = (np.cumsum(length) - length)[order]
     h, ids, rows, low, length = h[order], ids[order], rows[order], low[order], length[order]
-    edges = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)).tolist() + [len(h)]
     pack = zstandard.ZstdCompressor(level=1)
-    for b in range(buckets):
-        k = slice(edges[b], edges[b + 1])
-        if k.start < k.stop:
-            head = pack_arrays(h[k], ids[k], rows[k], low[k], length[k])
-            own = _pieces(text, begin[k], begin[k] + length[k])
-            yield b, part, BYTES_OF, len(head).to_bytes(8, "little") + head + pack.compress(own.tobytes())
+    for b, first, end in _bucket_edges(h, buckets):
+        k = slice(first, end)
+        head = pack_arrays(h[k], ids[k], rows[k], low[k], length[k])
+        own = _pieces(text, begin[k], begin[k] + length[k])
+        yield b, part, BYTES_OF, len(head).to_bytes(8, "little") + head + pack.compress(own.tobytes())
 
 
 def _sorted_shard(data: list[bytes], part: np.ndarray, size: int) -> tuple:

@@ -1,3 +1,4 @@
+import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +73,19 @@ def test_layouts(spark):
 def test_order_of_fields_does_not_change_a_fingerprint():
     a, b = {"x": {"y": [1, {"z": 2}]}, "w": 3}, {"w": 0, "x": {"y": [{"z": 9}, 5, 6]}}
     assert chat.fingerprint(chat.field_paths(a)) == chat.fingerprint(chat.field_paths(b))
+
+
+@pytest.mark.parametrize("record, layout", [
+    ('{"messages":[{"role":"user","content":"x"},[]]}', "unknown"),
+    ('{"messages":[{"role":"user","content":"x"},{}]}', None),
+    ("[" * 100_000 + "]" * 100_000, "unknown:none"),
+    ('{"a":' * 50_000 + "1" + "}" * 50_000, "unknown:none"),
+    ('"text"', "unknown:none"), ("", "unknown:none"), (None, "unknown:none"),
+])
+def test_malformed_records_do_not_crash(spark, record, layout):
+    df = spark.createDataFrame([(1, record), (2, '{"messages":[{"role":"user","content":"x"}]}')], "id bigint, record string")
+    rows = chat.format_records(df, "id").collect()
+    assert {r.id for r in rows} == {1, 2}
+    assert [r.formatted for r in rows if r.id == 2] == [chat.render("user", "x")]
+    if layout:
+        assert all(r.formatted is None and r.record_layout.startswith(layout) for r in rows if r.id == 1)

@@ -128,3 +128,23 @@ def test_cut():
     inner = d[: int(outliers.H * len(d))].mean() / 6  # variance that the H share keeps
     assert abs(outliers.CONSISTENCY * inner - 1) < 0.01
     assert abs(outliers.CUT / (d[int((1 - outliers.TAIL) * len(d))] / inner) - 1) < 0.02
+
+
+def test_small_groups_lean_on_the_whole_without_a_step(spark):
+    """The weight of a group grows with its rows; none is left to the whole alone."""
+    p = len(outliers.STATS)
+    rows = [(str(n), n, [1.0] * p, outliers._upper(np.eye(p))) for n in (1, 99, 100, 101, 100_000)]
+    est = spark.createDataFrame(rows, "grp string, n bigint, mean array<double>, inverse array<double>")
+    got = {int(r.grp): r for r in outliers._shrunk(est, ([0.0] * p, outliers._upper(np.eye(p)))).collect()}
+    weights = [got[n].mean[0] for n in (1, 99, 100, 101, 100_000)]
+    assert weights == sorted(weights) and weights[0] < 0.02 and weights[-1] > 0.99
+    assert abs(weights[3] - weights[1]) < 0.01
+    np.testing.assert_allclose(outliers._full(np.array(got[100].inverse)), np.linalg.inv(np.eye(p) + 0.25), atol=1e-9)
+
+
+def test_the_draw_does_not_depend_on_partitions(spark):
+    from clicktide.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    one, many = (sorted((r.doc_id, r.kept) for r in outliers.judge(docs.repartition(n)).collect()) for n in (1, 7))
+    assert one == many

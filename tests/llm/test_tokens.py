@@ -64,6 +64,17 @@ def test_files_of_the_table(spark):
     check_files(df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
+def test_a_small_limit_gives_several_files_and_the_same_rows(spark, strange, tmp_path):
+    whole = seekable.token_files(strange).collect()
+    files = seekable.write_tokens(strange.repartition(1), str(tmp_path), file=50)
+    rows = files.collect()
+    assert len(rows) > 8 and sum(r.n_docs for r in rows) == len(STRANGE)
+    # all but a document that is longer by itself
+    assert sorted(r.n_tokens for r in rows)[-3] < 50 + 700
+    got = seekable.read_tokens(spark, str(tmp_path), files).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(map(tuple, whole), key=lambda r: r[1])
+
+
 def test_empty_table(docs):
     none = docs(STRANGE).where("false")
     assert seekable.token_files(none).count() == 0
