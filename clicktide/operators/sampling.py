@@ -1,18 +1,20 @@
 """Proportional session samples.
 
 A sample takes the sessions with the smallest ``md5(seed-session_id)`` of each
-group, so it is random with respect to the data and repeatable.
+group, so it is random with respect to the data and repeatable.  Of a group's n draws
+the smallest ``quota`` lie below about ``quota / n`` of their range: a row above that
+share, with some slack, is dropped where it is read.  What is left is ranked, and a
+group that is left with too few is ranked from all its rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktide.functions import div, ratio, rounded_share
 from clicktide.operators.sessions import of_sessions
-
-SALTS = 64
+from clicktide.sources.tables import materialize
 
 DETAIL_COLUMNS = (
     "user_id", "session_id", "page_id", "action_time", "search_keyword", "click_category_id",
@@ -65,55 +67,56 @@ def sample_quota(sessions: DataFrame, total: int = 100) -> DataFrame:
     )
 
 
-def _smallest_per_group(
-    rows: DataFrame, group: list[str], most: int, seed: str, salts: int
-) -> DataFrame:
-    # Ranks within salted parts first: a part keeps at most its quota, so a hot
-    # group meets in one task with no more than salts * quota rows.  No quota
-    # exceeds ``most``; as a constant it lets Spark cut the rows of each map
-    # task before the first shuffle.
-    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("session_id")))
-    keyed = rows.withColumn("draw", key).withColumn(
-        "salt", F.pmod(F.hash("session_id"), F.lit(salts))
-    )
-    parts = Window.partitionBy(*group, "salt").orderBy("draw", "session_id")
-    whole = Window.partitionBy(*group).orderBy("draw", "session_id")
-    local = (
-        keyed.withColumn("rn", F.row_number().over(parts))
-        .where((F.col("rn") <= most) & (F.col("rn") <= F.col("quota")))
-    )
-    ranked = local.withColumn("rn", F.row_number().over(whole)).where(F.col("rn") <= F.col("quota"))
-    return ranked.select("session_id")
+def expected_below(quota: Column) -> Column:
+    """How many of a group's rows the cut lets through on average: six deviations more than the quota."""
+    return quota + 6 * F.sqrt(quota) + 16
+
+
+def _smallest_per_group(rows: DataFrame, quotas: DataFrame, group: list[str], seed: str) -> DataFrame:
+    """Ids of the ``quota`` rows of each group with the smallest draw.
+
+    ``quotas`` has a row per group with ``quota`` and ``session_count``, ``rows`` the
+    sessions with their group.
+    """
+    wanted = quotas.where(F.col("quota") > 0).select(*group, "quota", "session_count")
+    draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col("session_id")))
+    # at most 24 quota rows per calendar day
+    keyed = rows.join(F.broadcast(wanted), group).withColumn("draw", draw)
+    # the draw's first 48 bits in [0, 1), in the order of the draws
+    share = F.conv(F.substring("draw", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    columns = [*group, "session_id", "draw", "quota"]
+    below = keyed.where(share * F.col("session_count") <= expected_below(F.col("quota"))).select(*columns)
+    # one row of each group besides, so that a group without any is found too
+    nobody = wanted.select(*group, F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("draw"), "quota")
+    near = materialize(below.unionByName(nobody), "sample-near")
+    short = near.groupBy(*group).agg(F.count("session_id").alias("have"), F.max("quota").alias("quota"))
+    short = short.where(F.col("have") < F.col("quota")).select(*group)
+    if not short.isEmpty():
+        again = keyed.select(*columns).join(F.broadcast(short), group, "left_semi")
+        near = near.join(F.broadcast(short), group, "left_anti").unionByName(again)
+    smallest = Window.partitionBy(*group).orderBy("draw", "session_id")
+    ranked = near.where("session_id is not null").withColumn("rn", F.row_number().over(smallest))
+    return ranked.where(F.col("rn") <= F.col("quota")).select("session_id")
 
 
 def _record_columns(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "start_time", "search_keywords", "click_category_ids")
 
 
-def sample_ids(
-    sessions: DataFrame, total: int = 100, seed: str = "0", salts: int = SALTS
-) -> DataFrame:
+def sample_ids(sessions: DataFrame, total: int = 100, seed: str = "0") -> DataFrame:
     """Ids of about ``total`` sessions, drawn per date and hour in proportion."""
     slim = sessions.select("session_id", "start_time")
-    quota = sample_quota(slim, total).where(F.col("quota") > 0)
     timed = slim.select(
         "session_id", F.to_date("start_time").alias("date"), F.hour("start_time").alias("hour")
     )
-    # at most 24 quota rows per calendar day
-    rows = timed.join(F.broadcast(quota.select("date", "hour", "quota")), ["date", "hour"])
-    return _smallest_per_group(rows, ["date", "hour"], total, seed, salts)
+    return _smallest_per_group(timed, sample_quota(slim, total), ["date", "hour"], seed)
 
 
-def sample_ids_by_hour(
-    sessions: DataFrame, total: int = 100, seed: str = "0", salts: int = SALTS
-) -> DataFrame:
+def sample_ids_by_hour(sessions: DataFrame, total: int = 100, seed: str = "0") -> DataFrame:
     """Ids of about ``total`` sessions, drawn per hour of day in proportion."""
     slim = sessions.select("session_id", "start_time")
-    quota = hour_share(slim, total).where(F.col("quota") > 0)
     timed = slim.select("session_id", F.hour("start_time").alias("hour"))
-    # at most 24 quota rows
-    rows = timed.join(F.broadcast(quota.select("hour", "quota")), "hour")
-    return _smallest_per_group(rows, ["hour"], total, seed, salts)
+    return _smallest_per_group(timed, hour_share(slim, total), ["hour"], seed)
 
 
 # A sample of at most this many rows may be broadcast.
@@ -129,7 +132,6 @@ def session_sample(
     sessions: DataFrame,
     total: int = 100,
     seed: str = "0",
-    salts: int = SALTS,
     records: DataFrame | None = None,
     ids: DataFrame | None = None,
 ) -> DataFrame:
@@ -139,16 +141,16 @@ def session_sample(
     as an aggregate of the log, only the sampled sessions are aggregated.  ``ids``
     is the sample, if it has been drawn before.
     """
-    ids = _hint(sample_ids(sessions, total, seed, salts) if ids is None else ids, total)
+    ids = _hint(sample_ids(sessions, total, seed) if ids is None else ids, total)
     full = sessions if records is None else records
     return _record_columns(full).join(ids, "session_id", "left_semi")
 
 
 def session_sample_by_hour(
-    sessions: DataFrame, total: int = 100, seed: str = "0", salts: int = SALTS
+    sessions: DataFrame, total: int = 100, seed: str = "0"
 ) -> DataFrame:
     """The session records sampled by hour of day, with that hour."""
-    ids = _hint(sample_ids_by_hour(sessions, total, seed, salts), total)
+    ids = _hint(sample_ids_by_hour(sessions, total, seed), total)
     picked = _record_columns(sessions).join(ids, "session_id", "left_semi")
     return picked.withColumn("hour", F.hour("start_time"))
 
@@ -158,8 +160,7 @@ def session_sample_detail(
     sessions: DataFrame,
     total: int = 100,
     seed: str = "0",
-    salts: int = SALTS,
 ) -> DataFrame:
     """All actions of the sampled sessions."""
-    ids = _hint(sample_ids(sessions, total, seed, salts), total)
+    ids = _hint(sample_ids(sessions, total, seed), total)
     return of_sessions(actions, ids).select(*DETAIL_COLUMNS)

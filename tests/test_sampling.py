@@ -48,17 +48,37 @@ def test_quota_of_nothing(spark):
     assert m.session_sample_by_hour(sessions(spark, {})).count() == 0
 
 
-@pytest.mark.parametrize("salts", [1, 4, 64])
+@pytest.mark.parametrize("slack", [None, 0.0, 0.5, 1.0])
 @pytest.mark.parametrize("total", [60, 3000])
-def test_sample_is_exact_for_any_salting(spark, salts, total):
+def test_sample_is_exact_for_any_slack(spark, monkeypatch, slack, total):
+    """Without slack some groups, or all, are left with too few rows and fall back to all of theirs."""
+    if slack is not None:
+        monkeypatch.setattr(m, "expected_below", lambda quota: quota * slack)
     want = sorted(
         s for (d, h), q in quotas(COUNTS, total).items()
         for s in smallest([f"{d}-{h}-{i}" for i in range(COUNTS[(d, h)])], q)
     )
-    got = sorted(r.session_id for r in m.session_sample(sessions(spark, COUNTS), total, salts=salts).collect())
+    got = sorted(r.session_id for r in m.session_sample(sessions(spark, COUNTS), total).collect())
     assert got == want
 
 
+def test_few_rows_of_a_hot_hour_go_on(spark, monkeypatch):
+    """One hour has nearly all sessions: what is stored for the ranking is its quota and the slack."""
+    kept = []
+    real = m.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "materialize", watched)
+    frame = sessions(spark, {(0, 1): 20_000, (0, 2): 50})
+    got = {r.session_id for r in m.session_sample(frame, 100).collect()}
+    assert got == {*smallest([f"0-1-{i}" for i in range(20_000)], 99)}
+    assert len(kept) == 1 and kept[0] <= 99 + 6 * 10 + 16 + 5 * 14
+
+
 def test_seed_changes_the_sample(spark):
     frame = sessions(spark, {(0, 1): 300})
     a, b = ({r.session_id for r in m.session_sample(frame, 100, seed).collect()} for seed in "ab")
