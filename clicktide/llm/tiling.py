@@ -49,56 +49,63 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[in
     """Greedy tiling of two hashed token strings: (place in doc, place in item, length).
 
     Longest first; of equal lengths the earliest in the item, then in the document.
-    An item shorter than ``least`` is matched as a whole.
+    An item shorter than ``least`` is matched as a whole.  What is held grows with the
+    two strings, not with the number of their equal runs.
     """
     least = max(1, min(least, len(item)))
     in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     found = []
-    # tokens of the document that the item lacks end every match
-    s = len(item)
-    while s >= least and len(doc):
-        s = min(s, len(doc))
-        longest = _longest(doc, item, in_doc, in_item, s, least)
-        if not longest:
+    s = min(len(item), len(doc))
+    while s >= least:
+        s = _longest(doc, item, in_doc, in_item, s, least)
+        if not s:
             break
-        length, at_doc, at_item = longest[0]
-        for n, i, j in longest:
-            if not in_doc[i : i + n].any() and not in_item[j : j + n].any():
-                in_doc[i : i + n] = True
-                in_item[j : j + n] = True
-                found.append((i, j, n))
-        s = length
+        found += _marked(doc, item, in_doc, in_item, s)
+        s -= 1
     return found
 
 
-def _matches(doc, item, in_doc, in_item, s: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal unmarked runs of ``s`` tokens."""
-    i, j = _free_runs(in_doc, s), _free_runs(in_item, s)
-    if not len(i) or not len(j):
-        return i[:0], j[:0]
-    hd, hi = _running(doc, s)[i], _running(item, s)[j]
-    order = np.argsort(hi, kind="stable")
-    low, high = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
-    n = high - low
-    left = np.repeat(np.arange(len(i)), n)
-    right = order[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    return i[left], j[right]
-
-
-def _longest(doc, item, in_doc, in_item, most: int, least: int) -> list[tuple[int, int, int]]:
-    """The longest matches of unmarked tokens, of length ``least`` to ``most``, by place."""
-    low, high = least, most
-    best = (np.empty(0, int), np.empty(0, int))
-    size = 0
+def _free(h: np.ndarray, marked: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the unmarked runs of ``s`` tokens."""
+    at = _free_runs(marked, s)
+    return at, _running(h, s)[at]
+
+
+def _longest(doc, item, in_doc, in_item, most: int, least: int) -> int:
+    """Length of the longest match of unmarked tokens, from ``least`` to ``most``; 0 without one."""
+    low, high, size = least, most, 0
     # lengths that have a match are those up to the longest: halve the range
     while low <= high:
         middle = (low + high) // 2
-        pairs = _matches(doc, item, in_doc, in_item, middle)
-        if len(pairs[0]):
-            best, size, low = pairs, middle, middle + 1
+        if np.isin(_free(item, in_item, middle)[1], _free(doc, in_doc, middle)[1]).any():
+            size, low = middle, middle + 1
         else:
             high = middle - 1
-    return sorted(((size, int(a), int(b)) for a, b in zip(*best)), key=lambda m: (m[2], m[1]))
+    return size
+
+
+def _marked(doc, item, in_doc, in_item, s: int) -> list[tuple[int, int, int]]:
+    """Mark the matches of ``s`` tokens, each run of the item with the first free one of the document."""
+    i, hd = _free(doc, in_doc, s)
+    j, hi = _free(item, in_item, s)
+    some = np.isin(hd, hi)
+    order = np.argsort(hd[some], kind="stable")
+    i, hd = i[some][order], hd[some][order]
+    low, high = np.searchsorted(hd, hi, "left").tolist(), np.searchsorted(hd, hi, "right").tolist()
+    upto: dict[int, int] = {}  # equal runs of the document that were tried; a marked one stays marked
+    found = []
+    for at, begin, end in zip(j.tolist(), low, high):
+        if begin == end or in_item[at : at + s].any():
+            continue
+        k = upto.get(begin, begin)
+        while k < end and in_doc[i[k] : i[k] + s].any():
+            k += 1
+        upto[begin] = k
+        if k < end:
+            in_doc[i[k] : i[k] + s] = True
+            in_item[at : at + s] = True
+            found.append((int(i[k]), at, s))
+    return found
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[pa.Table]:

@@ -37,6 +37,21 @@ def test_tiles_are_those_of_the_definition():
         assert tiling.tiles(doc, item, least) == plain_tiles(doc.tolist(), item.tolist(), least)
 
 
+def test_repeated_tokens_take_no_more_room_than_the_text():
+    """A million equal tokens against an item of 400: their equal runs are 400 million pairs."""
+    import tracemalloc
+
+    doc = np.full(1_000_000, 7, dtype=np.uint64)
+    doc[500_000] = 8
+    item = np.concatenate((np.full(300, 7), [9], np.full(99, 7))).astype(np.uint64)
+    tracemalloc.start()
+    found = tiling.tiles(doc, item, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 300), (300, 301, 99)]
+    assert peak < 120 * len(doc)
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
