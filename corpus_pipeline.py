@@ -14,7 +14,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language identification rejects: no letter, or too little confidence."""
+    """Drop documents that language identification rejects: no letter, or too little confidence.
+
+    So null and empty texts go.  Repeated rows are judged alike, a null ``lang``
+    teaches nothing, and without any labelled row all documents go; an empty table
+    stays empty.
+    """
     ship(spark)
     others = [c for c in docs.columns if c != "doc_id"]
     # under names of their own, so that no column clashes with the verdict's
@@ -26,7 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each near-duplicate class: five words, similarity 0.8.
 
-    A repeated row stays once; documents without an id are linked with nothing and stay.
+    A repeated row stays once, one that differs in other columns only as well; documents
+    without an id, without words or with a null text are linked with nothing and stay.
+    An id that repeats with several texts is decided as one: all of them stay if one is
+    the first of its class.  An empty table stays empty.
     """
     ship(spark)
     kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
@@ -37,8 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 50 bytes that an earlier document has; a document of which nothing is left goes.
 
-    A character that was cut in two goes with the cut; a null text is empty;
-    ``n_chars``, if there, counts anew.
+    A character that was cut in two goes with the cut; a null text is empty and
+    stays; ``n_chars``, if there, counts anew.  Rows of one id do not cut each other,
+    a null id comes after all others, and an empty table stays empty.
     """
     ship(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -53,12 +62,20 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that leak a test item."""
+    """Drop documents that leak a test item.
+
+    Null and empty texts and documents without an id stay; every row of an id
+    goes if one of its texts leaks; with an empty ``benchmark`` all stay.
+    """
     return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 ids."""
+    """Pieces of all documents in windows of 2048 ids.
+
+    A null or empty text is its end id alone; repeated rows are packed each; an
+    empty table gives no rows.
+    """
     ship(spark)
     return packing.pack(docs)
 
