@@ -79,20 +79,6 @@ def test_probabilities_are_those_of_a_loop(spark):
         np.testing.assert_allclose(p, e / e.sum(), atol=1e-4)
 
 
-def test_gibberish_and_an_unlearned_script_are_rejected(spark, docs):
-    import random
-
-    rnd = random.Random(1)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [(i, " ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(n))) for i, n in enumerate([20, 80, 200] * 5)]
-    rows.append((50, "ქართული ენა არ ისწავლება აქ " * 5))
-    model = langid.fit(table(spark, "/root/testdata/sf0.1", "documents"))
-    told = langid.predict(docs(rows), model).collect()
-    assert np.mean([r.rejected for r in told]) > 0.8
-    kept = langid.predict(table(spark, "/root/testdata/sf0.1", "documents"), model)
-    assert kept.where("rejected and score > 0").count() < 0.004 * kept.count()
-
-
 def test_pooling_and_scores_are_those_of_a_loop():
     import pyarrow as pa
 
