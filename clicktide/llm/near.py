@@ -12,7 +12,10 @@ Links are confirmed on the full sets, in steps that avoid the pairs of a large
 group: first every set against the smallest of each of its keys; then, between
 components that still share a key, the pairs with signatures within the limit.
 Before texts are fetched, pairs are sifted by parity sketches: bits of two sets
-differ in no more places than the sets do, so nothing linked is lost.
+differ in no more places than the sets do, so nothing linked is lost.  Keys that
+many sets share, as texts of one template do below the threshold, do not pair
+their sets at all: these meet through their rarest shingles, of which any two
+linked sets share one.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from clicktide.llm.words import BASE, U, mix, raw, shingles, words
 MISS = 1e-6  # chance that a pair just on the threshold exceeds the limit
 ODD_WORDS = 16  # 64-bit words of a parity sketch
 GROUP = 500  # sets that are compared with one set in a task
+CROWD = 100  # sets of one key beyond which they meet through rare shingles
+CELL_BITS = 18  # counts of shingles lie in so many hashed cells, 2 MB in all
 
 
 @dataclass(frozen=True)
@@ -90,7 +95,7 @@ class Near:
         return out
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sig array<int>, odd array<bigint>"
+SIGNED = "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, sig array<int>, odd array<bigint>, text_key bigint"
 
 
 def parities(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -102,8 +107,13 @@ def parities(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, ODD_WORDS).view(np.int64)
 
 
+def text_key(docs: DataFrame) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def signed(docs: DataFrame, how: Near, with_text: bool = False) -> DataFrame:
-    """Number of shingles, two hashes of the set, and signature (null without shingles)."""
+    """Number of shingles, two hashes of the set, signature (null without shingles), and a hash of the text."""
     more = ["text"] if with_text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +134,13 @@ def signed(docs: DataFrame, how: Near, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(n, pa.int64()), pa.array(set1), pa.array(set2),
-                        pa.array(sigs, pa.list_(pa.int32())), odd.cast(pa.list_(pa.int64())),
+                        pa.array(sigs, pa.list_(pa.int32())), odd.cast(pa.list_(pa.int64())), batch.column(2),
                         *(batch.column(c) for c in more),
                     ],
-                    names=["doc_id", "n_shingles", "set1", "set2", "sig", "odd", *more],
+                    names=["doc_id", "n_shingles", "set1", "set2", "sig", "odd", "text_key", *more],
                 )
 
-    return texts(docs).mapInArrow(run, SIGNED + "".join(f", {c} string" for c in more))
+    return texts(docs, text_key(docs).alias("text_key")).mapInArrow(run, SIGNED + "".join(f", {c} string" for c in more))
 
 
 def _keyed(reps: DataFrame, how: Near) -> DataFrame:
@@ -192,7 +202,61 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, how: Near) -> DataFrame:
     return stored(ordered.mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
-def links(reps: DataFrame, docs: DataFrame, how: Near) -> DataFrame:
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _shingle_counts(bodies: DataFrame, how: Near) -> np.ndarray:
+    """How often the shingles of each cell occur, an array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, _ = shingles(words(*raw(batch.column(0))), how.shingle)
+                total += np.bincount(_cells(h), minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    counted = bodies.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def _crowd_pairs(bodies: DataFrame, how: Near) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets in different components that may reach the threshold.
+
+    ``bodies`` has ``rep``, ``comp`` and ``text``.  A linked set holds ``percent`` of
+    either set.  So with all shingles in one order, two linked sets share one of those
+    that come first in both, as many as the rest leaves; the order is from rare to
+    frequent, so that what a template repeats comes last and brings no pairs.
+    """
+    counts = bodies.sparkSession.sparkContext.broadcast(_shingle_counts(bodies, how))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, doc = shingles(words(*raw(batch.column(2))), how.shingle)
+                h = h[np.lexsort((h, counts.value[_cells(h)], doc))]
+                n = np.bincount(doc, minlength=batch.num_rows)
+                place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+                first = place <= (n * (100 - how.percent) // 100)[doc]
+                doc = doc[first]
+                rep, comp = (batch.column(c).to_numpy()[doc] for c in (0, 1))
+                columns = [h[first].view(np.int64), place[first], n[doc], rep, comp]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rare", "place", "n", "rep", "comp"])
+
+    rare = stored(bodies.select("rep", "comp", "text").mapInArrow(run, "rare bigint, place bigint, n bigint, rep bigint, comp bigint"), "rare-shingles")
+    other = rare.select(*(F.col(c).alias(f"{c}2") for c in rare.columns))
+    # from the first shingle that both have, at most so many follow in common
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    enough = left * (100 + how.percent) >= (F.col("n") + F.col("n2")) * how.percent
+    pairs = rare.join(other, (F.col("rare") == F.col("rare2")) & (F.col("comp") < F.col("comp2")) & enough)
+    return pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
+def links(reps: DataFrame, docs: DataFrame, how: Near, crowd: int = CROWD) -> DataFrame:
     """Links ``a``-``b`` that make the same components as all links between sets.
 
     ``reps`` has one row per distinct set: ``rep``, ``n_shingles``, ``sig``, ``odd``.
@@ -214,15 +278,27 @@ def links(reps: DataFrame, docs: DataFrame, how: Near) -> DataFrame:
     comp = components(found).withColumnRenamed("node", "rep")
     labelled = shared.select("key", "mask", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    live = stored(labelled.join(mixed, "key", "left_semi").join(reps.select("rep", "n_shingles", "odd", "sig"), "rep"), "live-keys")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = stored(mixed.select("key", (F.col("n") > crowd).alias("crowded")), "mixed-keys")
+    live = labelled.join(mixed.where("not crowded"), "key", "left_semi").join(reps.select("rep", "n_shingles", "odd", "sig"), "rep")
+    live = stored(live, "live-keys")
     other = live.select(
         F.col("key").alias("key2"), F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n_shingles").alias("n2"),
         F.col("odd").alias("odd2"), F.col("sig").alias("sig2"),
     )
     within = _differ(how, list(range(how.values))) <= how.limit
     between = (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _may_link(how) & within & _first_shared(how)
-    pairs = live.join(other, between).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    pairs = live.join(other, between).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    if not mixed.where("crowded").isEmpty():
+        members = labelled.join(mixed.where("crowded"), "key", "left_semi").select("rep", "comp").distinct()
+        met = _crowd_pairs(stored(bodies.join(members, "rep"), "crowd"), how)
+        side = reps.select("rep", "n_shingles", "odd", "sig")
+        other = side.select(
+            F.col("rep").alias("rep2"), F.col("n_shingles").alias("n2"), F.col("odd").alias("odd2"), F.col("sig").alias("sig2")
+        )
+        met = met.join(side, F.col("a") == F.col("rep")).join(other, F.col("b") == F.col("rep2")).where(_may_link(how) & within)
+        pairs = pairs.unionByName(met.select("a", "b"))
+    pairs = pairs.distinct()
     return found.unionByName(confirmed(pairs, bodies, how))
 
 
@@ -243,7 +319,7 @@ def _first_shared(how: Near) -> Column:
     return chunk_of == first
 
 
-def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: Near = Near(), crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
     Words are runs without ASCII white space, A-Z lower-cased.  A text of fewer
@@ -253,6 +329,15 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     Rows of one id are judged each by its own text; other columns are ignored; an
     empty table gives no rows.
     """
+    return classes(docs, how, crowd).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def classes(docs: DataFrame, how: Near = Near(), crowd: int = CROWD) -> DataFrame:
+    """``near_duplicates`` with ``text_key``, which tells the texts of one id apart, and ``class``.
+
+    ``class`` is one for the texts of a component and null for a text linked with
+    none; an id with several texts may be the smallest of several classes.
+    """
     rows = stored(signed(docs, how), "signatures")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     # equal sets are summed up before the shuffle
@@ -274,14 +359,15 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     else:
         sets = sets.withColumn("own", F.col("rep"))
     reps = sets.select(F.col("own").alias("rep"), "n_shingles", "sig", "odd")
-    comp = components(links(reps, docs, how)).withColumnRenamed("node", "own")
+    comp = components(links(reps, docs, how, crowd)).withColumnRenamed("node", "own")
     # only sets that have a class other than their one document
-    classes = sets.select("set1", "set2", "own", "rep", "n").join(comp, "own", "left").where("n > 1 or comp is not null" if not some else "true")
+    linked = sets.select("set1", "set2", "own", "rep", "n").join(comp, "own", "left").where("n > 1 or comp is not null" if not some else "true")
+    linked = linked.withColumn("class", F.coalesce("comp", "own"))
     if some:
-        low = classes.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
-        classes = classes.join(low, "comp", "left").withColumn("comp", F.col("low"))
-    classes = classes.select("set1", "set2", F.coalesce("comp", "rep").alias("component_id"))
+        low = linked.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
+        linked = linked.join(low, "comp", "left").withColumn("comp", F.col("low"))
+    linked = linked.select("set1", "set2", "class", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.withColumn("alone", (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    out = out.join(classes.withColumn("alone", F.lit(False)), ["set1", "set2", "alone"], "left")
+    out = out.join(linked.withColumn("alone", F.lit(False)), ["set1", "set2", "alone"], "left")
     comp_id = F.coalesce(F.when(~F.col("alone"), F.col("component_id")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", "class")

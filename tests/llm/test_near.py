@@ -1,4 +1,5 @@
 import random
+import time
 
 from conftest import STRANGE
 
@@ -44,6 +45,29 @@ def test_chains_and_copies(docs):
         rows.append((2000 + i, " ".join(w)))
     assert result(near.near_duplicates(docs(rows), NEAR_OP)) == brute.near(rows, 3, 85)
     assert result(near.near_duplicates(docs(rows))) == brute.near(rows, 5, 80)
+    # every key that two sets share is a crowd, so that all links between components rest on rare shingles
+    assert result(near.near_duplicates(docs(rows), NEAR_OP, crowd=1)) == brute.near(rows, 3, 85)
+
+
+def test_many_texts_of_one_template(docs):
+    """5,000 texts that are alike by 0.7 share most of their keys and are not linked; a near copy of every hundredth is."""
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(200)]
+    rows, want = [], {}
+    for i in range(5000):
+        slots = rng.sample(range(4, 190, 4), 7)
+        w = list(base)
+        for k, at in enumerate(slots[:6]):
+            w[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+        want[i] = (198, i)
+        if i % 100 == 0:
+            w[slots[6]] = f"copy{i}"
+            rows.append((10_000 + i, " ".join(w)))
+            want[10_000 + i] = (198, i)
+    started = time.monotonic()
+    assert result(near.near_duplicates(docs(rows), NEAR_OP)) == want
+    assert time.monotonic() - started < 240
 
 
 def test_repeated_rows_and_empty_table(docs):

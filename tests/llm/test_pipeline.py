@@ -52,3 +52,13 @@ def test_strange(docs, spark, rows):
         df = stored(stage(spark, df, "/root/testdata/sf0.001"), f"strange-{name}")
         assert df.columns == columns
     assert cp.STAGES[-1][1](spark, df, "/root/testdata/sf0.001").count() >= df.count()
+
+
+def test_ids_with_several_texts(docs, spark):
+    """Near-duplicates are judged text by text; of one class one text stays, whatever its id."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(120)) for k in "abcd")
+    rows = [(3, a + " x"), (5, a), (5, b), (5, b), (7, c), (7, c + " x"), (8, d), (9, d + " x"), (9, ""), (9, None), (None, d)]
+    left = cp.drop_near_duplicates(spark, docs(rows), D).select("doc_id", "text").collect()
+    got = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in left if r.doc_id != 7)
+    assert got == sorted([(0, d, False), (3, a + " x", False), (5, b, False), (8, d, False), (9, "", False), (9, "", True)])
+    assert [r.text in (c, c + " x") for r in left if r.doc_id == 7] == [True]
