@@ -33,12 +33,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A repeated row stays once, one that differs in other columns only as well; documents
     without an id, without words or with a null text are linked with nothing and stay.
-    An id that repeats with several texts is decided as one: all of them stay if one is
-    the first of its class.  An empty table stays empty.
+    The texts of an id that repeats are judged each by its own class.  An empty table
+    stays empty.
     """
     ship(spark)
-    kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near.classes(docs).where("kept and doc_id is not null").select("doc_id", "text_key", "class")
+    # an id may have several texts of one class
+    one = kept.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    kept = kept.where("class is null").select("doc_id", "text_key").unionByName(one.select("first.*")).distinct()
+    same = (docs["doc_id"] == kept["doc_id"]) & (near.text_key(docs) == kept["text_key"])
+    first = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
