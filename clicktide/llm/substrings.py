@@ -318,7 +318,8 @@ class _Asked:
 
     def rows(self, part: int, buckets: int) -> Iterator[tuple]:
         if self.spans:
-            yield 0, part, SPANS, _spans(*_united(*(np.concatenate(c) for c in zip(*self.spans))))
+            # a bucket of the part's own, past which they go unchanged
+            yield -1 - part, part, SPANS, _spans(*_united(*(np.concatenate(c) for c in zip(*self.spans))))
         if self.bytes:
             yield from _packed_bytes(part, buckets, *(np.concatenate(c) for c in zip(*self.bytes)))
         if self.strings:
@@ -425,9 +426,11 @@ def _sorted_shard(data: list[bytes], part: np.ndarray, size: int) -> tuple:
 
 
 def _resolve_rest(asked: DataFrame, size: int) -> DataFrame:
-    """Spans of strings that a smaller document holds, by part."""
+    """Spans to remove, by part: those known already, and strings that a smaller document holds."""
 
     def resolve(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["part", "data"])
         kind, part = table.column("kind").to_numpy(), table.column("part").to_numpy()
         data = [d.as_py() for d in table.column("data")]
         found = []
@@ -446,7 +449,7 @@ def _resolve_rest(asked: DataFrame, size: int) -> DataFrame:
         spans = [_spans(*_united(rows[s], low[s], high[s])) for s in (owner == p for p in parts)]
         return pa.table({"part": pa.array(parts, pa.int64()), "data": pa.array(spans, pa.binary())})
 
-    return asked.where(F.col("kind") != SPANS).groupBy("bucket").applyInArrow(resolve, "part bigint, data binary")
+    return asked.groupBy("bucket").applyInArrow(resolve, "part bigint, data binary")
 
 
 def _united(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -479,9 +482,7 @@ def spans_of(docs: DataFrame, size: int, many: int, *keep: str) -> tuple[DataFra
     total = numbered.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     told = _by_part(_resolve_anchors(_anchor_entries(numbered, size, anchor, buckets), many), "surroundings")
-    asked = stored(_ask(numbered, told, size, anchor, SHARDS * buckets), "asked")
-    rest = _resolve_rest(asked, size)
-    return whole, _by_part(asked.where(F.col("kind") == SPANS).select("part", "data").unionByName(rest), "spans")
+    return whole, _by_part(_resolve_rest(_ask(numbered, told, size, anchor, SHARDS * buckets), size), "spans")
 
 
 def remove_repeats(
