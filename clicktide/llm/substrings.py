@@ -134,7 +134,9 @@ class Anchors:
         best = _sliding(padded, width, np.maximum)
         del least, padded, valid
         self.at = np.flatnonzero((best == h) & (best > 0))
-        self.hash = mix(h[self.at] + U(1))  # spread anew: the smallest hashes lie close together
+        # spread anew: the smallest hashes lie close together; 48 bits bring together all that
+        # may be equal, which the hash of the surroundings and the bytes decide
+        self.hash = mix(h[self.at] + U(1)) & ~U(0xFFFF)
         self.doc = np.searchsorted(at, self.at, "right") - 1
         self.low = np.maximum(self.at - (size - anchor), at[self.doc])
         self.high = np.minimum(self.at + size, at[self.doc + 1])
