@@ -18,11 +18,19 @@ import clicktide
 from clicktide.session import scratch_dir
 
 
+SLICE = 1 << 21  # bytes of text that array code takes at a time
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the library to the executors, once per application, wherever they run."""
+    """Send the library to the executors, once per application, wherever they run.
+
+    Batches of whole texts are held several times over, in the JVM and in Python, so
+    they are kept just below a slice unless the application was given a size.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(SLICE * 7 // 8))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(clicktide.__file__).parent
@@ -75,7 +83,7 @@ def write_file(folder: str, stem: str, suffix: str, chunks: Iterator[bytes]) ->
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of text; a longer text is one slice."""
     arr = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(arr), 0).to_pylist()
