@@ -40,6 +40,7 @@ ODD_WORDS = 16  # 64-bit words of a parity sketch
 GROUP = 500  # sets that are compared with one set in a task
 CROWD = 100  # sets of one key beyond which they meet through rare shingles
 CELL_BITS = 18  # counts of shingles lie in so many hashed cells, 2 MB in all
+BLOCK = 1 << 12  # cells whose counts travel as one row
 
 
 @dataclass(frozen=True)
@@ -202,12 +203,22 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, how: Near) -> DataFrame:
     return stored(ordered.mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
+COUNTED = "block bigint, counts binary"
+
+
 def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - CELL_BITS)).astype(np.int64)
 
 
-def _shingle_counts(bodies: DataFrame, how: Near) -> np.ndarray:
-    """How often the shingles of each cell occur, an array of fixed size."""
+def _as_blocks(total: np.ndarray) -> pa.RecordBatch:
+    """Counts of all cells, a row for each block that has any."""
+    blocks = total.reshape(-1, BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[b].tobytes() for b in some], pa.binary())], names=["block", "counts"])
+
+
+def _task_counts(bodies: DataFrame, how: Near) -> DataFrame:
+    """How often the shingles of each cell occur in a task, at most one row for each block, however many its texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
@@ -215,13 +226,26 @@ def _shingle_counts(bodies: DataFrame, how: Near) -> np.ndarray:
             for batch in slices(whole, "text"):
                 h, _ = shingles(words(*raw(batch.column(0))), how.shingle)
                 total += np.bincount(_cells(h), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+        yield _as_blocks(total)
+
+    return bodies.select("text").mapInArrow(run, COUNTED)
+
+
+def _shingle_counts(bodies: DataFrame, how: Near) -> np.ndarray:
+    """How often the shingles of each cell occur, an array of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(counts, np.int64)
+        yield _as_blocks(total)
 
-    counted = bodies.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    return out
+    counted = _task_counts(bodies, how).repartition("block").mapInArrow(add, COUNTED).toArrow()
+    out = np.zeros(((1 << CELL_BITS) // BLOCK, BLOCK), np.int64)
+    for b, counts in zip(counted.column("block").to_pylist(), counted.column("counts").to_pylist()):
+        out[b] = np.frombuffer(counts, np.int64)
+    return out.ravel()
 
 
 def _crowd_pairs(bodies: DataFrame, how: Near) -> DataFrame:
@@ -248,6 +272,9 @@ def _crowd_pairs(bodies: DataFrame, how: Near) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rare", "place", "n", "rep", "comp"])
 
     rare = stored(bodies.select("rep", "comp", "text").mapInArrow(run, "rare bigint, place bigint, n bigint, rep bigint, comp bigint"), "rare-shingles")
+    # a shingle of one component brings no pair, however many of its sets have it
+    several = rare.groupBy("rare").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("rare")
+    rare = stored(rare.join(several, "rare", "left_semi"), "rare-shingles")
     other = rare.select(*(F.col(c).alias(f"{c}2") for c in rare.columns))
     # from the first shingle that both have, at most so many follow in common
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))

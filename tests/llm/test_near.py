@@ -123,3 +123,17 @@ def test_one_id_with_several_texts(docs):
     want = [(3, 3), (4, 4), (4, 4), (5, 3), (5, 5), (5, 5), (6, 4), (7, 5), (8, 5), (9, 3)]
     assert sorted((r.doc_id, r.component_id) for r in got) == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_counts_of_shingles_are_few_rows(spark):
+    """A task hands on a row for each block of cells, not one for each cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    from clicktide.llm.words import raw, shingles, words
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(100)) for i in range(1000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    assert near._task_counts(df, NEAR_OP).count() <= 4 * (1 << near.CELL_BITS) // near.BLOCK
+    h, _ = shingles(words(*raw(pa.array(texts))), 3)
+    assert (near._shingle_counts(df, NEAR_OP) == np.bincount(near._cells(h), minlength=1 << near.CELL_BITS)).all()
