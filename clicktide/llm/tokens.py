@@ -22,6 +22,8 @@ from clicktide.llm.common import slices
 
 NEIGHBOURS = re.compile(r"\s\s").search
 PIECES = 1_200_000  # kept by a worker, about 250 MB
+MARKS = ",.;:!?#$%&*|"
+ENDS = frozenset(MARKS)
 
 
 def byte_bpe() -> str:
@@ -52,14 +54,15 @@ class Encoder:
         if len(self.pieces) + len(unseen) > PIECES:
             self.pieces.clear()
             unseen = wanted
-        # a comma or full stop after a letter is a token's beginning
-        ended = [p for p in unseen if len(p) > 1 and p[-1] in ",." and "a" <= p[-2] <= "z"]
-        stems = {p[:-1] for p in ended}
-        plain = [*unseen.difference(ended).union(stems.difference(self.pieces))]
-        found = self.whole([*(p if p[:1] == "\n" else f" {p}" for p in plain), ",", "."])
+        # a run of marks after a letter is a token's beginning
+        ended = [(p, s, p[len(s) :]) for p in unseen if p[-1:] in ENDS and "a" <= (s := p.rstrip(MARKS))[-1:] <= "z"]
+        stems = {s for _, s, _ in ended}
+        marks = [*{m for _, _, m in ended}]
+        plain = [*unseen.difference([p for p, _, _ in ended]).union(stems.difference(self.pieces))]
+        found = self.whole([*(p if p[:1] == "\n" else f" {p}" for p in plain), *marks])
         self.pieces.update(zip(plain, found))
-        marks = {",": found[-2], ".": found[-1]}
-        self.pieces.update([(p, self.pieces[p[:-1]] + marks[p[-1]]) for p in ended])
+        tails = dict(zip(marks, found[len(plain) :]))
+        self.pieces.update([(p, self.pieces[s] + tails[m]) for p, s, m in ended])
 
     def all_ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """All ids of each text, four bytes each; a null text has none."""

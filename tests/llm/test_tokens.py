@@ -159,3 +159,37 @@ def test_balance_places_each_once_within_capacity(lengths):
 
 def test_windows_rise_when_capacity_is_exceeded():
     assert len(packing.balance([30, 30, 30], 50)) == 3
+
+
+MARKED = st.lists(st.text(st.sampled_from(list("abzé1',.;:!?#$%&*|\n<>")), max_size=8), max_size=6).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(MARKED)
+def test_marks_behind_words_give_the_ids_of_the_whole(text):
+    assert encoder(byte_bpe()).all_ids([text]) == [brute.tokens([text], 9)[0][:-4]]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    from clicktide.llm import tokens
+
+    e, asked = tokens.Encoder(byte_bpe()), []
+    whole = e.whole
+    monkeypatch.setattr(e, "whole", lambda texts: asked.extend(texts) or whole(texts))
+    e.all_ids(["so word word&&& word%%% word,### word."])
+    assert [t for t in asked if "word" in t] == [" word"]
+
+
+def test_batches_of_texts_stay_below_a_slice(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from clicktide.llm.common import SLICE
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    df = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = [r.n for r in df.mapInArrow(run, "n bigint").collect()]
+    assert sum(sizes) >= 20_000_000 and max(sizes) <= SLICE
