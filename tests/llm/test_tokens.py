@@ -193,3 +193,42 @@ def test_batches_of_texts_stay_below_a_slice(spark):
     df = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
     sizes = [r.n for r in df.mapInArrow(run, "n bigint").collect()]
     assert sum(sizes) >= 20_000_000 and max(sizes) <= SLICE
+
+
+LETTERED = st.text(st.sampled_from(list("abZ  \n\téßñſǅʼƻμЖщ҂×÷ªº²Ⅷ中٣,.'1\x1c\x85\xa0 ")), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LETTERED, max_size=4))
+def test_letters_of_any_script_give_the_ids_of_the_whole(many):
+    assert encoder(byte_bpe()).all_ids(many) == [x[:-4] for x in brute.tokens(many, 9)]
+
+
+def test_letters_and_spaces_are_those_of_the_library_and_of_python():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from clicktide.llm import tokens
+
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    spaces = pc.match_substring_regex(pa.array(every), tokens.SPACE).to_pylist()
+    assert spaces == [c.isspace() for c in every]
+    letters = [c for c in every if tokens.LETTER(c)]
+    split = encoder(byte_bpe()).tokenizer.pre_tokenizer.pre_tokenize_str
+    assert len(letters) > 700 and all(len(split(f" a{c}a")) == 1 for c in letters)
+
+
+def test_words_of_letters_go_to_the_model_as_they_stand(monkeypatch):
+    from clicktide.llm import tokens
+
+    class Asked:
+        def encode_batch_fast(self, texts, **named):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **named)
+
+    monkeypatch.setattr(tokens, "WORDS", 3)
+    e, asked = tokens.Encoder(byte_bpe()), []
+    library, e.tokenizer = e.tokenizer, Asked()
+    many = ["Straße élan 12 the, x-y\nмир the.", "one\ntwo three four five"]
+    assert e.all_ids(many) == [x[:-4] for x in brute.tokens(many, 9)]
+    assert sorted(asked) == [" 12", " x-y", ",", "."]
