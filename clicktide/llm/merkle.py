@@ -6,13 +6,17 @@ per slot; the columns together are hashed, and without a child's own column they
 are its siblings.  Proofs go down the tree: a parent hands what stands left and
 right of a child, and all it was handed itself, to that child, so that documents
 meet only the row of their own run.
+
+The driver holds no nodes and no paths: Spark takes a string for 20 bytes and an
+array for one element, so it would broadcast paths a hundred times its limit; they
+are joined by sorting.  Bounds of range partitions are sampled by the rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide.llm.common import bucket_of, stored
@@ -22,6 +26,7 @@ FANOUT = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATH = "array<struct<left:string,right:string>>"
+RANGE_ROWS = 1 << 15  # rows of leaves in a range partition
 
 
 def digest(c: Column) -> Column:
@@ -73,11 +78,11 @@ def levels(nodes: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def tops(nodes: DataFrame, above: list[DataFrame]) -> DataFrame:
-    """``tree, node`` of the last node of every tree."""
-    columns = ["tree", "node"]
-    found = nodes.where("members = 1").select(*columns)
-    for level in above:
-        found = found.unionByName(level.where("members = 1").select(*columns))
+    """``tree, height, node`` of the last node of every tree, ``height`` levels above its nodes."""
+    found = None
+    for height, level in enumerate([nodes, *above]):
+        last = level.where("members = 1").select("tree", F.lit(height).alias("height"), "node")
+        found = last if found is None else found.unionByName(last)
     return found
 
 
@@ -93,11 +98,13 @@ def _beside(slot: Column, fanout: int) -> Column:
 def handed_down(above: list[DataFrame], ends: DataFrame, fanout: int = FANOUT) -> DataFrame | None:
     """The lowest level of ``above``, with ``path`` (nearest first) and ``subroot`` of each row.
 
-    ``ends`` (``tree, path, subroot``) says what stands beside the whole tree.
+    ``ends`` (``tree, height, path, subroot``) says what stands beside the whole tree,
+    which has its last node on level ``height``.
     """
     rows = None
-    for level in reversed(above):
-        last = level.where("members = 1").join(ends, "tree").select(level["*"], "path", "subroot")
+    for height, level in reversed([*enumerate(above, 1)]):
+        given = ends.where(F.col("height") == height).select(
+            "tree", F.lit(0).cast("bigint").alias("position"), "path", "subroot")
         if rows is not None:
             slot = F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("slot")
             child = F.get(F.array(*_slots(fanout)), F.col("slot"))
@@ -105,11 +112,17 @@ def handed_down(above: list[DataFrame], ends: DataFrame, fanout: int = FANOUT) -
                 "tree", (F.col("position") * fanout + F.col("slot")).alias("position"),
                 F.concat(F.array(_beside(F.col("slot"), fanout)), F.col("path")).alias("path"), "subroot",
             )
-            last = last.unionByName(level.where("members > 1").join(down, ["tree", "position"]).select(level["*"], "path", "subroot"))
-        rows = stored(last, "merkle-paths")
+            given = given.unionByName(down)
+        rows = stored(
+            level.join(given.hint("merge"), ["tree", "position"]).select(level["*"], "path", "subroot"), "merkle-paths")
     return rows
 
 
+def _ranges(spark: SparkSession, rows: int) -> int:
+    """Number of range partitions for so many rows, at most that of shuffles."""
+    return max(1, min(-(-rows // RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def manifest(
     docs: DataFrame, fields: Sequence[str] = FIELDS, tampered: dict[str, Column] | None = None,
     fanout: int = FANOUT,
@@ -136,9 +149,12 @@ def manifest(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
         leaf(honest).alias("leaf"), F.when(changes, changed).alias("twin"),
     ), "merkle-leaves")
-    rows = stored_in_order(hashed, "source", "doc_id", "leaf", name="merkle-order")
+    counted = hashed.agg(F.count(F.lit(1)), F.approx_count_distinct("source")).first()
+    of_rows, of_sources = (_ranges(spark, n) for n in counted)
+    rows = stored_in_order(hashed, "source", "doc_id", "leaf", name="merkle-order", partitions=of_rows)
 
-    sources = stored_in_order(rows.select("source").distinct(), "source", name="merkle-sources")
+    sources = stored_in_order(
+        rows.select("source").distinct(), "source", name="merkle-sources", partitions=of_sources)
     trees = stored(positions(sources).select(
         F.col("source").alias("of"), F.col("position").alias("tree"), F.col("members").alias("sources"),
     ), "merkle-trees")
@@ -150,7 +166,8 @@ def manifest(
     above = levels(nodes, fanout)
     # the tree of the subroots; its trees' numbers are its positions
     subroots = stored(tops(nodes, above).join(trees, "tree").select(
-        F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("position"), F.col("sources").alias("members"), "node",
+        F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("position"), F.col("sources").alias("members"),
+        "node", "height",
     ), "merkle-subroots")
     over = levels(subroots, fanout)
     top = tops(subroots, over).select("node").first()
@@ -158,15 +175,17 @@ def manifest(
     nothing = F.array().cast(PATH)
     if over:
         highest = handed_down(over, spark.range(1).select(
-            F.col("id").alias("tree"), nothing.alias("path"), root.alias("subroot")), fanout)
+            F.col("id").alias("tree"), F.lit(len(over)).alias("height"), nothing.alias("path"), root.alias("subroot"),
+        ), fanout)
         ends = _placed(subroots, highest, fanout).select(
-            F.col("position").alias("tree"), "path", F.col("node").alias("subroot"))
+            F.col("position").alias("tree"), "height", "path", F.col("node").alias("subroot"))
     else:
-        ends = subroots.select(F.col("position").alias("tree"), nothing.alias("path"), F.col("node").alias("subroot"))
+        ends = subroots.select(
+            F.col("position").alias("tree"), "height", nothing.alias("path"), F.col("node").alias("subroot"))
     ends = stored(ends, "merkle-ends")
 
     columns = ["doc_id", F.col("node").alias("leaf"), "subroot", root.alias("root"), "path", "twin"]
-    out = nodes.where("members = 1").join(ends, "tree").select(*columns)
+    out = nodes.where("members = 1").join(ends.where("height = 0").hint("merge"), "tree").select(*columns)
     lowest = handed_down(above, ends, fanout)
     if lowest is not None:
         several = _placed(nodes.where("members > 1"), lowest, fanout, "subroot")
@@ -180,7 +199,8 @@ def _placed(nodes: DataFrame, parents: DataFrame, fanout: int, *more: str) -> Da
         "tree", F.col("position").alias("up"), F.col("path").alias("upper"), *more, *_slots(fanout))
     slot = F.pmod(F.col("position"), F.lit(fanout)).cast("int")
     path = F.concat(F.array(_beside(slot, fanout)), F.col("upper"))
-    return nodes.withColumn("up", _up(fanout)).join(up, ["tree", "up"]).select(*nodes.columns, *more, path.alias("path"))
+    return nodes.withColumn("up", _up(fanout)).join(up.hint("merge"), ["tree", "up"]).select(
+        *nodes.columns, *more, path.alias("path"))
 
 
 def folded(node: Column, path: Column) -> Column:

@@ -19,24 +19,28 @@ PART, PLACE, READ = "range_part", "range_place", "range_read"
 _BITS = 33
 
 
-def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
+def in_order(df: DataFrame, *order: str | Column, partitions: int | None = None) -> DataFrame:
     """``df`` in range partitions by ``order``, each with its number and its rows' places from 0.
 
     Rows that are equal in ``order`` follow each other as they were read, and may
     lie in two partitions.  Store the result before it is used twice: another
-    computation samples other bounds.
+    computation samples other bounds.  The driver gets some 300 rows per partition
+    for the bounds; without ``partitions`` there are as many as shuffles have.
     """
     read = df.withColumn(READ, F.monotonically_increasing_id())
-    placed = read.repartitionByRange(*order, READ).sortWithinPartitions(*order, READ).drop(READ)
+    number = () if partitions is None else (partitions,)
+    placed = read.repartitionByRange(*number, *order, READ).sortWithinPartitions(*order, READ).drop(READ)
     at = F.monotonically_increasing_id()
     return placed.select(
         "*", F.shiftright(at, _BITS).alias(PART), at.bitwiseAND(F.lit((1 << _BITS) - 1)).alias(PLACE)
     )
 
 
-def stored_in_order(df: DataFrame, *order: str | Column, name: str = "ordered") -> DataFrame:
+def stored_in_order(
+    df: DataFrame, *order: str | Column, name: str = "ordered", partitions: int | None = None,
+) -> DataFrame:
     """:func:`in_order`, written to the shared folder and read again."""
-    return materialize(in_order(df, *order), name)
+    return materialize(in_order(df, *order, partitions=partitions), name)
 
 
 def runs(rows: DataFrame, group: str | None = None) -> DataFrame:

@@ -101,3 +101,30 @@ def test_a_proof_reveals_what_was_changed(spark):
     root = merkle.folded(F.coalesce("twin", "leaf"), F.col("path"))
     bad = got.where(root != F.col("root")).select("doc_id").distinct().collect()
     assert [r.doc_id for r in bad] == [7]
+
+
+def test_the_driver_gets_no_paths_and_samples_by_the_rows(spark, monkeypatch):
+    plans, ranges = [], []
+    kept, ordered = merkle.stored, merkle.stored_in_order
+
+    def stored(df, name):
+        if name in ("merkle-paths", "merkle-ends"):
+            plans.append(df)
+        return kept(df, name)
+
+    def stored_in_order(df, *order, **more):
+        ranges.append((order[0], more.get("partitions")))
+        return ordered(df, *order, **more)
+
+    monkeypatch.setattr(merkle, "stored", stored)
+    monkeypatch.setattr(merkle, "stored_in_order", stored_in_order)
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 16)
+    rows = make({"a": 40, "b": 1, None: 3})
+    made = merkle.verified(frame(spark, rows), 4)
+    for df in (*plans, made):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert len(plans) == 5
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranges == [("source", min(3, most)), ("source", 1)]
+    assert sorted(map(tuple, made.collect()), key=repr) == plain(rows, 4)
